@@ -1,0 +1 @@
+"""Reading and writing portfolios, rate tables, tariffs and whole pipelines."""
