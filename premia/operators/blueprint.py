@@ -6,7 +6,7 @@ import warnings
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,39 +136,31 @@ def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def level_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Level counts with their share of the column's non-null rows."""
-    counts = level_counts(df, columns)
-    totals = _non_null_counts(df, columns)
-    total = F.lit(None).cast("bigint")
-    for c, n in totals.items():
-        total = F.when(F.col("variable") == c, F.lit(n)).otherwise(total)
-    return counts.withColumn("share", F.col("n") / total)
-
-
-def _non_null_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    row = df.agg(*[F.count(column(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"n{i}"] for i, c in enumerate(columns)}
+def present(name: str, data_type: T.DataType) -> Column:
+    """True where a column has a value to learn from; NaN is not one."""
+    x = column(name)
+    if isinstance(data_type, T.FloatType | T.DoubleType):
+        return x.isNotNull() & ~F.isnan(x)
+    return x.isNotNull()
 
 
 def _retained_levels(
-    df: DataFrame, columns: Sequence[str], threshold: float
-) -> dict[str, tuple[int, list[str]]]:
-    """Per column the non-null count and the levels whose share reaches the threshold."""
-    totals = _non_null_counts(df, columns)
+    df: DataFrame, columns: Sequence[str], threshold: float, totals: Mapping[str, int]
+) -> dict[str, list[str]]:
+    """Per column the levels whose share of the non-null rows reaches the threshold."""
     if threshold < MIN_THRESHOLD:
         raise ValueError(
             f"threshold must be at least {MIN_THRESHOLD}: it bounds how many levels are kept"
         )
-    least = F.lit(None).cast("bigint")
-    for c, n in totals.items():
-        least = F.when(F.col("variable") == c, F.lit(n)).otherwise(least)
+    total = F.lit(None).cast("bigint")
+    for c in columns:
+        total = F.when(F.col("variable") == c, F.lit(totals[c])).otherwise(total)
     kept = level_counts(df, columns).where(
-        ~(F.col("n").cast("double") / least < F.lit(float(threshold)))
+        ~(F.col("n").cast("double") / total < F.lit(float(threshold)))
     )
-    out: dict[str, tuple[int, list[str]]] = {c: (totals[c], []) for c in columns}
+    out: dict[str, list[str]] = {c: [] for c in columns}
     for row in kept.select("variable", "level").collect():
-        out[row["variable"]][1].append(row["level"])
+        out[row["variable"]].append(row["level"])
     return out
 
 
@@ -177,11 +169,13 @@ def generate_blueprint(
     columns: Sequence[str] | None = None,
     threshold: float = 0.0025,
     method: str = "exact",
+    counts: Mapping[str, int] | None = None,
 ) -> Blueprint:
     """Plan for every column: sorted distinct quantile breaks, or sorted levels.
 
     Nulls are left out first; a column with nothing else gets an empty plan.  A column
-    of a type that cannot be binned gets an error plan and the others go on.
+    of a type that cannot be binned gets an error plan and the others go on.  ``counts``
+    gives the numbers of values per column where they are already known.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     columns = list(columns) if columns is not None else df.columns
@@ -189,13 +183,19 @@ def generate_blueprint(
     broken = [c for c in columns if isinstance(types[c], UNSUPPORTED_TYPES)]
     textual = [c for c in columns if c not in numeric and c not in broken]
 
+    learned = numeric + textual
+    if counts is None and learned:
+        row = df.agg(
+            *[F.count_if(present(c, types[c])).alias(f"n{i}") for i, c in enumerate(learned)]
+        ).first()
+        counts = {c: row[f"n{i}"] for i, c in enumerate(learned)}
     if method == "exact":
-        breaks = nearest_quantiles(df, numeric, QUANTILE_PROBABILITIES)
+        breaks = nearest_quantiles(df, numeric, QUANTILE_PROBABILITIES, counts=counts)
     elif method == "approx":
         breaks = approximate_quantiles(df, numeric, QUANTILE_PROBABILITIES)
     else:
         raise ValueError("method must be 'exact' or 'approx'")
-    levels = _retained_levels(df, textual, threshold) if textual else {}
+    levels = _retained_levels(df, textual, threshold, counts) if textual else {}
 
     plans = {}
     for c in columns:
@@ -207,8 +207,7 @@ def generate_blueprint(
             found = tuple(sorted(set(breaks[c])))
             plans[c] = VariablePlan("numeric" if found else "empty", breaks=found)
         else:
-            total, kept = levels[c]
-            found = tuple(sorted(lv for lv in kept if lv != OTHER))
+            found = tuple(sorted(lv for lv in levels[c] if lv != OTHER))
             plans[c] = VariablePlan("categorical" if found else "empty", levels=found)
     return Blueprint(plans)
 

@@ -28,9 +28,9 @@ from premia.functions.split import TRAIN_FLAG, hash32
 from premia.operators import kernels
 from premia.operators.blueprint import Blueprint, VariablePlan, as_blueprint
 from premia.operators.cells import CellTable, aggregate_cells
-from premia.operators.prepare import fill_nulls, mean_values, with_bins
+from premia.operators.prepare import fill_nulls, mean_aggregates, mean_values, with_bins
 from premia.operators.solver import kkt_gap, solve_quadratics
-from premia.operators.validate import validate_fit_input
+from premia.operators.validate import check_columns, validate_fit_input
 
 # Executors get the kernels with the task, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(kernels)
@@ -597,8 +597,6 @@ def fit_glm(
     small end of the path, or at ``alpha`` and ``l1_ratio`` where given.
     """
     family = family_name(model_type)
-    if validate:
-        validate_fit_input(df, target, train_test_col, family, weight_col)
     params = dict(cv_params or {})
     folds = int(params.pop("cv", None) or DEFAULT_FOLDS) if use_cv else 1
     l1_ratios = params.pop("l1_ratio", DEFAULT_L1_RATIOS)
@@ -615,10 +613,18 @@ def fit_glm(
     if params:
         raise ValueError(f"Unknown fit parameters: {sorted(params)}")
 
+    if validate:
+        check_columns(df, predictors)
     blueprint, binned, raws = _passthrough_plans(df, predictors, as_blueprint(blueprint))
     numeric = [v for v in binned if blueprint[v].kind == "numeric"] + raws
     # The batch is everything handed in, holdout rows included.
-    means = mean_values(df, numeric) if isinstance(fill, str) else dict(fill)
+    given = not isinstance(fill, str)
+    if validate:
+        averages = [] if given else mean_aggregates(numeric)
+        row = validate_fit_input(df, target, train_test_col, family, weight_col, averages)
+    elif not given:
+        row = df.agg(*mean_aggregates(numeric)).first() if numeric else {}
+    means = dict(fill) if given else {v: row[f"m{i}"] for i, v in enumerate(numeric)}
 
     w = column(weight_col).cast("double") if weight_col else F.lit(1.0)
     y = column(target).cast("double")

@@ -26,22 +26,20 @@ def batch_means(df: DataFrame, names: Sequence[str]) -> dict[str, Column]:
         return {}
     if df.isStreaming:
         raise ValueError("A stream has no batch mean; pass training means as `fill`.")
-    row = df.agg(
-        F.struct(
-            *[F.avg(column(c).cast("double")).alias(f"m{i}") for i, c in enumerate(names)]
-        ).alias("means")
-    )
+    row = df.agg(F.struct(*mean_aggregates(names)).alias("means"))
     means = row.scalar()
     return {c: means.getField(f"m{i}") for i, c in enumerate(names)}
 
 
+def mean_aggregates(names: Sequence[str]) -> list[Column]:
+    return [F.avg(column(c).cast("double")).alias(f"m{i}") for i, c in enumerate(names)]
+
+
 def mean_values(df: DataFrame, names: Sequence[str]) -> dict[str, float | None]:
     """The same means as numbers, for a model that keeps them."""
     if not names:
         return {}
-    row = df.agg(
-        *[F.avg(column(c).cast("double")).alias(f"m{i}") for i, c in enumerate(names)]
-    ).first()
+    row = df.agg(*mean_aggregates(names)).first()
     return {c: row[f"m{i}"] for i, c in enumerate(names)}
 
 

@@ -147,16 +147,23 @@ def order_statistics(
     names: Sequence[str],
     ranks_of: Callable[[str, int], Sequence[int]],
     rank_limit: int = RANK_LIMIT,
+    counts: Mapping[str, int] | None = None,
 ) -> tuple[dict[str, int], dict[str, dict[int, float]]]:
-    """Counts of non-missing values, and ``{column: {0-based rank: value}}``."""
+    """Counts of non-missing values, and ``{column: {0-based rank: value}}``.
+
+    ``counts`` saves a pass where the numbers of values, NaN aside, are known.
+    """
     names = list(names)
     if not names:
         return {}, {}
     values = _values(df, names)
-    row = values.agg(
-        *[F.count(column(c)).alias(f"n{i}") for i, c in enumerate(names)]
-    ).first()
-    counts = {c: row[f"n{i}"] for i, c in enumerate(names)}
+    if counts is None:
+        row = values.agg(
+            *[F.count(column(c)).alias(f"n{i}") for i, c in enumerate(names)]
+        ).first()
+        counts = {c: row[f"n{i}"] for i, c in enumerate(names)}
+    else:
+        counts = {c: counts[c] for c in names}
     ranks = {c: sorted(set(ranks_of(c, n))) if n else [] for c, n in counts.items()}
     found = _select(values, counts, ranks, rank_limit)
     return counts, found

@@ -48,10 +48,15 @@ def _on_support(h, diag, c, u, l1, l2, rounds=40):
         on = v != 0
         sign = np.sign(v)
         m = np.where(on[:, :, None] & on[:, None, :], h[busy], 0.0)
-        ridge = l2[busy, None] + 1e-11 * np.maximum(diag[busy], 1e-3)
-        m[:, np.arange(p), np.arange(p)] = np.where(on, diag[busy] + ridge, 1.0)
+        exact = np.where(on, diag[busy] + l2[busy, None], 1.0)
+        # Collinear features make the system singular: a trace of ridge, then one
+        # correction against the system without it.
+        ridge = np.where(on, 1e-12 * diag[busy] + 1e-200, 0.0)
+        m[:, np.arange(p), np.arange(p)] = exact + ridge
         rhs = np.where(on, c[busy] - l1[busy, None] * sign, 0.0)
-        target = np.linalg.solve(m, rhs[:, :, None])[:, :, 0]
+        target = np.linalg.solve(m, rhs[:, :, None])
+        rest = rhs[:, :, None] - m @ target + ridge[:, :, None] * target
+        target = (target + np.linalg.solve(m, rest))[:, :, 0]
         crossing = on & (sign * target < 0)
         with np.errstate(divide="ignore", invalid="ignore"):
             t = np.where(crossing, v / (v - target), np.inf)
@@ -71,6 +76,8 @@ def solve_quadratics(h, c, u0, l1, l2, tol, rounds=200):
         return u
     diag = h[:, np.arange(p), np.arange(p)]
     open_ = np.arange(len(u))
+    best = np.full(len(u), np.inf)
+    stalls = np.zeros(len(u), dtype=int)
     for _ in range(rounds):
         hk, dk, ck, uk = h[open_], diag[open_], c[open_], u[open_]
         a, b = l1[open_], l2[open_]
@@ -80,8 +87,11 @@ def solve_quadratics(h, c, u0, l1, l2, tol, rounds=200):
         _on_support(hk, dk, ck, uk, a, b)
         u[open_] = uk
         q = ck - np.einsum("kij,kj->ki", hk, uk)
-        left = kkt_gap(q, uk, a, b) > tol[open_]
-        open_ = open_[left]
+        gap = kkt_gap(q, uk, a, b)
+        # At the limit of the arithmetic the gap stops falling; the next pass goes on.
+        stalls[open_] = np.where(gap < 0.5 * best[open_], 0, stalls[open_] + 1)
+        best[open_] = np.minimum(best[open_], gap)
+        open_ = open_[(gap > tol[open_]) & (stalls[open_] < 8)]
         if not len(open_):
             break
     return u

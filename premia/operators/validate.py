@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from premia.functions.binning import is_finite
@@ -47,8 +47,12 @@ def rule_counts(
     train_test_col: str,
     model_type: str,
     weight_col: str | None = None,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
-    """One row: how many rows there are, and how many break each rule."""
+    """One row: how many rows there are, and how many break each rule.
+
+    ``extra`` aggregates ride along in the same pass.
+    """
     family = family_name(model_type)
     flag = column(train_test_col)
     weight = _bad_weight(column(weight_col)) if weight_col else F.lit(False)
@@ -58,6 +62,7 @@ def rule_counts(
         F.count_if(_bad_flag(flag)).alias("bad_flag"),
         F.count_if(_bad_target(column(target), family)).alias("bad_target"),
         F.count_if(weight).alias("bad_weight"),
+        *extra,
     )
 
 
@@ -114,13 +119,17 @@ def validate_fit_input(
     train_test_col: str,
     model_type: str,
     weight_col: str | None = None,
-) -> None:
-    """Everything a fit asks of its input, over all rows and not only training rows."""
+    extra: Sequence[Column] = (),
+) -> Row:
+    """Everything a fit asks of its input, over all rows and not only training rows.
+
+    Returns the counts and the ``extra`` aggregates of the one pass this takes.
+    """
     if train_test_col not in df.columns:
         raise _missing_flag(train_test_col)
     check_columns(df, [target, train_test_col] + ([weight_col] if weight_col else []))
     family = family_name(model_type)
-    row = rule_counts(df, target, train_test_col, family, weight_col).first()
+    row = rule_counts(df, target, train_test_col, family, weight_col, extra).first()
     if not row["n_rows"]:
         raise ValueError("The input DataFrame is empty.")
     if row["bad_flag"]:
@@ -142,3 +151,4 @@ def validate_fit_input(
         raise ValueError(
             f"Weight column has invalid values (<=0, inf, NaN): {row['bad_weight']} rows."
         )
+    return row
