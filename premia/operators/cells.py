@@ -73,8 +73,11 @@ class CellTable:
         wanted = max(1, math.ceil(n / CELLS_PER_TASK))
         cores = spark.sparkContext.defaultParallelism
         if n > 4096:
-            # Work per cell is high next to its bytes: more tasks than file size suggests.
+            # Work per cell is high next to its bytes: more tasks than file size suggests,
+            # and full waves of them, since all take about the same time.
             wanted = max(wanted, min(cores, math.ceil(n / 4096)))
+            if wanted > cores:
+                wanted = math.ceil(wanted / cores) * cores
         df = scratch.df
         have = df.rdd.getNumPartitions()
         if wanted < have:

@@ -45,6 +45,8 @@ RIDGE_ALPHA_MAX = 10.0
 GRADIENT_TOL = 1e-9
 # Doubles in the result of one task of one pass.
 PASS_BUDGET = 4_000_000
+# Doubles in the Gram matrices the driver holds at once.
+SOLVER_BUDGET = 8_000_000
 # Partial sums are added in a tree with this many inputs per node.
 FAN_IN = 32
 MAX_LEVELS = 10_000
@@ -98,12 +100,8 @@ class Design:
     def score(self, onehot: np.ndarray) -> np.ndarray:
         return onehot @ self.matrix
 
-    def gram(self, upper: np.ndarray) -> np.ndarray:
-        d = self.layout.dim
-        g = upper.reshape(-1, d, d)
-        full = g + np.transpose(g, (0, 2, 1))
-        full[:, np.arange(d), np.arange(d)] = g[:, np.arange(d), np.arange(d)]
-        return self.matrix.T @ full @ self.matrix
+    def gram(self, packed: np.ndarray) -> np.ndarray:
+        return self.matrix.T @ self.layout.unpack(packed) @ self.matrix
 
     def onehot_coefs(self, intercept: np.ndarray, beta: np.ndarray) -> np.ndarray:
         return np.column_stack([intercept, beta]) @ self.matrix.T
@@ -120,8 +118,9 @@ def _tree_sum(partials: DataFrame, parts: int) -> np.ndarray:
             kernels.add_task(), kernels.PARTIAL_SCHEMA
         )
     total = None
-    for row in partials.select("payload").collect():
-        x = np.frombuffer(row["payload"])
+    # Arrow brings the few payloads over without converting them row by row.
+    for value in partials.select("payload").toArrow()["payload"]:
+        x = np.frombuffer(value.as_buffer())
         total = x.copy() if total is None else total + x
     return total
 
@@ -143,10 +142,10 @@ class CellPasses:
         total = _tree_sum(partials, self.parts).reshape(self.n_folds, -1)
         self.count += 1
         return {
-            "gram": self.design.gram(total[:, : d * d]),
-            "xy": self.design.score(total[:, d * d : d * d + d]),
-            "w": total[:, -2],
-            "h": total[:, -1],
+            "xy": self.design.score(total[:, :d]),
+            "w": total[:, d],
+            "h": total[:, d + 1],
+            "gram": self.design.gram(total[:, d + 2 :]),
         }
 
     def evaluate(self, intercept, beta, held_out, with_gram):
@@ -225,12 +224,17 @@ class Fitter:
         return math.log(max(mean, 1e-300))
 
     def _at_null(self, held_out: int):
-        """Score, Gram and deviance at the null model, from the moments alone."""
+        """Score, Gram and deviance at the null model, from the moments alone.
+
+        The Gram matrix uses the expected curvature, which needs no pass; later ones use
+        the curvature of the likelihood itself.
+        """
         m = self.train(held_out)
-        eta = np.array([m["null"]])
-        mu, unit, slope = (x[0] for x in kernels.mean_and_weight(eta, self.family))
-        score = (m["xy"] - mu * m["gram"][0]) * slope
-        dev = kernels.cell_deviance(m["w"], m["xy"][0], m["h"], mu, self.family)
+        mu = kernels.mean_of(np.array([m["null"]]), self.family)
+        w, wy = np.array([m["w"]]), np.array([m["xy"][0]])
+        score = kernels.residual(m["gram"][0], m["xy"], mu[0], self.family)
+        unit = kernels.curvature(np.ones(1), mu, mu, self.family)
+        dev = kernels.total_deviance(w, wy, m["h"], mu, self.family)
         return score, m["gram"] * unit, dev
 
     def null_gradient(self, held_out: int = -1) -> np.ndarray:
@@ -274,16 +278,16 @@ class Fitter:
 
     @property
     def constant_weights(self) -> bool:
-        return self.family in ("gaussian", "gamma")
+        return self.family == "gaussian"
 
     def solve(self, problems: Sequence[Problem]) -> None:
         """Solve all problems in chunks whose pass results fit the budget.
 
         A chunk later in the order starts from the neighbouring solution before it.
         """
-        d = self.passes.design.layout.dim
-        size = d + 3 + (0 if self.constant_weights else d * d)
-        limit = max(1, PASS_BUDGET // max(size, self.p * self.p + 1))
+        layout = self.passes.design.layout
+        size = layout.dim + 3 + (0 if self.constant_weights else layout.packed)
+        limit = max(1, min(PASS_BUDGET // size, SOLVER_BUDGET // (self.p + 1) ** 2))
         order = sorted(problems, key=lambda pr: -pr.alpha)
         last: dict[tuple, Problem] = {}
         for i in range(0, len(order), limit):

@@ -2,7 +2,7 @@
 
 A pass sends the current linear predictors to the tasks and gets back, per problem, the
 score vector, the deviance and, if asked, the weighted Gram matrix.  Both are over
-one-hot bins, where a Gram matrix is a set of two-way totals: two array lookups per cell
+one-hot bins, where a Gram matrix is a set of two-way totals: one array lookup per cell
 and pair of predictors, instead of a dense product over all indicator columns.
 """
 
@@ -15,7 +15,12 @@ PARTIAL_SCHEMA = "part int, payload binary"
 
 
 class Layout:
-    """Where each predictor's bins sit in the one-hot vector: 1, bins.., raws.."""
+    """Where each predictor's bins sit in the one-hot vector: 1, bins.., raws..
+
+    A Gram matrix travels as its distinct entries: the diagonal blocks of bins are
+    diagonal and equal the intercept's row, so only that row, the blocks of pairs and
+    the entries of raw columns are sent.
+    """
 
     def __init__(self, sizes, n_raw):
         self.sizes = list(sizes)
@@ -27,80 +32,151 @@ class Layout:
             at += s
         self.raw_at = at
         self.dim = at + n_raw
-
-
-def mean_and_weight(eta, family):
-    """Mean, IRLS weight per unit of w, and score multiplier per unit of (y - mean)."""
+        n = len(self.sizes)
+        self.pairs = [(a, c) for a in range(n) for c in range(a + 1, n)]
+        self.pair_at = []
+        at = self.dim
+        for a, c in self.pairs:
+            self.pair_at.append(at)
+            at += self.sizes[a] * self.sizes[c]
+        self.mixed_at = at
+        at += (self.raw_at - 1) * n_raw
+        self.square_at = at
+        self.packed = at + n_raw * n_raw
+
+    def unpack(self, packed):
+        """Full symmetric matrices from rows of packed entries."""
+        packed = np.atleast_2d(packed)
+        k, d = len(packed), self.dim
+        out = np.zeros((k, d, d))
+        out[:, 0, :] = packed[:, :d]
+        out[:, :, 0] = packed[:, :d]
+        inner = np.arange(1, self.raw_at)
+        out[:, inner, inner] = packed[:, 1 : self.raw_at]
+        for (a, c), at in zip(self.pairs, self.pair_at):
+            n, m = self.sizes[a], self.sizes[c]
+            block = packed[:, at : at + n * m].reshape(k, n, m)
+            i, j = self.offsets[a], self.offsets[c]
+            out[:, i : i + n, j : j + m] = block
+            out[:, j : j + m, i : i + n] = block.transpose(0, 2, 1)
+        if self.n_raw:
+            mixed = packed[:, self.mixed_at : self.square_at]
+            mixed = mixed.reshape(k, self.raw_at - 1, self.n_raw)
+            out[:, 1 : self.raw_at, self.raw_at :] = mixed
+            out[:, self.raw_at :, 1 : self.raw_at] = mixed.transpose(0, 2, 1)
+            square = packed[:, self.square_at :].reshape(k, self.n_raw, self.n_raw)
+            out[:, self.raw_at :, self.raw_at :] = square
+        return out
+
+
+def mean_of(eta, family):
     if family == "gaussian":
-        return eta, np.ones_like(eta), np.ones_like(eta)
+        return eta
     if family == "binomial":
-        mu = 1.0 / (1.0 + np.exp(-np.clip(eta, -35.0, 35.0)))
-        return mu, mu * (1.0 - mu), np.ones_like(eta)
-    mu = np.exp(np.clip(eta, -200.0, 200.0))
-    if family == "poisson":
-        return mu, mu, np.ones_like(eta)
-    return mu, np.ones_like(eta), 1.0 / mu
+        return 1.0 / (1.0 + np.exp(-np.clip(eta, -35.0, 35.0)))
+    return np.exp(np.clip(eta, -200.0, 200.0))
 
 
-def cell_deviance(sw, swy, swh, mu, family):
-    if family == "gaussian":
-        return swh - 2.0 * mu * swy + sw * mu * mu
-    if family == "poisson":
-        return 2.0 * (swh - swy * np.log(mu) - swy + sw * mu)
-    if family == "gamma":
-        return 2.0 * (sw * np.log(mu) - swh + swy / mu - sw)
-    return 2.0 * (swh - swy * np.log(mu) - (sw - swy) * np.log1p(-mu))
+def residual(sw, swy, mu, family):
+    """Derivative of the weighted log-likelihood in the linear predictor."""
+    r = swy - sw * mu
+    return r / mu if family == "gamma" else r
 
 
-def _score(layout, bins, raws, r):
-    g = np.empty(layout.dim)
-    g[0] = r.sum()
-    for at, size, b in zip(layout.offsets, layout.sizes, bins):
-        g[at : at + size] = np.bincount(b, weights=r, minlength=size)
-    for j, x in enumerate(raws):
-        g[layout.raw_at + j] = r @ x
-    return g
+def curvature(sw, swy, mu, family):
+    """Minus its second derivative; positive for every family under these links."""
+    if family == "poisson":
+        return sw * mu
+    if family == "binomial":
+        return sw * mu * (1.0 - mu)
+    if family == "gamma":
+        return swy / mu
+    return sw
 
 
-def _gram(layout, bins, raws, pairs, weight):
-    """Upper triangle by blocks of the one-hot Gram matrix."""
-    d = layout.dim
-    out = np.zeros((d, d))
-    out[0, 0] = weight.sum()
-    for a, (at, size, b) in enumerate(zip(layout.offsets, layout.sizes, bins)):
-        own = np.bincount(b, weights=weight, minlength=size)
-        out[0, at : at + size] = own
-        span = np.arange(at, at + size)
-        out[span, span] = own
-        for c in range(a + 1, len(bins)):
-            to, width = layout.offsets[c], layout.sizes[c]
-            out[at : at + size, to : to + width] = np.bincount(
-                pairs[a, c], weights=weight, minlength=size * width
-            ).reshape(size, width)
-        for j, x in enumerate(raws):
-            out[at : at + size, layout.raw_at + j] = np.bincount(
-                b, weights=weight * x, minlength=size
+def total_deviance(sw, swy, h, mu, family):
+    """Deviance of all cells together; ``h`` is the sum of the constant parts."""
+    if family == "gaussian":
+        return h - 2.0 * (mu @ swy) + (mu * mu) @ sw
+    if family == "poisson":
+        return 2.0 * (h - swy @ np.log(mu) - swy.sum() + sw @ mu)
+    if family == "gamma":
+        return 2.0 * (sw @ np.log(mu) - h + (swy / mu).sum() - sw.sum())
+    return 2.0 * (h - swy @ np.log(mu) - (sw - swy) @ np.log1p(-mu))
+
+
+class Batch:
+    """One Arrow batch as arrays, with the index of every pair of bins."""
+
+    def __init__(self, batch, layout):
+        def read(name):
+            return batch.column(name).to_numpy()
+
+        self.layout = layout
+        self.bins = [read(f"b{i}").astype(np.int64) for i in range(len(layout.sizes))]
+        self.places = [at + b for at, b in zip(layout.offsets, self.bins)]
+        self.pairs = [self.bins[a] * layout.sizes[c] + self.bins[c] for a, c in layout.pairs]
+        self.raws = [read(f"r{i}") for i in range(layout.n_raw)]
+        self.fold = read("fold")
+        self.sw, self.swy, self.swh = read("sw"), read("swy"), read("swh")
+        self._parts = {}
+
+    def part(self, fold, inside):
+        """``(sw, swy, sum of swh)`` of the cells of a fold or outside it, others at 0."""
+        if (fold, inside) not in self._parts:
+            keep = (self.fold == fold) == inside
+            self._parts[fold, inside] = (
+                np.where(keep, self.sw, 0.0),
+                np.where(keep, self.swy, 0.0),
+                self.swh[keep].sum(),
             )
-    if raws:
-        x = np.column_stack(raws)
-        out[0, layout.raw_at :] = weight @ x
-        out[layout.raw_at :, layout.raw_at :] = np.triu(x.T @ (x * weight[:, None]))
-    return out
-
-
-def _read(batch, layout):
-    bins = [
-        batch.column(f"b{i}").to_numpy().astype(np.int64) for i in range(len(layout.sizes))
-    ]
-    raws = [batch.column(f"r{i}").to_numpy() for i in range(layout.n_raw)]
-    fold = batch.column("fold").to_numpy()
-    sums = [batch.column(c).to_numpy() for c in ("sw", "swy", "swh")]
-    pairs = {
-        (a, c): bins[a] * layout.sizes[c] + bins[c]
-        for a in range(len(bins))
-        for c in range(a + 1, len(bins))
-    }
-    return bins, raws, fold, sums, pairs
+        return self._parts[fold, inside]
+
+    def eta(self, coefs):
+        eta = np.full(len(self.sw), coefs[0])
+        for place in self.places:
+            eta += coefs[place]
+        for j, x in enumerate(self.raws):
+            eta += coefs[self.layout.raw_at + j] * x
+        return eta
+
+    def add_score(self, r, out):
+        layout = self.layout
+        out[0] += r.sum()
+        for at, size, b in zip(layout.offsets, layout.sizes, self.bins):
+            out[at : at + size] += np.bincount(b, weights=r, minlength=size)
+        for j, x in enumerate(self.raws):
+            out[layout.raw_at + j] += r @ x
+
+    def add_gram(self, weight, out):
+        layout = self.layout
+        out[0] += weight.sum()
+        own = {}
+        for (a, c), at, pair in zip(layout.pairs, layout.pair_at, self.pairs):
+            n, m = layout.sizes[a], layout.sizes[c]
+            block = np.bincount(pair, weights=weight, minlength=n * m)
+            out[at : at + n * m] += block
+            square = block.reshape(n, m)
+            if a not in own:
+                own[a] = square.sum(axis=1)
+            if c not in own:
+                own[c] = square.sum(axis=0)
+        for a, (at, size, b) in enumerate(zip(layout.offsets, layout.sizes, self.bins)):
+            if a not in own:
+                own[a] = np.bincount(b, weights=weight, minlength=size)
+            out[at : at + size] += own[a]
+        if not self.raws:
+            return
+        mixed = out[layout.mixed_at : layout.square_at].reshape(-1, layout.n_raw)
+        x = np.column_stack(self.raws)
+        wx = x * weight[:, None]
+        out[layout.raw_at : layout.dim] += wx.sum(axis=0)
+        out[layout.square_at :] += (x.T @ wx).ravel()
+        for at, size, b in zip(layout.offsets, layout.sizes, self.bins):
+            for j in range(layout.n_raw):
+                mixed[at - 1 : at - 1 + size, j] += np.bincount(
+                    b, weights=wx[:, j], minlength=size
+                )
 
 
 def _emit(part, total):
@@ -111,26 +187,23 @@ def _emit(part, total):
 
 
 def moments_task(layout, n_folds):
-    """Per fold: Gram matrix with weights w, X'wy, and the sums w and w*h(y)."""
+    """Per fold: score of wy, the sums of w and w*h(y), Gram matrix with weights w."""
     d = layout.dim
 
     def run(batches):
         from pyspark import TaskContext
 
-        total = np.zeros((n_folds, d * d + d + 2))
-        for batch in batches:
-            bins, raws, fold, (sw, swy, swh), pairs = _read(batch, layout)
+        total = np.zeros((n_folds, d + 2 + layout.packed))
+        for raw in batches:
+            batch = Batch(raw, layout)
             for f in range(n_folds):
-                here = fold == f
-                if not here.any():
+                sw, swy, swh = batch.part(f, True)
+                if not sw.any():
                     continue
-                w = np.where(here, sw, 0.0)
-                total[f, : d * d] += _gram(layout, bins, raws, pairs, w).ravel()
-                total[f, d * d : d * d + d] += _score(
-                    layout, bins, raws, np.where(here, swy, 0.0)
-                )
-                total[f, -2] += w.sum()
-                total[f, -1] += swh[here].sum()
+                batch.add_score(swy, total[f, :d])
+                total[f, d] += sw.sum()
+                total[f, d + 1] += swh
+                batch.add_gram(sw, total[f, d + 2 :])
         yield from _emit(TaskContext.get().partitionId(), total)
 
     return run
@@ -143,34 +216,25 @@ def pass_task(layout, family, coefs, held_out, with_gram):
     Per problem: score, train deviance, held-out deviance, held-out weight, Gram.
     """
     d = layout.dim
-    n_problems = len(coefs)
-    width = d + 3 + (d * d if with_gram else 0)
+    width = d + 3 + (layout.packed if with_gram else 0)
 
     def run(batches):
         from pyspark import TaskContext
 
-        total = np.zeros((n_problems, width))
-        for batch in batches:
-            bins, raws, fold, (sw, swy, swh), pairs = _read(batch, layout)
-            for k in range(n_problems):
-                beta = coefs[k]
-                eta = np.full(len(sw), beta[0])
-                for at, b in zip(layout.offsets, bins):
-                    eta += beta[at + b]
-                for j, x in enumerate(raws):
-                    eta += beta[layout.raw_at + j] * x
-                mu, unit, slope = mean_and_weight(eta, family)
-                dev = cell_deviance(sw, swy, swh, mu, family)
-                inside = fold != held_out[k]
-                w = np.where(inside, sw, 0.0)
-                r = np.where(inside, (swy - sw * mu) * slope, 0.0)
-                row = total[k]
-                row[:d] += _score(layout, bins, raws, r)
-                row[d] += dev[inside].sum()
-                row[d + 1] += dev[~inside].sum()
-                row[d + 2] += sw[~inside].sum()
+        total = np.zeros((len(coefs), width))
+        for raw in batches:
+            batch = Batch(raw, layout)
+            for beta, held, row in zip(coefs, held_out, total):
+                mu = mean_of(batch.eta(beta), family)
+                sw, swy, swh = batch.part(held, False)
+                batch.add_score(residual(sw, swy, mu, family), row[:d])
+                row[d] += total_deviance(sw, swy, swh, mu, family)
+                if held >= 0:
+                    out_w, out_wy, out_h = batch.part(held, True)
+                    row[d + 1] += total_deviance(out_w, out_wy, out_h, mu, family)
+                    row[d + 2] += out_w.sum()
                 if with_gram:
-                    row[d + 3 :] += _gram(layout, bins, raws, pairs, w * unit).ravel()
+                    batch.add_gram(curvature(sw, swy, mu, family), row[d + 3 :])
         yield from _emit(TaskContext.get().partitionId(), total)
 
     return run

@@ -12,19 +12,40 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from premia.functions.binning import bin_id
-from premia.functions.names import column, quote_identifier
+from premia.functions.names import column
 
 # An interval with at most this many rows is ranked by one window task.
 RANK_LIMIT = 200_000
 SKETCH_K = 2048
 SKETCH_MARGIN = 0.003
-# Columns whose bin expressions go into one scan.
-COLUMNS_PER_SCAN = 24
+# Steps of the grid that splits an interval found earlier; one grid serves all of them.
+INNER_STEPS = 512
+
+
+@dataclass
+class Interval:
+    """Values of one column strictly between two bounds, some ranks of which are wanted.
+
+    ``below`` values of the column come before the interval and ``n`` lie in it.
+    """
+
+    name: str
+    lower: float
+    upper: float
+    below: int
+    n: int
+    ranks: list[int]
+
+    @property
+    def whole(self) -> bool:
+        return self.lower == -math.inf and self.upper == math.inf
 
 
 def nearest_rank(q: float, n: int) -> int:
@@ -32,55 +53,67 @@ def nearest_rank(q: float, n: int) -> int:
     return min(max(math.floor(q * (n - 1) + 0.5), 0), n - 1)
 
 
-def _chunks(items: Sequence, size: int):
-    for i in range(0, len(items), size):
-        yield items[i : i + size]
-
-
 def _values(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The columns as doubles, NaN counted as missing."""
+    """The columns as doubles called v0, v1, ..; NaN counts as missing."""
+    doubles = [column(c).cast("double") for c in names]
     return df.select(
-        *[
-            F.when(~F.isnan(column(c).cast("double")), column(c).cast("double")).alias(c)
-            for c in names
-        ]
+        *[F.when(~F.isnan(x), x).alias(f"v{i}") for i, x in enumerate(doubles)]
     )
 
 
-def _unpivot(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    pairs = [x for i, c in enumerate(names) for x in (F.lit(i), column(c))]
-    return df.select(F.stack(F.lit(len(names)), *pairs).alias("v", "x")).where(
-        F.col("x").isNotNull()
-    )
-
-
-def _small_ranks(
-    df: DataFrame, names: Sequence[str], ranks: Mapping[str, Sequence[int]]
-) -> dict[str, dict[int, float]]:
-    """Ranks of columns known to hold at most RANK_LIMIT values each."""
-    spark = df.sparkSession
-    w = Window.partitionBy("v").orderBy("x").rowsBetween(
+def _members(values: DataFrame, names: Sequence[str], intervals: Sequence[Interval]) -> DataFrame:
+    """``(part, x)``: the values inside each interval, by position in the list."""
+    if all(i.whole for i in intervals):
+        pairs = [
+            y for k, i in enumerate(intervals)
+            for y in (F.lit(k), F.col(f"v{names.index(i.name)}"))
+        ]
+        long = values.select(F.stack(F.lit(len(intervals)), *pairs).alias("part", "x"))
+        return long.where(F.col("x").isNotNull())
+    places = [names.index(i.name) for i in intervals]
+    bounds = [(i.lower, i.upper) for i in intervals]
+
+    def pick(batches):
+        for batch in batches:
+            cols = {}
+            for k, (at, (lo, hi)) in enumerate(zip(places, bounds)):
+                if at not in cols:
+                    cols[at] = batch.column(at).to_numpy(zero_copy_only=False)
+                x = cols[at]
+                x = x[(x > lo) & (x < hi)]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(x), k, np.int32)), pa.array(x)], ["part", "x"]
+                    )
+
+    return values.mapInArrow(pick, "part int, x double")
+
+
+def _rank(members: DataFrame, intervals: Sequence[Interval]) -> list[dict[int, float]]:
+    """Wanted ranks of intervals known to hold at most RANK_LIMIT values each."""
+    spark = members.sparkSession
+    upto = Window.partitionBy("part").orderBy("x").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     running = (
-        _unpivot(df, names)
-        .groupBy("v", "x")
+        members.groupBy("part", "x")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(w))
+        .withColumn("upto", F.sum("n").over(upto))
     )
     wanted = spark.createDataFrame(
-        [(i, int(r)) for i, c in enumerate(names) for r in sorted(set(ranks[c]))],
-        "v int, r bigint",
+        [(k, int(r - i.below)) for k, i in enumerate(intervals) for r in i.ranks],
+        "wanted_part int, r bigint",
     )
+    # At most a few dozen ranks per interval.
     hit = running.join(
-        F.broadcast(wanted.withColumnRenamed("v", "wv")),
-        (F.col("v") == F.col("wv"))
+        F.broadcast(wanted),
+        (F.col("part") == F.col("wanted_part"))
         & (F.col("r") < F.col("upto"))
         & (F.col("r") >= F.col("upto") - F.col("n")),
     )
-    out: dict[str, dict[int, float]] = {c: {} for c in names}
-    for row in hit.select("v", "r", "x").collect():
-        out[names[row["v"]]][row["r"]] = row["x"]
+    out: list[dict[int, float]] = [{} for _ in intervals]
+    for row in hit.select("part", "r", "x").collect():
+        out[row["part"]][row["r"] + intervals[row["part"]].below] = row["x"]
     return out
 
 
@@ -89,59 +122,124 @@ def _merge_groups(df: DataFrame) -> int:
     return max(1, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def _grid(interval: Interval) -> list[float]:
+    """Where to split: a little to either side of each wanted rank."""
+    at = [(r - interval.below) / max(interval.n - 1, 1) for r in interval.ranks]
+    steps = (-SKETCH_MARGIN, 0.0, SKETCH_MARGIN)
+    return sorted({min(max(q + d, 0.0), 1.0) for q in at for d in steps})
+
+
 def _propose(
-    df: DataFrame, probs: Mapping[str, Sequence[float]]
-) -> dict[str, list[float]]:
-    """Splitters per column: sketch quantiles a little to either side of each rank."""
-    names = list(probs)
-    sketches = df.groupBy(
-        (F.spark_partition_id() % _merge_groups(df)).alias("g")
-    ).agg(
-        *[F.kll_sketch_agg_double(column(c), F.lit(SKETCH_K)).alias(f"s{i}")
-          for i, c in enumerate(names)]
-    )
-    merged = sketches.agg(
-        *[F.kll_merge_agg_double(F.col(f"s{i}"), F.lit(SKETCH_K)).alias(f"s{i}")
-          for i in range(len(names))]
-    )
-    grids = []
-    for i, c in enumerate(names):
-        points = sorted(
-            {min(max(q + d, 0.0), 1.0)
-             for q in probs[c] for d in (-SKETCH_MARGIN, 0.0, SKETCH_MARGIN)}
+    values: DataFrame, names: Sequence[str], intervals: Sequence[Interval]
+) -> list[list[float]]:
+    """Splitters per interval, from sketches merged in two steps."""
+    group = (F.spark_partition_id() % _merge_groups(values)).alias("g")
+
+    def grid(sketch, interval):
+        points = F.array(*[F.lit(p) for p in _grid(interval)])
+        return F.kll_sketch_get_quantile_double(sketch, points)
+
+    if all(i.whole for i in intervals):
+        cols = [f"v{names.index(i.name)}" for i in intervals]
+        sketches = values.groupBy(group).agg(
+            *[F.kll_sketch_agg_double(F.col(c), F.lit(SKETCH_K)).alias(c) for c in cols]
         )
-        grid = F.array(*[F.lit(p) for p in points])
-        grids.append(F.kll_sketch_get_quantile_double(F.col(f"s{i}"), grid).alias(f"s{i}"))
-    row = merged.select(*grids).first()
-    return {c: sorted(set(row[f"s{i}"])) for i, c in enumerate(names)}
+        merged = sketches.agg(
+            *[F.kll_merge_agg_double(F.col(c), F.lit(SKETCH_K)).alias(c) for c in cols]
+        )
+        row = merged.select(
+            *[grid(F.col(c), i).alias(c) for c, i in zip(cols, intervals)]
+        ).first()
+        return [sorted(set(row[c])) for c in cols]
+    sketches = (
+        _members(values, names, intervals)
+        .groupBy("part", group)
+        .agg(F.kll_sketch_agg_double(F.col("x"), F.lit(SKETCH_K)).alias("s"))
+        .groupBy("part")
+        .agg(F.kll_merge_agg_double(F.col("s"), F.lit(SKETCH_K)).alias("s"))
+    )
+    points = F.array(*[F.lit(j / INNER_STEPS) for j in range(INNER_STEPS + 1)])
+    rows = sketches.select("part", F.kll_sketch_get_quantile_double(F.col("s"), points)).collect()
+    out: list[list[float]] = [[] for _ in intervals]
+    for part, quantiles in rows:
+        i = intervals[part]
+        near = set()
+        for r in i.ranks:
+            at = int((r - i.below) / max(i.n - 1, 1) * INNER_STEPS)
+            near.update(quantiles[j] for j in range(max(at - 1, 0), min(at + 3, INNER_STEPS + 1)))
+        out[part] = sorted(near)
+    return out
 
 
-def _count_intervals(
-    df: DataFrame, splitters: Mapping[str, Sequence[float]]
+def _count_cells(
+    values: DataFrame, names: Sequence[str], cuts: Mapping[str, Sequence[float]]
 ) -> dict[str, dict[int, int]]:
-    """Exact counts: code 2i is strictly between splitters i-1 and i, 2i-1 is equal to
-    splitter i-1."""
-    out: dict[str, dict[int, int]] = {c: {} for c in splitters}
-    for names in _chunks(list(splitters), COLUMNS_PER_SCAN):
-        pairs = []
-        for j, c in enumerate(names):
-            x, cuts = column(c), splitters[c]
-            i = bin_id(x, cuts)
-            # get() is 0-based and null below the first splitter.
-            lower = F.get(F.array(*[F.lit(s) for s in cuts]), i - 1)
-            equal = F.coalesce((x == lower).cast("int"), F.lit(0))
-            pairs += [F.lit(j), 2 * i - equal]
-        coded = df.select(F.stack(F.lit(len(names)), *pairs).alias("v", "code"))
-        counted = (
-            coded.where(F.col("code").isNotNull())
-            .groupBy("v", "code")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        for row in counted.collect():
-            out[names[row["v"]]][row["code"]] = row["n"]
+    """Exact counts around sorted cuts: code 2i is strictly between cuts i-1 and i, and
+    2i-1 is equal to cut i-1.
+
+    Each task counts its rows in arrays and sends one row per cell.
+    """
+    places = [(names.index(c), np.asarray(x, dtype=float)) for c, x in cuts.items()]
+
+    def count(batches):
+        totals = {at: np.zeros(2 * len(x) + 1, np.int64) for at, x in places}
+        for batch in batches:
+            for at, edges in places:
+                x = batch.column(at).drop_null().to_numpy(zero_copy_only=False)
+                code = np.searchsorted(edges, x, "left") + np.searchsorted(edges, x, "right")
+                totals[at] += np.bincount(code, minlength=len(totals[at]))
+        for at, n in totals.items():
+            used = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(used), at, np.int32)),
+                    pa.array(used.astype(np.int32)),
+                    pa.array(n[used]),
+                ],
+                ["v", "code", "n"],
+            )
+
+    cells = values.mapInArrow(count, "v int, code int, n bigint")
+    out: dict[str, dict[int, int]] = {c: {} for c in cuts}
+    for row in cells.groupBy("v", "code").agg(F.sum("n").alias("n")).collect():
+        out[names[row["v"]]][row["code"]] = row["n"]
     return out
 
 
+def _split(
+    intervals: Sequence[Interval],
+    splitters: Sequence[Sequence[float]],
+    counts: Callable[[Mapping[str, Sequence[float]]], dict[str, dict[int, int]]],
+    found: dict[str, dict[int, float]],
+) -> list[Interval]:
+    """Count around the splitters; note ranks that land on one, return the rest."""
+    cuts: dict[str, set[float]] = {}
+    for i, s in zip(intervals, splitters):
+        bounds = {b for b in (i.lower, i.upper) if math.isfinite(b)}
+        cuts.setdefault(i.name, set()).update(s, bounds)
+    ordered = {c: sorted(x) for c, x in cuts.items()}
+    cells = counts(ordered)
+    narrower = []
+    for i in intervals:
+        edges, below = ordered[i.name], i.below
+        for code, n in sorted(cells[i.name].items()):
+            equal, at = code % 2 == 1, code // 2
+            lower = edges[at] if equal else (edges[at - 1] if at else -math.inf)
+            upper = edges[at] if equal else (edges[at] if at < len(edges) else math.inf)
+            # Only cells strictly inside this interval are its own.
+            if equal and not i.lower < lower < i.upper:
+                continue
+            if not equal and not (lower >= i.lower and upper <= i.upper):
+                continue
+            here = [r for r in i.ranks if below <= r < below + n]
+            if here and equal:
+                found[i.name].update({r: lower for r in here})
+            elif here:
+                narrower.append(Interval(i.name, lower, upper, below, n, here))
+            below += n
+    return narrower
+
+
 def order_statistics(
     df: DataFrame,
     names: Sequence[str],
@@ -158,68 +256,35 @@ def order_statistics(
         return {}, {}
     values = _values(df, names)
     if counts is None:
-        row = values.agg(
-            *[F.count(column(c)).alias(f"n{i}") for i, c in enumerate(names)]
-        ).first()
-        counts = {c: row[f"n{i}"] for i, c in enumerate(names)}
+        row = values.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(names))]).first()
+        counts = {c: row[f"v{i}"] for i, c in enumerate(names)}
     else:
         counts = {c: counts[c] for c in names}
-    ranks = {c: sorted(set(ranks_of(c, n))) if n else [] for c, n in counts.items()}
-    found = _select(values, counts, ranks, rank_limit)
+    found: dict[str, dict[int, float]] = {c: {} for c in names}
+    open_ = [
+        Interval(c, -math.inf, math.inf, 0, n, sorted(set(ranks_of(c, n))))
+        for c, n in counts.items()
+        if n
+    ]
+    small: list[Interval] = []
+    while open_:
+        small += [i for i in open_ if i.n <= rank_limit]
+        large = [i for i in open_ if i.n > rank_limit]
+        open_ = []
+        if large:
+            splitters = _propose(values, names, large)
+            open_ = _split(
+                large, splitters, lambda cuts: _count_cells(values, names, cuts), found
+            )
+    # Whole columns and parts of columns are read in different ways.
+    for group in ([i for i in small if i.whole], [i for i in small if not i.whole]):
+        if group:
+            ranked = _rank(_members(values, names, group), group)
+            for i, got in zip(group, ranked):
+                found[i.name].update(got)
     return counts, found
 
 
-def _select(
-    values: DataFrame,
-    counts: Mapping[str, int],
-    ranks: Mapping[str, Sequence[int]],
-    rank_limit: int,
-) -> dict[str, dict[int, float]]:
-    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
-    small = [c for c in ranks if ranks[c] and counts[c] <= rank_limit]
-    large = [c for c in ranks if ranks[c] and counts[c] > rank_limit]
-    if small:
-        found.update(_small_ranks(values, small, ranks))
-    if not large:
-        return found
-
-    probs = {c: [r / max(counts[c] - 1, 1) for r in ranks[c]] for c in large}
-    splitters = _propose(values, probs)
-    interval_counts = _count_intervals(values, splitters)
-
-    inner, inner_counts, inner_ranks, origin = [], {}, {}, {}
-    for c in large:
-        cuts, below = splitters[c], 0
-        cells = sorted(interval_counts[c].items())
-        pending = list(ranks[c])
-        for code, n in cells:
-            here = [r for r in pending if below <= r < below + n]
-            if here and code % 2:
-                found[c].update({r: cuts[(code - 1) // 2] for r in here})
-            elif here:
-                i, x = code // 2, column(c)
-                inside = x.isNotNull()
-                if i > 0:
-                    inside &= x > F.lit(cuts[i - 1])
-                if i < len(cuts):
-                    inside &= x < F.lit(cuts[i])
-                name = f"part{len(inner)}"
-                inner.append(F.when(inside, x).alias(name))
-                inner_counts[name] = n
-                inner_ranks[name] = [r - below for r in here]
-                origin[name] = (c, below)
-            below += n
-    if inner:
-        # A row outside every interval is all null and costs nothing further on.
-        parts = values.select(*inner).where(
-            F.coalesce(*[F.col(quote_identifier(p)) for p in inner_counts]).isNotNull()
-        )
-        for name, got in _select(parts, inner_counts, inner_ranks, rank_limit).items():
-            c, below = origin[name]
-            found[c].update({r + below: v for r, v in got.items()})
-    return found
-
-
 def nearest_quantiles(
     df: DataFrame, names: Sequence[str], probs: Sequence[float], **kw
 ) -> dict[str, list[float]]:
@@ -261,7 +326,7 @@ def approximate_quantiles(
     if not names:
         return {}
     row = _values(df, names).agg(
-        *[F.percentile_approx(column(c), list(probs), accuracy).alias(f"q{i}")
-          for i, c in enumerate(names)]
+        *[F.percentile_approx(F.col(f"v{i}"), list(probs), accuracy).alias(f"q{i}")
+          for i in range(len(names))]
     ).first()
     return {c: list(row[f"q{i}"] or []) for i, c in enumerate(names)}
