@@ -33,19 +33,30 @@ INNER_STEPS = 512
 class Interval:
     """Values of one column strictly between two bounds, some ranks of which are wanted.
 
-    ``below`` values of the column come before the interval and ``n`` lie in it.
+    ``below`` values of the column come before the interval and ``n`` lie in it.  An
+    open bound is None, since infinities are values too.
     """
 
     name: str
-    lower: float
-    upper: float
+    lower: float | None
+    upper: float | None
     below: int
     n: int
     ranks: list[int]
 
     @property
     def whole(self) -> bool:
-        return self.lower == -math.inf and self.upper == math.inf
+        return self.lower is None and self.upper is None
+
+    def holds(self, lower: float | None, upper: float | None) -> bool:
+        """Whether the open range between two cuts lies in this interval."""
+        from_here = self.lower is None or (lower is not None and lower >= self.lower)
+        to_here = self.upper is None or (upper is not None and upper <= self.upper)
+        return from_here and to_here
+
+    def contains(self, x: float) -> bool:
+        above = self.lower is None or x > self.lower
+        return above and (self.upper is None or x < self.upper)
 
 
 def nearest_rank(q: float, n: int) -> int:
@@ -80,7 +91,12 @@ def _members(values: DataFrame, names: Sequence[str], intervals: Sequence[Interv
                 if at not in cols:
                     cols[at] = batch.column(at).to_numpy(zero_copy_only=False)
                 x = cols[at]
-                x = x[(x > lo) & (x < hi)]
+                keep = ~np.isnan(x)
+                if lo is not None:
+                    keep &= x > lo
+                if hi is not None:
+                    keep &= x < hi
+                x = x[keep]
                 if len(x):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(x), k, np.int32)), pa.array(x)], ["part", "x"]
@@ -215,7 +231,7 @@ def _split(
     """Count around the splitters; note ranks that land on one, return the rest."""
     cuts: dict[str, set[float]] = {}
     for i, s in zip(intervals, splitters):
-        bounds = {b for b in (i.lower, i.upper) if math.isfinite(b)}
+        bounds = {b for b in (i.lower, i.upper) if b is not None}
         cuts.setdefault(i.name, set()).update(s, bounds)
     ordered = {c: sorted(x) for c, x in cuts.items()}
     cells = counts(ordered)
@@ -223,19 +239,19 @@ def _split(
     for i in intervals:
         edges, below = ordered[i.name], i.below
         for code, n in sorted(cells[i.name].items()):
-            equal, at = code % 2 == 1, code // 2
-            lower = edges[at] if equal else (edges[at - 1] if at else -math.inf)
-            upper = edges[at] if equal else (edges[at] if at < len(edges) else math.inf)
-            # Only cells strictly inside this interval are its own.
-            if equal and not i.lower < lower < i.upper:
-                continue
-            if not equal and not (lower >= i.lower and upper <= i.upper):
-                continue
+            at = code // 2
             here = [r for r in i.ranks if below <= r < below + n]
-            if here and equal:
-                found[i.name].update({r: lower for r in here})
-            elif here:
-                narrower.append(Interval(i.name, lower, upper, below, n, here))
+            if code % 2:
+                if not i.contains(edges[at]):
+                    continue
+                found[i.name].update({r: edges[at] for r in here})
+            else:
+                lower = edges[at - 1] if at else None
+                upper = edges[at] if at < len(edges) else None
+                if not i.holds(lower, upper):
+                    continue
+                if here:
+                    narrower.append(Interval(i.name, lower, upper, below, n, here))
             below += n
     return narrower
 
@@ -262,7 +278,7 @@ def order_statistics(
         counts = {c: counts[c] for c in names}
     found: dict[str, dict[int, float]] = {c: {} for c in names}
     open_ = [
-        Interval(c, -math.inf, math.inf, 0, n, sorted(set(ranks_of(c, n))))
+        Interval(c, None, None, 0, n, sorted(set(ranks_of(c, n))))
         for c, n in counts.items()
         if n
     ]
