@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from premia.functions.binning import OTHER
 from premia.functions.names import column
 from premia.operators.quantiles import approximate_quantiles, nearest_quantiles
+from premia.session import local_table
 
 # 20 probabilities from 5 % up, each as start plus a multiple of the step.
 QUANTILE_PROBABILITIES = tuple(0.05 + i * 0.05 for i in range(20))
@@ -97,7 +98,7 @@ class Blueprint(Mapping[str, VariablePlan]):
             rows += [(name, p.kind, i, None, lv) for i, lv in enumerate(p.levels)]
             if p.kind in ("empty", "error"):
                 rows.append((name, p.kind, None, None, p.error))
-        return spark.createDataFrame(rows, BLUEPRINT_SCHEMA)
+        return local_table(spark, rows, BLUEPRINT_SCHEMA)
 
     @classmethod
     def from_dataframe(cls, df: DataFrame, order: Sequence[str] | None = None) -> Blueprint:

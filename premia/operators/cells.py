@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from premia.session import ScratchTable
 
 CELLS_PER_TASK = 50_000
+# Up to so many possible cells, rows are aggregated without looking first.
+FEW_CELLS = 1_000_000
+# Beyond this share of cells to rows, a shuffle costs more than the passes save.
+WORTH_SHUFFLING = 0.7
 
 
 def deviance_constant(y: Column, family: str) -> Column:
@@ -42,21 +46,44 @@ def aggregate_cells(
     w: Column,
     family: str,
     fold: Column | None = None,
+    sizes: Sequence[int] | None = None,
 ) -> DataFrame:
-    """``(fold, b0.., r0.., sw, swy, swh, n)``: the sums each cell contributes."""
+    """``(fold, b0.., r0.., sw, swy, swh, n)``: the sums each cell contributes.
+
+    ``sizes`` are the numbers of bins.  Where they allow more cells than can be taken
+    for few, the distinct ones are estimated in a pass without shuffle, and rows that
+    would hardly compress stay as they are instead of being shuffled for nothing.
+    """
     keys = [(fold if fold is not None else F.lit(0)).cast("int").alias("fold")]
     keys += [c.cast("int").alias(f"b{i}") for i, c in enumerate(bins.values())]
     keys += [c.cast("double").alias(f"r{i}") for i, c in enumerate(raws.values())]
     rows = df.select(*keys, y.cast("double").alias("y"), w.cast("double").alias("w"))
     names = rows.columns[: len(keys)]
+    y, w = F.col("y"), F.col("w")
+    constant = w * deviance_constant(y, family)
+    if sizes is not None and not _compresses(rows, names, math.prod(sizes), bool(raws)):
+        return rows.select(
+            *names, w.alias("sw"), (w * y).alias("swy"), constant.alias("swh"),
+            F.lit(1).cast("bigint").alias("n"),
+        )
     return rows.groupBy(*names).agg(
         F.sum("w").alias("sw"),
-        F.sum(F.col("w") * F.col("y")).alias("swy"),
-        F.sum(F.col("w") * deviance_constant(F.col("y"), family)).alias("swh"),
+        F.sum(w * y).alias("swy"),
+        F.sum(constant).alias("swh"),
         F.count(F.lit(1)).alias("n"),
     )
 
 
+def _compresses(rows: DataFrame, names: Sequence[str], possible: int, raws: bool) -> bool:
+    if not raws and possible <= FEW_CELLS:
+        return True
+    seen = rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.approx_count_distinct(F.xxhash64(*names)).alias("cells"),
+    ).first()
+    return seen["cells"] <= WORTH_SHUFFLING * seen["n"]
+
+
 @dataclass
 class CellTable:
     """Cells written to the shared folder and cached for the passes of one fit."""

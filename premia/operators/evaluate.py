@@ -13,6 +13,7 @@ from premia.functions.names import column
 from premia.functions.split import HOLDOUT_FLAG, TRAIN_FLAG
 from premia.operators.quantiles import linear_quantiles
 from premia.operators.ratemodel import RateModel
+from premia.session import local_table
 
 FORMULAS = {
     "sum_weighted": "sum(target x weight) / sum(weight)",
@@ -123,8 +124,8 @@ def _all_bins(model: RateModel, df: DataFrame, variables, subsets) -> DataFrame:
         for s in subsets
         for j, row in enumerate(model.variables[v].rows)
     ]
-    return df.sparkSession.createDataFrame(
-        rows, "v int, variable string, subset string, ord int, level string"
+    return local_table(
+        df.sparkSession, rows, "v int, variable string, subset string, ord int, level string"
     )
 
 

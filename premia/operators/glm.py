@@ -31,6 +31,7 @@ from premia.operators.cells import CellTable, aggregate_cells
 from premia.operators.prepare import fill_nulls, mean_aggregates, mean_values, with_bins
 from premia.operators.solver import kkt_gap, solve_quadratics
 from premia.operators.validate import check_columns, validate_fit_input
+from premia.session import local_table
 
 # Executors get the kernels with the task, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(kernels)
@@ -453,8 +454,8 @@ class GlmModel:
             (f.variable, f.name, i + 1, float(b))
             for i, (f, b) in enumerate(zip(self.features, self.coef))
         ]
-        return spark.createDataFrame(
-            rows, "variable string, feature string, ord int, coef double"
+        return local_table(
+            spark, rows, "variable string, feature string, ord int, coef double"
         )
 
     def contribution_table(self, spark: SparkSession) -> DataFrame:
@@ -463,11 +464,12 @@ class GlmModel:
             (v, i, float(x)) for v, c in self.contributions.items() for i, x in enumerate(c)
         ]
         rows += [(v, None, float(x)) for v, x in self.raw_slopes.items()]
-        return spark.createDataFrame(rows, "variable string, bin int, contribution double")
+        return local_table(spark, rows, "variable string, bin int, contribution double")
 
     def grid_table(self, spark: SparkSession) -> DataFrame:
         """Mean held-out deviance of every penalty tried."""
-        return spark.createDataFrame(
+        return local_table(
+            spark,
             [tuple(map(float, g)) for g in self.grid],
             "l1_ratio double, alpha double, held_out_deviance double",
         )
@@ -645,7 +647,8 @@ def fit_glm(
     cells = CellTable.build(
         aggregate_cells(
             train, bins, raw_cols, y, w, family,
-            fold=(fold % folds).cast("int") if folds > 1 else None,
+            fold=F.pmod(fold, F.lit(folds)) if folds > 1 else None,
+            sizes=[*design.layout.sizes, folds],
         )
     )
     try:
@@ -752,7 +755,7 @@ def alpha_max(
     train = df.where(column(train_test_col) == TRAIN_FLAG)
     train, bins = with_bins(train, predictors, model, means)
     design = Design(model, predictors, [])
-    cells = CellTable.build(aggregate_cells(train, bins, {}, y, w, family))
+    cells = CellTable.build(aggregate_cells(train, bins, {}, y, w, family, sizes=design.layout.sizes))
     try:
         fitter = Fitter(CellPasses(cells, design, family, 1))
         gradient = fitter.null_gradient()
@@ -762,8 +765,8 @@ def alpha_max(
         (f.variable, f.name, float(g), float(abs(g)) / l1_ratio if l1_ratio else None)
         for f, g in zip(design.features, gradient)
     ]
-    return df.sparkSession.createDataFrame(
-        rows, "variable string, feature string, gradient double, alpha double"
+    return local_table(
+        df.sparkSession, rows, "variable string, feature string, gradient double, alpha double"
     )
 
 

@@ -13,7 +13,8 @@ HISTOGRAM_BINS = 30
 def level_distribution(df: DataFrame, col_name: str) -> DataFrame:
     """``(level, n, share)`` including the null level; shares are of all rows."""
     counts = df.groupBy(column(col_name).alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
+    # Counting rows reads no column, so it is cheaper than adding up the counts again.
+    total = df.agg(F.count(F.lit(1))).scalar()
     return counts.withColumn("share", F.col("n") / total)
 
 

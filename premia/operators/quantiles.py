@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from premia.functions.names import column
+from premia.session import local_table
 
 # An interval with at most this many rows is ranked by one window task.
 RANK_LIMIT = 200_000
@@ -116,7 +117,8 @@ def _rank(members: DataFrame, intervals: Sequence[Interval]) -> list[dict[int, f
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("upto", F.sum("n").over(upto))
     )
-    wanted = spark.createDataFrame(
+    wanted = local_table(
+        spark,
         [(k, int(r - i.below)) for k, i in enumerate(intervals) for r in i.ranks],
         "wanted_part int, r bigint",
     )

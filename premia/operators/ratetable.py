@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from premia.functions.names import column
 from premia.operators.blueprint import Blueprint, as_blueprint
 from premia.operators.glm import GlmModel
+from premia.session import local_table
 
 # What a ``prepare`` function has to pass through, so that predictions find their level.
 LEVEL_COLUMN = "rate_level"
@@ -74,7 +75,7 @@ def ratetable(
         reference = reference_row(dataset, columns)
     text = any(isinstance(x, str) for x in levels)
     rows = [(i, str(x) if text else float(x)) for i, x in enumerate(levels)]
-    table = spark.createDataFrame(rows, f"__ord int, __x {'string' if text else 'double'}")
+    table = local_table(spark, rows, f"__ord int, __x {'string' if text else 'double'}")
     rows = with_reference(table, reference, columns, {col_name: F.col("__x")})
     rows = rows.drop("__ord").withColumnRenamed("__x", LEVEL_COLUMN)
     if prepare is not None:
@@ -116,8 +117,8 @@ def generate_all_ratetables(
         plan = plans[v]
         rows += [(v, plan.kind, i, b, None) for i, b in enumerate(plan.breaks)]
         rows += [(v, plan.kind, i, None, lv) for i, lv in enumerate(plan.levels)]
-    levels = spark.createDataFrame(
-        rows, "variable string, kind string, ord int, `break` double, level string"
+    levels = local_table(
+        spark, rows, "variable string, kind string, ord int, `break` double, level string"
     )
     columns = _model_columns(model)
     if reference is None:

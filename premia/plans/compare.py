@@ -17,6 +17,7 @@ from premia.functions.names import column
 from premia.functions.split import HOLDOUT_FLAG, TRAIN_FLAG
 from premia.operators.blueprint import Blueprint, VariablePlan
 from premia.operators.glm import fit_glm
+from premia.session import local_table
 
 # The settings of the tree method.
 GBT_ITERATIONS = 500
@@ -160,4 +161,4 @@ def compare_methods(
         except Exception as error:  # noqa: BLE001 - a failing method is a result
             warnings.warn(f"{method} failed: {error}", stacklevel=2)
             rows.append((name, method, *[None] * 6))
-    return spark.createDataFrame(rows, REPORT_SCHEMA)
+    return local_table(spark, rows, REPORT_SCHEMA)

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -16,8 +20,10 @@ def scratch_root(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``.  Only a local session may
     fall back to a temporary folder of this machine.
     """
-    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(
-        CHECKPOINT_CONF
+    root = (
+        spark.conf.get(CHECKPOINT_CONF, None)
+        or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+        or spark.sparkContext.getCheckpointDir()
     )
     if root:
         return root.rstrip("/")
@@ -36,6 +42,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A few rows of the driver as a table.
+
+    Arrow makes it a local relation of known size, which Spark joins by broadcast and
+    reads without a job.
+    """
+    fields = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(fields)
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    arrays = [pa.array(list(c), f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=fields)
+
+
 class ScratchTable:
     """A DataFrame written once to the shared folder and read back.
 

@@ -9,13 +9,14 @@ from pyspark.sql import SparkSession
 
 from premia.operators.blueprint import Blueprint
 from premia.operators.glm import Feature, GlmModel
+from premia.session import local_table
 from premia.sources.tables import read_rate_tables, write_rate_tables
 from premia.sources.tariff_json import read_tariff, write_tariff
 
 
 def _write_json(spark: SparkSession, value: dict, path: str, mode: str) -> None:
     text = json.dumps(value, ensure_ascii=False)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(path)
+    local_table(spark, [(text,)], "value string").coalesce(1).write.mode(mode).text(path)
 
 
 def _read_json(spark: SparkSession, path: str) -> dict:

@@ -341,7 +341,8 @@ PREDICTORS = ["discount", "p_size", "segment"]
 def small_pipeline(data, **options):
     return PricingPipeline.fit(
         data, "ClaimNb", "Poisson", PREDICTORS, weight_col="Exposure",
-        divide_target_by_weight=True, base_rate=0.1, **{"use_cv": False, **options},
+        divide_target_by_weight=True, base_rate=0.1, materialize=True,
+        **{"use_cv": False, **options},
     )
 
 
