@@ -56,7 +56,7 @@ def main() -> None:
 
     # The first job pays for starting the workers and the compiler.
     run("warm_up", lambda: spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().collect())
-    run("portfolio_join", lambda: ScratchTable(portfolio(spark, sf_dir), "portfolio"))
+    run("portfolio_join", lambda: ScratchTable(portfolio(spark, sf_dir), "portfolio", spread=True))
     data = kept["portfolio_join"].df
     train = data.where("traintest = 1")
 

@@ -25,9 +25,3 @@ def train_flag(*keys: Column, percent: int = 70, method: str = "md5") -> Column:
     return F.when(
         hash32(*keys, method=method) % 100 < percent, TRAIN_FLAG
     ).otherwise(HOLDOUT_FLAG)
-
-
-def fold_id(*keys: Column, folds: int, method: str = "md5") -> Column:
-    """Cross-validation fold of a row, independent of ``train_flag`` on the same key."""
-    salted = [F.concat(F.lit("fold-"), k.cast("string")) for k in keys]
-    return (hash32(*salted, method=method) % folds).cast("int")

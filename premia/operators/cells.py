@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from premia.session import ScratchTable
 
-CELLS_PER_TASK = 50_000
+# A task should have this many cells to be worth starting, and no more than fit in memory.
+MIN_CELLS_PER_TASK = 4_096
+MAX_CELLS_PER_TASK = 4_000_000
 # Up to so many possible cells, rows are aggregated without looking first.
 FEW_CELLS = 1_000_000
 # Beyond this share of cells to rows, a shuffle costs more than the passes save.
@@ -84,6 +86,19 @@ def _compresses(rows: DataFrame, names: Sequence[str], possible: int, raws: bool
     return seen["cells"] <= WORTH_SHUFFLING * seen["n"]
 
 
+def task_count(n_cells: int, cores: int) -> int:
+    """Tasks of one pass: a wave for all cores where that pays, more only for memory.
+
+    Every task sends back sums of one size, whatever its number of cells, so more tasks
+    than cores would only add traffic.
+    """
+    useful = math.ceil(n_cells / MIN_CELLS_PER_TASK)
+    needed = math.ceil(n_cells / MAX_CELLS_PER_TASK)
+    if needed > cores:
+        return math.ceil(needed / cores) * cores
+    return max(1, min(useful, cores))
+
+
 @dataclass
 class CellTable:
     """Cells written to the shared folder and cached for the passes of one fit."""
@@ -97,14 +112,8 @@ class CellTable:
         scratch = ScratchTable(cells, "cells")
         n = scratch.df.count()
         spark = cells.sparkSession
-        wanted = max(1, math.ceil(n / CELLS_PER_TASK))
         cores = spark.sparkContext.defaultParallelism
-        if n > 4096:
-            # Work per cell is high next to its bytes: more tasks than file size suggests,
-            # and full waves of them, since all take about the same time.
-            wanted = max(wanted, min(cores, math.ceil(n / 4096)))
-            if wanted > cores:
-                wanted = math.ceil(wanted / cores) * cores
+        wanted = task_count(n, cores)
         df = scratch.df
         have = df.rdd.getNumPartitions()
         if wanted < have:

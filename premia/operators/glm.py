@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from premia.functions.binning import OTHER, lookup_level, lookup_range
 from premia.functions.loss import family_name, inverse_link
 from premia.functions.names import column
-from premia.functions.split import TRAIN_FLAG, hash32
+from premia.functions.split import TRAIN_FLAG
 from premia.operators import kernels
 from premia.operators.blueprint import Blueprint, VariablePlan, as_blueprint
 from premia.operators.cells import CellTable, aggregate_cells
@@ -638,7 +638,7 @@ def fit_glm(
         y = F.try_divide(y, w)
     train = df.where(column(train_test_col) == TRAIN_FLAG)
     keyed = list(fold_key) if fold_key else [c for c in (*predictors, target, weight_col) if c]
-    fold = hash32(*[column(c).cast("string") for c in keyed], method="xxhash64")
+    fold = F.xxhash64(*[column(c) for c in keyed])
     train, filled = fill_nulls(train, raws, means)
     train, bins = with_bins(train, binned, blueprint, means)
     raw_cols = {v: filled.get(v, column(v).cast("double")) for v in raws}

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from premia.functions.loss import clip_prediction, family_name, metric_aggregates
 from premia.functions.names import column
 from premia.functions.split import HOLDOUT_FLAG, TRAIN_FLAG
-from premia.operators.blueprint import Blueprint, VariablePlan
+from premia.operators.blueprint import Blueprint, VariablePlan, level_counts
 from premia.operators.glm import fit_glm
 from premia.session import local_table
 
@@ -35,18 +35,17 @@ METHODS = ("elastic net (no CV)", "elastic net (CV)", "GLM", "boosted trees")
 
 
 def _levels(df: DataFrame, names: Sequence[str]) -> dict[str, list[str]]:
-    out = {}
-    for c in names:
-        rows = (
-            df.where(column(c).isNotNull())
-            .select(column(c).cast("string"))
-            .distinct()
-            .limit(MAX_LEVELS + 1)
-            .collect()
-        )
-        if len(rows) > MAX_LEVELS:
+    """Sorted levels of each text column, counted in one pass."""
+    out: dict[str, list[str]] = {c: [] for c in names}
+    if names:
+        limit = MAX_LEVELS * len(names)
+        rows = level_counts(df, names).select("variable", "level").limit(limit + 1).collect()
+        for r in rows:
+            out[r["variable"]].append(r["level"])
+    for c, found in out.items():
+        if len(found) > MAX_LEVELS:
             raise ValueError(f"Column '{c}' has more than {MAX_LEVELS} levels.")
-        out[c] = sorted(r[0] for r in rows)
+        found.sort()
     return out
 
 

@@ -62,9 +62,14 @@ class ScratchTable:
     of some files and not a rerun of what produced them.
     """
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, spread: bool = False):
+        """``spread`` evens out an input that arrives in fewer parts than there are cores."""
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, label)
+        if spread:
+            cores = self.spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 

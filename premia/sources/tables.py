@@ -79,8 +79,7 @@ def sample_rows(df: DataFrame, n: int, key: Sequence[str]) -> DataFrame:
 def sample_share(df: DataFrame, share: float, key: Sequence[str]) -> DataFrame:
     """About a share of the keys, all rows of a key together; a filter without shuffle."""
     bound = int(share * (1 << 32))
-    keys = [column(c).cast("string") for c in key]
-    return df.where(hash32(*keys, method="xxhash64") < F.lit(bound))
+    return df.where(hash32(*[column(c) for c in key], method="xxhash64") < F.lit(bound))
 
 
 def append_rows(main: DataFrame, more: DataFrame) -> DataFrame:

@@ -141,12 +141,32 @@ def test_partitioning_and_chunks_do_not_change_the_fit(policies, plan, monkeypat
     monkeypatch.setattr(glm, "FAN_IN", 2)
     from premia.operators import cells
 
-    monkeypatch.setattr(cells, "CELLS_PER_TASK", 40)
+    monkeypatch.setattr(cells, "MIN_CELLS_PER_TASK", 40)
+    monkeypatch.setattr(cells, "MAX_CELLS_PER_TASK", 20)
     pieces = fit_glm(policies.repartition(7), "ClaimNb", "Poisson", PREDICTORS, plan, cv_params=cv, **ROLES)
     assert pieces.alpha == pytest.approx(whole.alpha) and pieces.l1_ratio == whole.l1_ratio
     np.testing.assert_allclose(pieces.coef, whole.coef, atol=1e-6)
 
 
+def test_rows_that_do_not_compress_stay_rows(policies, plan, monkeypatch):
+    from premia.operators import cells
+
+    packed = fit_glm(policies, "ClaimNb", "Poisson", PREDICTORS, plan, use_cv=False, **ROLES)
+    monkeypatch.setattr(cells, "FEW_CELLS", 0)
+    monkeypatch.setattr(cells, "WORTH_SHUFFLING", 0.0)
+    loose = fit_glm(policies, "ClaimNb", "Poisson", PREDICTORS, plan, use_cv=False, **ROLES)
+    np.testing.assert_allclose(loose.coef, packed.coef, atol=1e-8)
+
+
+def test_task_count():
+    from premia.operators.cells import task_count
+
+    assert task_count(100, 8) == 1
+    assert task_count(20_000, 8) == 5
+    assert task_count(10_000_000, 8) == 8
+    assert task_count(100_000_000, 8) == 32
+
+
 def test_null_values_in_the_fit_take_batch_means(spark, policies, plan):
     holes = policies.withColumn("VehAge", F.when(F.col("DrivAge") % 5 != 0, F.col("VehAge")))
     model = fit_glm(holes, "ClaimNb", "Poisson", PREDICTORS, plan, use_cv=False, **ROLES)
