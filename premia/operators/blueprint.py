@@ -137,6 +137,22 @@ def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def all_levels(df: DataFrame, columns: Sequence[str], most: int) -> dict[str, list[str]]:
+    """Sorted levels of text columns in one pass; more than ``most`` are an error."""
+    out: dict[str, list[str]] = {c: [] for c in columns}
+    if columns:
+        # One row more than all columns may have together means one has too many.
+        limit = most * len(columns) + 1
+        rows = level_counts(df, columns).select("variable", "level").limit(limit).collect()
+        for r in rows:
+            out[r["variable"]].append(r["level"])
+    for c, found in out.items():
+        if len(found) > most:
+            raise ValueError(f"Column '{c}' has more than {most} levels; give it a plan.")
+        found.sort()
+    return out
+
+
 def present(name: str, data_type: T.DataType) -> Column:
     """True where a column has a value to learn from; NaN is not one."""
     x = column(name)

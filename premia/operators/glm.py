@@ -26,7 +26,7 @@ from premia.functions.loss import family_name, inverse_link
 from premia.functions.names import column
 from premia.functions.split import TRAIN_FLAG
 from premia.operators import kernels
-from premia.operators.blueprint import Blueprint, VariablePlan, as_blueprint
+from premia.operators.blueprint import Blueprint, VariablePlan, all_levels, as_blueprint
 from premia.operators.cells import CellTable, aggregate_cells
 from premia.operators.prepare import fill_nulls, mean_aggregates, mean_values, with_bins
 from premia.operators.solver import kkt_gap, solve_quadratics
@@ -560,20 +560,10 @@ def _passthrough_plans(
             texts.append(v)
             binned.append(v)
     plans = dict(blueprint)
+    found = all_levels(df, texts, MAX_LEVELS)
     for v in texts:
-        levels = (
-            df.where(column(v).isNotNull())
-            .select(column(v).cast("string").alias("level"))
-            .distinct()
-            .limit(MAX_LEVELS + 1)
-            .collect()
-        )
-        if len(levels) > MAX_LEVELS:
-            raise ValueError(
-                f"Column '{v}' has more than {MAX_LEVELS} levels; give it a plan."
-            )
-        found = tuple(sorted(r[0] for r in levels if r[0] != OTHER))
-        plans[v] = VariablePlan("categorical", levels=found)
+        levels = tuple(lv for lv in found[v] if lv != OTHER)
+        plans[v] = VariablePlan("categorical", levels=levels)
     return Blueprint(plans), binned, raws
 
 

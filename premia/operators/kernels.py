@@ -120,6 +120,12 @@ class Batch:
         self.fold = read("fold")
         self.sw, self.swy, self.swh = read("sw"), read("swy"), read("swh")
         self._parts = {}
+        if self.raws:
+            self.x = np.column_stack(self.raws)
+            # With raw columns a dense product beats a count per predictor and column.
+            self.onehot = np.zeros((len(self.sw), layout.raw_at - 1))
+            for place in self.places:
+                self.onehot[np.arange(len(place)), place - 1] = 1.0
 
     def part(self, fold, inside):
         """``(sw, swy, sum of swh)`` of the cells of a fold or outside it, others at 0."""
@@ -136,8 +142,8 @@ class Batch:
         eta = np.full(len(self.sw), coefs[0])
         for place in self.places:
             eta += coefs[place]
-        for j, x in enumerate(self.raws):
-            eta += coefs[self.layout.raw_at + j] * x
+        if self.raws:
+            eta += self.x @ coefs[self.layout.raw_at :]
         return eta
 
     def add_score(self, r, out):
@@ -145,8 +151,8 @@ class Batch:
         out[0] += r.sum()
         for at, size, b in zip(layout.offsets, layout.sizes, self.bins):
             out[at : at + size] += np.bincount(b, weights=r, minlength=size)
-        for j, x in enumerate(self.raws):
-            out[layout.raw_at + j] += r @ x
+        if self.raws:
+            out[layout.raw_at :] += r @ self.x
 
     def add_gram(self, weight, out):
         layout = self.layout
@@ -167,16 +173,10 @@ class Batch:
             out[at : at + size] += own[a]
         if not self.raws:
             return
-        mixed = out[layout.mixed_at : layout.square_at].reshape(-1, layout.n_raw)
-        x = np.column_stack(self.raws)
-        wx = x * weight[:, None]
+        wx = self.x * weight[:, None]
         out[layout.raw_at : layout.dim] += wx.sum(axis=0)
-        out[layout.square_at :] += (x.T @ wx).ravel()
-        for at, size, b in zip(layout.offsets, layout.sizes, self.bins):
-            for j in range(layout.n_raw):
-                mixed[at - 1 : at - 1 + size, j] += np.bincount(
-                    b, weights=wx[:, j], minlength=size
-                )
+        out[layout.mixed_at : layout.square_at] += (self.onehot.T @ wx).ravel()
+        out[layout.square_at :] += (self.x.T @ wx).ravel()
 
 
 def _emit(part, total):

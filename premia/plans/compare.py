@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from premia.functions.loss import clip_prediction, family_name, metric_aggregates
 from premia.functions.names import column
 from premia.functions.split import HOLDOUT_FLAG, TRAIN_FLAG
-from premia.operators.blueprint import Blueprint, VariablePlan, level_counts
+from premia.operators.blueprint import Blueprint, VariablePlan, all_levels
 from premia.operators.glm import fit_glm
 from premia.session import local_table
 
@@ -34,21 +34,6 @@ MAX_LEVELS = 1000
 METHODS = ("elastic net (no CV)", "elastic net (CV)", "GLM", "boosted trees")
 
 
-def _levels(df: DataFrame, names: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted levels of each text column, counted in one pass."""
-    out: dict[str, list[str]] = {c: [] for c in names}
-    if names:
-        limit = MAX_LEVELS * len(names)
-        rows = level_counts(df, names).select("variable", "level").limit(limit + 1).collect()
-        for r in rows:
-            out[r["variable"]].append(r["level"])
-    for c, found in out.items():
-        if len(found) > MAX_LEVELS:
-            raise ValueError(f"Column '{c}' has more than {MAX_LEVELS} levels.")
-        found.sort()
-    return out
-
-
 def _vectors(df: DataFrame, numeric, levels, target, weight) -> DataFrame:
     """Numbers and one-hot texts without their first level, as one vector."""
     texts = [(c, lv) for c, found in levels.items() for lv in found[1:]]
@@ -105,7 +90,7 @@ def compare_methods(
     texts = [c for c in predictors if c not in numeric]
     train = df.where(column(train_test_col) == TRAIN_FLAG)
     test = df.where(column(train_test_col) == HOLDOUT_FLAG)
-    levels = _levels(train, texts)
+    levels = all_levels(train, texts, MAX_LEVELS)
     plans = Blueprint({c: VariablePlan("categorical", levels=tuple(levels[c])) for c in texts})
 
     def net(use_cv: bool):
