@@ -16,7 +16,7 @@ GAMMA_PREDICTION_FLOOR = 1e-6
 def family_name(model_type: str) -> str:
     name = model_type.lower() if isinstance(model_type, str) else model_type
     if name not in FAMILIES:
-        raise ValueError("model_type must be 'Poisson', 'Gamma', 'Gaussian', or 'Binomial'.")
+        raise ValueError(f"Unknown model type {model_type!r}; one of {', '.join(FAMILIES)} is needed.")
     return name
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def quote_identifier(name: str) -> str:
     """``name`` as a back-ticked Spark identifier."""
     if not isinstance(name, str):
-        raise TypeError("identifier must be a string")
+        raise TypeError(f"A column name is text, not {type(name).__name__}.")
     if not name.strip():
-        raise ValueError("identifier cannot be empty")
+        raise ValueError("A column name needs at least one visible character.")
     return "`" + name.replace("`", "``") + "`"
 
 

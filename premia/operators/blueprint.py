@@ -79,7 +79,7 @@ class Blueprint(Mapping[str, VariablePlan]):
                 )
             else:
                 if any(i is None for i in items):
-                    raise ValueError("None level not allowed")
+                    raise ValueError("Null cannot be kept as a level.")
                 plans[name] = VariablePlan(
                     "categorical", levels=tuple(dict.fromkeys(str(i) for i in items))
                 )

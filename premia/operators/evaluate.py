@@ -16,9 +16,9 @@ from premia.operators.ratemodel import RateModel
 from premia.session import local_table
 
 FORMULAS = {
-    "sum_weighted": "sum(target x weight) / sum(weight)",
-    "sum_unweighted": "sum(target) / count",
-    "sum_over_weight": "sum(target) / sum(weight)",
+    "sum_weighted": "weighted mean of the value",
+    "sum_unweighted": "plain mean of the value",
+    "sum_over_weight": "total of the value per unit of weight",
 }
 OTHER_RULES = ("unmatched", "all_rows")
 
@@ -47,9 +47,9 @@ def _ratio(name: str, weighted: bool, formula: str) -> Column:
 def _check(model: RateModel, df: DataFrame, formula: str, other: str) -> str:
     target = model.metadata.target
     if target is None:
-        raise ValueError("Model metadata missing 'target' column")
+        raise ValueError("The tariff does not say which column is its target.")
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found in data")
+        raise ValueError(f"The data lacks the target '{target}'.")
     if formula not in FORMULAS:
         raise ValueError(f"formula must be one of {sorted(FORMULAS)}")
     if other not in OTHER_RULES:
@@ -169,7 +169,7 @@ def compute_actual_expected(
 ) -> DataFrame:
     """``actual_expected`` of one variable."""
     if variable not in model.variables:
-        raise KeyError(f"Variable '{variable}' not found")
+        raise KeyError(f"The tariff has no variable '{variable}'")
     return actual_expected(model, df, [variable], formula, **options)
 
 

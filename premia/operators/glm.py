@@ -504,7 +504,7 @@ class GlmModel:
         """
         missing = [v for v in (*self.contributions, *self.raw_slopes) if v not in df.columns]
         if missing:
-            raise ValueError(f"Column '{missing[0]}' not found in data")
+            raise ValueError(f"The data lacks the predictor '{missing[0]}'.")
         if isinstance(fill, str) and fill == "train":
             fill = self.fill
         numeric = [v for v in self.contributions if self.blueprint[v].kind == "numeric"]

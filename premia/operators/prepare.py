@@ -108,7 +108,7 @@ def prepare_data(
         if not spark.catalog.tableExists(df):
             tables = ", ".join(t.name for t in spark.catalog.listTables())
             raise ValueError(
-                f"The specified table '{df}' does not exist. Available tables are: {tables}"
+                f"There is no table or view '{df}'; there are: {tables}"
             )
         df = spark.table(df)
     if encoding not in ("wide", "bins"):
@@ -123,7 +123,7 @@ def prepare_data(
         if name in df.columns:
             known.append(name)
         else:
-            warnings.warn(f"Column '{name}' not found in the table. Skipping.", stacklevel=2)
+            warnings.warn(f"The table has no predictor '{name}'; left out.", stacklevel=2)
     numeric = [n for n in known if n in blueprint and blueprint[n].kind == "numeric"]
     df, filled = fill_nulls(df, numeric, fill)
 
@@ -154,7 +154,7 @@ def prepare_data(
             names.append(name)
         else:
             warnings.warn(
-                f"Additional column '{name}' not found in the table. Skipping.", stacklevel=2
+                f"The table has no column '{name}' to pass on; left out.", stacklevel=2
             )
     if not out:
         return df.limit(0).select()

@@ -64,9 +64,9 @@ def ratetable(
     that median is zero.
     """
     if not isinstance(col_name, str):
-        raise TypeError("col_name must be a string")
+        raise TypeError(f"A predictor is named by text, not {type(col_name).__name__}.")
     if isinstance(levels, str) or not isinstance(levels, Sequence):
-        raise TypeError("levels must be a sequence")
+        raise TypeError("The levels of a rate table come as a list.")
     spark = dataset.sparkSession
     columns = dataset.columns if prepare else list(
         dict.fromkeys([*_model_columns(model), col_name])
@@ -112,7 +112,7 @@ def generate_all_ratetables(
     rows = []
     for v in predictor_variables:
         if not plans.usable(v):
-            warnings.warn(f"No blueprint for '{v}', skipping its rate table.", stacklevel=2)
+            warnings.warn(f"'{v}' has no usable plan and gets no rate table.", stacklevel=2)
             continue
         plan = plans[v]
         rows += [(v, plan.kind, i, b, None) for i, b in enumerate(plan.breaks)]

@@ -15,10 +15,10 @@ from premia.functions.split import HOLDOUT_FLAG, TRAIN_FLAG
 
 def check_columns(df: DataFrame, required: Sequence[str]) -> None:
     if len(set(df.columns)) != len(df.columns):
-        raise ValueError("Duplicate column names.")
+        raise ValueError(f"Some column names occur twice: {df.columns}")
     for name in required:
         if name not in df.columns:
-            raise ValueError(f"Missing column '{name}'.")
+            raise ValueError(f"The data has no column '{name}'.")
 
 
 def _bad_target(y: Column, family: str) -> Column:
@@ -73,9 +73,8 @@ def distinct_flags(df: DataFrame, train_test_col: str) -> DataFrame:
 
 def _missing_flag(name: str) -> ValueError:
     return ValueError(
-        f"Column '{name}' not found in data. Add an indicator column with "
-        f"{TRAIN_FLAG} = train and {HOLDOUT_FLAG} = holdout and pass its name as "
-        "train_test_col."
+        f"The data has no split column '{name}'. It should hold {TRAIN_FLAG} for "
+        f"training rows and {HOLDOUT_FLAG} for holdout rows."
     )
 
 
@@ -84,15 +83,15 @@ def _raise_bad_flags(df: DataFrame, name: str) -> None:
     # Twenty offending values are enough for the message.
     found = [r[0] for r in bad.orderBy("flag").limit(20).collect()]
     raise ValueError(
-        f"Column '{name}' must contain only {TRAIN_FLAG} (train) and "
-        f"{HOLDOUT_FLAG} (holdout); found: {found}"
+        f"Split column '{name}' may hold {TRAIN_FLAG}, {HOLDOUT_FLAG} and null; "
+        f"it also holds {found}"
     )
 
 
 def _raise_no_train(name: str) -> None:
     raise ValueError(
-        f"No training rows in '{name}' (expected value {TRAIN_FLAG}). "
-        "Check your train/holdout split."
+        f"Split column '{name}' marks no row with {TRAIN_FLAG}, so there is nothing "
+        "to train on."
     )
 
 
@@ -131,24 +130,23 @@ def validate_fit_input(
     family = family_name(model_type)
     row = rule_counts(df, target, train_test_col, family, weight_col, extra).first()
     if not row["n_rows"]:
-        raise ValueError("The input DataFrame is empty.")
+        raise ValueError("There are no rows to fit: the table is empty.")
     if row["bad_flag"]:
         _raise_bad_flags(df, train_test_col)
     if not row["n_train"]:
         _raise_no_train(train_test_col)
     if row["bad_target"]:
-        allowed = {
-            "poisson": "<0, inf, or NaN",
-            "gamma": "<=0, inf, or NaN",
-            "gaussian": "inf or NaN",
-            "binomial": "outside [0, 1], inf, or NaN",
+        wanted = {
+            "poisson": "zero or more",
+            "gamma": "more than zero",
+            "gaussian": "a finite number",
+            "binomial": "between 0 and 1",
         }[family]
         raise ValueError(
-            f"Invalid {family.capitalize()} target values ({allowed}): "
-            f"{row['bad_target']} rows."
+            f"A {family} target must be {wanted}; {row['bad_target']} rows are not."
         )
     if row["bad_weight"]:
         raise ValueError(
-            f"Weight column has invalid values (<=0, inf, NaN): {row['bad_weight']} rows."
+            f"Weights must be positive and finite; {row['bad_weight']} rows are not."
         )
     return row

@@ -3,7 +3,6 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from premia import Blueprint, generate_blueprint, lump_rare_levels
 from premia.operators.quantiles import linear_quantiles, nearest_quantiles, order_statistics

@@ -42,7 +42,7 @@ def test_spaces_reserved_words_and_view_names(spark):
     )
     assert out.columns == ["vehicle age2.0", "select_lumped"]
     assert [r[1] for r in rows(out)] == ["A", "B", "Other"]
-    with pytest.raises(ValueError, match="does not exist"):
+    with pytest.raises(ValueError, match="no table or view"):
         prepare_data(["x"], df="no_such_table", spark=spark)
 
 

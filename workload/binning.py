@@ -11,7 +11,6 @@ from premia.functions.loss import inverse_link
 from premia.functions.names import column
 from premia.operators.blueprint import (
     QUANTILE_PROBABILITIES,
-    Blueprint,
     generate_blueprint,
     lump_rare_levels,
 )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from premia.functions.names import column
 from premia.operators.blueprint import Blueprint, VariablePlan, generate_blueprint
 from premia.operators.glm import alpha_max, fit_glm, fit_lasso_glm, predict_with_model
-from premia.operators.prepare import mean_values, prepare_data, with_bins
+from premia.operators.prepare import prepare_data, with_bins
 from premia.plans.compare import METHODS, compare_methods
 from premia.plans.pipeline import PricingPipeline
 from premia.session import scratch_path

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from premia.functions.names import column
-from premia.operators.blueprint import Blueprint
 from premia.operators.ratemodel import RateModel, create_rate_model, join_relativities
 from premia.operators.ratetable import (
     generate_all_ratetables,
@@ -27,8 +26,6 @@ from workload.binning import KEYS, KEYS_SQL
 from workload.registry import pf, query, r, rs, with_pf
 from workload.tariffs import (
     DISCOUNT,
-    EFFECTS,
-    INTERCEPT,
     PLAN,
     SIZE,
     case_sql,

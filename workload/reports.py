@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from premia.functions.loss import FAMILIES, deviance, mae, metric_aggregates, rmse
+from premia.functions.loss import FAMILIES, deviance, mae, rmse
 from premia.operators.evaluate import (
     actual_expected,
     compare_actual_expected,
@@ -13,7 +13,6 @@ from premia.operators.evaluate import (
     overall_ratio,
     ratio_by_group,
 )
-from premia.operators.quantiles import nearest_quantiles
 from workload.registry import pf, query, r, rs, with_pf
 from workload.tariffs import (
     DISCOUNT,
