@@ -32,9 +32,8 @@ def scratch_root(spark: SparkSession) -> str:
             f"Set {CHECKPOINT_CONF} to a folder all executors share; "
             "intermediate tables are written there."
         )
-    root = tempfile.mkdtemp(prefix="premia-")
-    spark.conf.set(CHECKPOINT_CONF, root)
-    return root
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="premia-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
