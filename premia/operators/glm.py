@@ -704,7 +704,10 @@ def _cross_validate(fitter, folds, l1_ratios, alphas, n_alphas, ratio):
         (rho, a, float(np.mean([pr.held_out_deviance for pr in group])))
         for (rho, a), group in problems.items()
     ]
-    rho, a, _ = min(table, key=lambda row: (row[2], -row[1]))
+    usable = [row for row in table if math.isfinite(row[2])]
+    if not usable:
+        raise ValueError("No penalty of the grid gave a finite held-out deviance.")
+    rho, a, _ = min(usable, key=lambda row: (row[2], -row[1]))
     group = problems[rho, a]
     chosen = Problem(
         -1,
