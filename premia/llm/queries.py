@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.llm import host_rules, tables
+from premia.llm import forest, host_rules, packing, tables, weak_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,22 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         v["base_failed"].alias("base_failed"), v["kept"].alias("kept"), F.round(v["host_rate"], 6).alias("host_rate"),
         v["host_verdict"].alias("host_verdict"),
     )
+
+
+@query("op3_weak_labels")
+def op3_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = weak_labels.score_documents(tables.documents(spark, sf_dir))
+    return scored.select(F.col("id").alias("doc_id"), F.col("pattern").alias("votes"), F.round("score", 6).alias("score"), "kept")
+
+
+@query("op4_lsh_forest")
+def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = forest.near_groups(tables.documents(spark, sf_dir))
+    return groups.select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
+    )
+
+
+@query("op9_best_fit")
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(tables.documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
