@@ -183,12 +183,12 @@ def judge_documents(docs: DataFrame, rules: Rules = Rules(), text: str = "text",
 def keep_good(docs: DataFrame, rules: Rules = Rules(), text: str = "text", host: str = "source") -> DataFrame:
     """The documents that stay, with their columns.
 
-    Texts are read twice and never shuffled by document: once to sum hosts, and once to
-    judge each document beside the verdict of its host.
+    Counts are taken once and written beside the texts; texts are never shuffled by key.
     """
-    slim = document_counts(docs.select(F.col(host).alias("host"), F.col(text).alias("text")), "text")
-    rates = written(host_rates(slim.select("host", failed_rules(F.col("counts"), rules).alias("failed")), "host", "failed"), "host-rates")
     counted = document_counts(docs, text)
     name = counted.columns[-1]
-    judged = judge(counted, rates, F.col(text), rules, host, name)
+    counted = written(counted, "host-counted")
+    slim = counted.select(F.col(host).alias("host"), failed_rules(F.col(name), rules).alias("failed"))
+    rates = written(host_rates(slim, "host", "failed"), "host-rates")
+    judged = judge(counted, rates, F.col(name), rules, host, name)
     return judged.where(F.col(judged.columns[-1])["kept"]).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.llm import forest, host_rules, packing, tables, weak_labels
+from premia.llm import forest, hilbert, host_rules, packing, tables, url_aliases, weak_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,18 @@ def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_best_fit")
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(tables.documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query("op6_url_aliases")
+def op6_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_aliases.judge(tables.read(spark, sf_dir, "pages"))
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "alias_verdict")
+
+
+@query("op7_hilbert")
+def op7_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = hilbert.shard_documents(tables.documents(spark, sf_dir))
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve",
+    )

@@ -48,15 +48,19 @@ def votes(text: Column) -> list[Column]:
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n_lines = F.greatest(F.size(lines), F.lit(1))
     capitals = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
     share = lambda x, of: x / of
     length = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
+    marks = F.greatest(length, F.lit(1))
     return [
-        _vote(F.size(words) >= 30, F.size(words) < 5),
+        _vote(F.size(words) >= 30, F.size(words) < 3),
         _vote(share(length, n).between(3, 8), (share(length, n) < 2) | (share(length, n) > 15)),
-        _vote(share(gone("#*$%&<>"), n) < 0.05, share(gone("#*$%&<>"), n) > 0.2),
-        _vote(share(gone("!|"), n) < 0.05, share(gone("!|"), n) > 0.2),
-        _vote(share(capitals, chars) < 0.1, share(capitals, chars) > 0.3),
-        _vote(F.size(F.array_distinct(lines)) >= 0.9 * n_lines, F.size(F.array_distinct(lines)) < 0.7 * n_lines),
+        _vote(share(gone("#*$%&<>"), n) < 0.1, share(gone("#*$%&<>"), n) > 0.2),
+        _vote(share(gone("!|"), n) < 0.1, share(gone("!|"), n) > 0.2),
+        _vote(share(gone("#*$%&<>|!"), chars) < 0.02, share(gone("#*$%&<>|!"), chars) > 0.04),
+        _vote(share(letters, marks) > 0.9, share(letters, marks) < 0.85),
+        _vote(share(capitals, chars) < 0.2, share(capitals, chars) > 0.3),
+        _vote(F.size(F.array_distinct(lines)) >= 0.8 * n_lines, F.size(F.array_distinct(lines)) < 0.5 * n_lines),
         _vote(F.size(F.array_distinct(words)) >= 0.3 * n, (F.size(words) < 1000) & (F.size(F.array_distinct(words)) < 0.25 * n)),
         _vote(share(gone(".,"), n).between(0.02, 0.4), (share(gone(".,"), n) < 0.005) & (F.size(words) >= 20)),
     ]
@@ -65,20 +69,21 @@ def votes(text: Column) -> list[Column]:
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
     """(posterior of good per pattern, vote probabilities [class, labeller, vote], prior).
 
-    Labellers are taken as independent given the class.  They start as right more often
-    than not, and pseudo-votes hold to that where the data says little.
+    Labellers are taken as independent given the class, and no vote says nothing.  A vote
+    for bad starts as rare among good documents, since each rule looks for one fault and a
+    bad document has few; pseudo-votes, a tenth of the documents, hold to that.
     """
-    hot = (patterns[:, :, None] == np.array([-1, 0, 1])).astype(float)
-    start = np.array([[[0.5, 0.3, 0.2]], [[0.1, 0.3, 0.6]]]).repeat(patterns.shape[1], 1)
+    hot = (patterns[:, :, None] == np.array([-1, 1])).astype(float)
+    start = np.array([[[0.3, 0.7]], [[0.005, 0.995]]]).repeat(patterns.shape[1], 1)
     law, prior, total = start.copy(), 0.8, counts.sum()
     posterior = np.full(len(patterns), prior)
     for _ in range(rounds):
         each = np.stack([(hot * np.log(law[c])).sum(axis=(1, 2)) + np.log([1 - prior, prior][c]) for c in (0, 1)])
         posterior = 1 / (1 + np.exp(np.clip(each[0] - each[1], -500, 500)))
         for c, weight in enumerate((counts * (1 - posterior), counts * posterior)):
-            seen = np.einsum("p,pjv->jv", weight, hot) + start[c] * (5 + 0.01 * total)
+            seen = np.einsum("p,pjv->jv", weight, hot) + start[c] * (5 + 0.1 * total)
             law[c] = seen / seen.sum(axis=1, keepdims=True)
-        prior = float(np.clip((counts @ posterior + 4) / (total + 5), 0.05, 0.99))
+        prior = float((counts @ posterior + 0.8 * total) / (2 * total))
     return posterior, law, prior
 
 
