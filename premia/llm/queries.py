@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.llm import forest, hilbert, host_rules, packing, tables, url_aliases, weak_labels
+from premia.llm import bpe, forest, hilbert, host_rules, packing, piecewise, tables, url_aliases, weak_labels
+
+#: Where the public vocabulary files lie.
+TOKENIZERS = "/opt/tokenizers"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +70,13 @@ def op7_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "curve",
     )
+
+
+@query("op2_piecewise")
+def op2_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.compare_documents(tables.documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query("op8_bpe")
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(tables.documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json").withColumnRenamed("id", "doc_id")
