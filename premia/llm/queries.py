@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.llm import bpe, forest, hilbert, host_rules, packing, piecewise, tables, url_aliases, weak_labels
+from premia.llm import bpe, brown, forest, hilbert, host_rules, packing, piecewise, tables, url_aliases, weak_labels
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -80,3 +80,8 @@ def op2_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_bpe")
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(tables.documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json").withColumnRenamed("id", "doc_id")
+
+
+@query("op1_brown_classes")
+def op1_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(tables.documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
