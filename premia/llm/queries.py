@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.llm import bpe, brown, forest, hilbert, host_rules, packing, piecewise, tables, url_aliases, weak_labels
+from premia.llm import bpe, brown, forest, hilbert, host_rules, licenses, packing, piecewise, tables, url_aliases, weak_labels
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -85,3 +85,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_brown_classes")
 def op1_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_documents(tables.documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    path = F.concat_ws("/", part("source"), part("lang"), part("doc_id"))
+    return licenses.scan(tables.documents(spark, sf_dir), path).withColumnRenamed("id", "doc_id")
