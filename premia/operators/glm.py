@@ -39,7 +39,7 @@ cloudpickle.register_pickle_by_value(kernels)
 DEFAULT_FOLDS = 5
 DEFAULT_L1_RATIOS = (0.0, 0.5, 1.0)
 DEFAULT_MAX_ITER = 150
-DEFAULT_N_ALPHAS = 20
+DEFAULT_N_ALPHAS = 100
 DEFAULT_MIN_ALPHA_RATIO = 1e-6
 # Largest alpha of the grid for a pure ridge penalty, which no alpha shrinks to zero.
 RIDGE_ALPHA_MAX = 10.0
@@ -51,6 +51,8 @@ SOLVER_BUDGET = 8_000_000
 # Partial sums are added in a tree with this many inputs per node.
 FAN_IN = 32
 MAX_LEVELS = 10_000
+# Of the draw that deals rows to folds; cells are written once, so all passes agree on it.
+FOLD_SEED = 20
 
 
 # --------------------------------------------------------------------------- features
@@ -627,8 +629,8 @@ def fit_glm(
     if divide_target_by_weight and weight_col:
         y = F.try_divide(y, w)
     train = df.where(column(train_test_col) == TRAIN_FLAG)
-    keyed = list(fold_key) if fold_key else [c for c in (*predictors, target, weight_col) if c]
-    fold = F.xxhash64(*[column(c) for c in keyed])
+    # Never of the target: a fold must not take all rows of one outcome.
+    fold = F.xxhash64(*[column(c) for c in fold_key]) if fold_key else F.floor(F.rand(FOLD_SEED) * (1 << 30))
     train, filled = fill_nulls(train, raws, means)
     train, bins = with_bins(train, binned, blueprint, means)
     raw_cols = {v: filled.get(v, column(v).cast("double")) for v in raws}

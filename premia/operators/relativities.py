@@ -101,26 +101,33 @@ def _same_row(left: str, right: str):
     return same
 
 
-def apply_edits(relativity: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_edits(
+    relativity: DataFrame, edits: DataFrame, order: str | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Set new relativities: ``edits`` holds variable, from_d, to_d, level, new_relativity.
 
-    Returns the revised table, the change log ``(.., old_relativity, new_relativity)``
-    and the edits that matched no row.
+    Several edits of one row apply one after another by the column ``order``; without it, by
+    rising new relativity.  Returns the revised table, the change log ``(.., old_relativity,
+    new_relativity)`` with one line per edit, and the edits that matched no row.
     """
-    r, e = relativity.alias("r"), edits.alias("e")
-    joined = r.join(e, _same_row("r", "e"), "left")
+    by = [order, "new_relativity"] if order else ["new_relativity"]
+    row = Window.partitionBy("variable", *_BOUNDS)
+    steps = edits.withColumn("__before", F.lag("new_relativity").over(row.orderBy(*by))).withColumn(
+        "__last", F.row_number().over(row.orderBy(*[F.desc(c) for c in by])) == 1
+    )
+    r, e = relativity.alias("r"), steps.alias("e")
     new = F.col("e.new_relativity")
-    revised = joined.select(
+    revised = r.join(steps.where("__last").alias("e"), _same_row("r", "e"), "left").select(
         *[F.col(f"r.{c}") for c in RELATIVITY_COLUMNS[:-1]],
         F.coalesce(new, F.col("r.relativity")).alias("relativity"),
     )
     changes = r.join(e, _same_row("r", "e")).select(
         F.col("r.variable"),
         *[F.col(f"r.{b}") for b in _BOUNDS],
-        F.col("r.relativity").alias("old_relativity"),
+        F.coalesce("e.__before", "r.relativity").alias("old_relativity"),
         new.alias("new_relativity"),
     )
-    unmatched = e.join(r, _same_row("r", "e"), "left_anti")
+    unmatched = edits.alias("e").join(r, _same_row("r", "e"), "left_anti")
     return revised, changes, unmatched
 
 

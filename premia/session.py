@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -27,7 +28,7 @@ def scratch_root(spark: SparkSession) -> str:
     )
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError(
             f"Set {CHECKPOINT_CONF} to a folder all executors share; "
             "intermediate tables are written there."
