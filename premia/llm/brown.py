@@ -106,7 +106,8 @@ def exchange(right: np.ndarray, classes: int, rounds: int) -> np.ndarray:
             n[here] -= r
             n[:, here] -= l
             n[here, here] -= own
-            rows, cols = n.sum(axis=1), n.sum(axis=0)
+            # Pairs with the word count for its neighbours' classes wherever it goes.
+            rows, cols = n.sum(axis=1) + l, n.sum(axis=0) + r
             more_rows, more_cols = n + r, n + l[:, None]
             gain = (_f(more_rows) - _f(n)).sum(axis=1) + (_f(more_cols) - _f(n)).sum(axis=0)
             d = n[diagonal, diagonal]
