@@ -241,3 +241,26 @@ def test_blueprint_from_lists_kinds():
     plan = Blueprint.from_lists({"a": [2, 1, 1], "b": ["x"], "c": [], "d": "Error: broken"})
     assert [plan[v].kind for v in plan] == ["numeric", "categorical", "empty", "error"]
     assert plan["a"].breaks == (1.0, 2.0)
+
+
+def test_switch_drops_edits_that_were_not_kept():
+    rows = (FromToRow(None, 30.0, None, 1.4), FromToRow(30.0, None, None, 0.8))
+    model = RateModel(1.0, {"x": VariableConfig("numeric", rows)}, ModelMetadata()).create_snapshot("first")
+    key = rows[0].key
+    edited = model.update_relativity("x", key[0], key[1], 9.0).switch_to(1).create_snapshot("again")
+    assert edited.snapshots[-1].changes == ()
+
+
+def test_edits_of_one_row_apply_in_order(spark):
+    table = spark.createDataFrame(
+        [("x", "numeric", 0, None, 30.0, None, 1.4), ("x", "numeric", 1, 30.0, None, None, 0.8)],
+        "variable string, kind string, ord int, from_d double, to_d double, level string, relativity double",
+    )
+    edits = spark.createDataFrame(
+        [("x", 30.0, None, None, 2.0, 1), ("x", 30.0, None, None, 1.5, 2)],
+        "variable string, from_d double, to_d double, level string, new_relativity double, step int",
+    )
+    revised, changes, unmatched = apply_edits(table, edits, "step")
+    assert sorted(r["relativity"] for r in revised.collect()) == [1.4, 1.5]
+    assert sorted((r["old_relativity"], r["new_relativity"]) for r in changes.collect()) == [(0.8, 2.0), (2.0, 1.5)]
+    assert unmatched.isEmpty()
