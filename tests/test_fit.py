@@ -314,3 +314,16 @@ def test_streams_are_scored_like_batches(spark, policies, pipeline, tmp_path):
     assert tuple(got) == pytest.approx(tuple(want))
     with pytest.raises(ValueError, match="no batch mean"):
         pipeline.model.predict(stream.withColumn("VehAge", F.col("VehAge") + 0), fill="batch")
+
+
+def test_folds_do_not_follow_the_outcome(spark):
+    """One factor with claim rates of 5, 20 and 60 %: cross-validation keeps it."""
+    rows = spark.range(6000).select(
+        F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3 + 1).cast("int")).alias("level"),
+        F.col("id"), F.lit(1).alias("traintest"),
+    )
+    rate = F.when(F.col("level") == "a", 5).when(F.col("level") == "b", 20).otherwise(60)
+    data = rows.select("level", "traintest", (F.pmod(F.xxhash64("id"), F.lit(100)) < rate).cast("int").alias("claim"))
+    cv = {"n_alphas": 4, "l1_ratio": [1.0], "min_alpha_ratio": 1e-3, "cv": 3}
+    model = fit_glm(data, "claim", "Binomial", ["level"], {"level": ["a", "b", "c"]}, cv_params=cv)
+    assert np.ptp(model.coef) > 1 and model.alpha == min(g[1] for g in model.grid)
