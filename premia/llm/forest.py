@@ -7,8 +7,13 @@ many classes share it, because a class looks at its next neighbours however deep
 their common prefix is, down to ``min_depth``.  Candidates are confirmed on full shingle
 sets.  A pair whose ends are joined already needs no test; all others are tested.
 
+Regions that hold more classes than the neighbours looked at are then gone through whole: their
+classes outside the region's largest component meet all classes of the region, in blocks.
+So the neighbours decide the cost and not the result.
+
 Recall: classes of likeness s share ``min_depth`` values in a tree with probability
-``s ** min_depth``, so a pair at 0.8 is missed by all 16 trees once in about 100,000.
+``s ** min_depth``, so a pair at 0.8 is missed by all 16 trees once in about 100,000.  In dense
+regions a pair must also agree in as many signature values as ``Forest.least_common`` says.
 
 Defined results: a null text is an empty one; without words a text has no shingles and is
 linked with nothing; with fewer words than ``shingle`` the whole sequence is one shingle;
@@ -18,6 +23,7 @@ input with any names do no harm, as only id and text are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +47,14 @@ class Forest:
     min_depth: int = 3
     #: Neighbours in the sorted order that a class looks at in each tree, one way.
     neighbours: int = 6
+    #: Classes of a dense region that one task holds against as many others.
+    block: int = 512
+
+    @property
+    def least_common(self) -> int:
+        """Signature values that a linked pair shares but for 4.5 standard deviations."""
+        n, p = self.trees * self.depth, self.percent / 100
+        return max(self.min_depth, math.floor(n * p - 4.5 * math.sqrt(n * p * (1 - p))))
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -126,17 +140,27 @@ def candidates(signed: DataFrame, plan: Forest) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("strength").alias("strength"))
 
 
+def _sets(texts: pa.Array, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted shingle sets of the distinct texts, and which one each row has."""
+    coded = texts.dictionary_encode()
+    sets = [np.unique(shingles(w[at[k] : at[k + 1]], n)) for i, j, w, at in word_blocks(coded.dictionary) for k in range(j - i)]
+    return sets, coded.indices.to_numpy()
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    return int(np.count_nonzero(y[np.minimum(y.searchsorted(x), len(y) - 1)] == x)) if len(x) else 0
+
+
 def _confirm(plan: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (
-                [shingles(w[at[k] : at[k + 1]], plan.shingle) for i, j, w, at in word_blocks(batch.column(c)) for k in range(j - i)]
-                for c in (2, 3)
-            )
+            (left, at), (right, to) = (_sets(batch.column(c), plan.shingle) for c in (2, 3))
             linked = []
-            for x, y in zip(left, right):
-                x, y = np.unique(x), np.unique(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            for i, j in zip(at.tolist(), to.tolist()):
+                x, y = left[i], right[j]
+                both = _common(x, y)
                 linked.append(100 * both >= plan.percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
@@ -179,6 +203,93 @@ def links(texts: DataFrame, found: DataFrame, plan: Forest) -> DataFrame:
     return groups
 
 
+def _across(plan: Forest):
+    """Outsiders of a dense region against a block of its classes, by whole signatures."""
+
+    def run(table: pa.Table) -> pa.Table:
+        outer = table["outer"].to_numpy(zero_copy_only=False)
+        ids, sizes, groups = (table[c].to_numpy() for c in ("id", "n", "component"))
+        outsider = table["outsider"].to_numpy(zero_copy_only=False)
+        values = np.frombuffer(b"".join(table["signature"].to_pylist()), ">u4").astype(np.uint32).reshape(len(ids), -1)
+        x, y = np.flatnonzero(outer), np.flatnonzero(~outer)
+        common = np.zeros((len(x), len(y)), np.int16)
+        for v in values.T:
+            common += v[x][:, None] == v[y]
+        small, large = np.minimum.outer(sizes[x], sizes[y]), np.maximum.outer(sizes[x], sizes[y])
+        good = (common >= plan.least_common) & (100 * small >= plan.percent * large) & (groups[x][:, None] != groups[y])
+        good &= ~outsider[y] | (ids[x][:, None] > ids[y])  # two outsiders meet twice
+        i, j = np.nonzero(good)
+        return pa.table({"a": pa.array(ids[x[i]], pa.int64()), "b": pa.array(ids[y[j]], pa.int64()), "strength": pa.array(common[i, j].astype(np.int64))})
+
+    return run
+
+
+def dense_candidates(members: DataFrame, plan: Forest) -> DataFrame:
+    """(a, b, strength) of regions with more classes than the neighbours reach.
+
+    ``members`` is (id, n, signature, component).  Only classes outside the largest component
+    of a region, ``a``, look for partners, and only in other components, so a region whose
+    classes are joined costs nothing.  Both sides are dealt in blocks, whatever their number.
+    """
+    width = 4 * plan.depth
+    region = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(signature, tree * {width} + 1, {4 * plan.min_depth})"))
+    trees = F.explode(F.sequence(F.lit(0), F.lit(plan.trees - 1))).alias("tree")
+    rows = members.select("*", trees).withColumn("region", region).drop("tree")
+    dense = rows.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    dense = written(dense.where((F.col("m") > plan.neighbours + 1) & (F.col("lo") != F.col("hi"))).select("region", "m"), "forest-dense")
+    inside = rows.join(dense, "region")
+    shares = inside.groupBy("region", "m", "component").count()
+    main = shares.groupBy("region", "m").agg(F.max(F.struct("count", F.col("component").alias("main"))).alias("top"))
+    outer = F.col("m") - F.col("top.count")
+    parts = lambda n: F.ceil(n / plan.block).cast("int")
+    main = written(main.select("region", F.col("top.main").alias("main"), parts(outer).alias("xs"), parts(F.col("m")).alias("ys")), "forest-main")
+    placed = rows.join(main, "region").withColumn("outsider", F.col("component") != F.col("main"))
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["region", "id", "n", "signature", "component", "outsider"]
+    inner = placed.select(*columns, F.lit(False).alias("outer"), all_of("xs").alias("x"), at("ys").alias("y"))
+    others = placed.where("outsider").select(*columns, F.lit(True).alias("outer"), at("xs").alias("x"), all_of("ys").alias("y"))
+    pairs = inner.unionAll(others).groupBy("region", "x", "y").applyInArrow(_across(plan), "a bigint, b bigint, strength bigint")
+    return pairs.groupBy("a", "b").agg(F.max("strength").alias("strength"))
+
+
+def join_dense(texts: DataFrame, members: DataFrame, found: DataFrame, plan: Forest) -> DataFrame:
+    """``members`` with components joined by links inside dense regions.
+
+    Pairs are tested in rounds, the most alike of each outsider first; a pair whose ends
+    have come together needs no test, and the last round tests all that are left.
+    """
+    seen = found.select("a", "b").unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    still = written(dense_candidates(members, plan).join(seen, ["a", "b"], "left_anti"), "forest-dense-pairs")
+    if still.isEmpty():
+        return members
+    involved = still.select(F.col("a").alias("id")).unionAll(still.select(F.col("b").alias("id"))).distinct()
+    body = written(texts.join(involved, "id", "left_semi"), "forest-dense-texts")
+    left, right = (body.select(F.col("id").alias(k), F.col("text").alias(t)) for k, t in (("a", "x"), ("b", "y")))
+    for most in (1, 8, None):
+        roots = members.select("id", "component")
+        one, two = roots.toDF("a", "ca"), roots.toDF("b", "cb")
+        turn = Window.partitionBy("a").orderBy(F.desc("strength"), "b")
+        apart = still.join(one, "a").join(two, "b").where("ca <> cb").withColumn("turn", F.row_number().over(turn))
+        apart = written(apart, "forest-dense-turn")
+        now = apart.where(F.col("turn") <= most) if most else apart
+        chosen = now.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        linked = chosen.mapInArrow(_confirm(plan), "a bigint, b bigint, linked boolean").where("linked").select("a", "b")
+        linked = written(linked, "forest-dense-links")
+        if not linked.isEmpty():
+            edges = linked.join(one, "a").join(two, "b").select("ca", "cb")
+            merged = components(edges).withColumnRenamed("component", "onto")
+            members = members.join(merged, members["component"] == merged["node"], "left").select(
+                "id", "n", "signature", F.coalesce("onto", "component").alias("component")
+            )
+            members = written(members, "forest-members")
+        if most:
+            still = apart.where(F.col("turn") > most).select("a", "b", "strength")
+            if still.isEmpty():
+                break
+    return members
+
+
 def near_groups(docs: DataFrame, plan: Forest = Forest(), text: str = "text", id: str = "doc_id") -> DataFrame:
     """(id, n_shingles, component): each document and the least id it is linked with."""
     texts = docs.select(F.col(id).cast("long").alias("id"), text_of(text).alias("text"))
@@ -188,10 +299,11 @@ def near_groups(docs: DataFrame, plan: Forest = Forest(), text: str = "text", id
     classes = written(classes, "forest-classes")
     found = written(candidates(classes.select(F.col("first").alias("id"), "n", "signature"), plan), "forest-candidates")
     groups = links(texts, found, plan)
-    # Classes of several ids, or classes that were linked, are all that need a lookup.
-    of_class = classes.join(groups, classes["first"] == groups["node"], "left").select(
-        "n", "m1", "m2", F.coalesce("component", "first").alias("component")
+    members = classes.join(groups, classes["first"] == groups["node"], "left").select(
+        F.col("first").alias("id"), "n", "signature", F.coalesce("component", "first").alias("component")
     )
+    members = join_dense(texts, written(members, "forest-members"), found, plan).select(F.col("id").alias("first"), "component")
+    of_class = classes.join(members, "first").select("n", "m1", "m2", "component")
     slim = signed.select("id", "n", "m1", "m2")
     full = slim.where("n > 0").join(of_class, ["n", "m1", "m2"]).select("id", F.col("n").alias("n_shingles"), "component")
     bare = slim.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component"))

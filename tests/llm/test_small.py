@@ -53,6 +53,37 @@ def test_forest_is_whole(docs):
     assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
+def test_dense_regions_are_whole(spark):
+    """More texts of one template than neighbours reach, some linked with few others only."""
+    rng = np.random.default_rng(3)
+    template = [f"t{i}" for i in range(100)]
+    body = []
+    for k in range(300):
+        words = list(template)
+        for at in rng.choice(100, int(rng.integers(2, 14)), replace=False):
+            words[at] = f"x{k}-{at}"
+        body.append(words)
+    sets = [set(zip(w, w[1:])) for w in body]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(body)], "doc_id long, text string")
+    for plan in (forest.Forest(), forest.Forest(neighbours=1, block=16)):
+        got = {r["id"]: r["component"] for r in forest.near_groups(df, plan).collect()}
+        assert got == {i: find(i) for i in range(len(sets))}
+    assert 5 < len({find(i) for i in range(300)}) < 295
+
+
 def test_components_of_a_chain_and_loops(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(50, 51), (51, 50), (60, 60), (None, 3)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
