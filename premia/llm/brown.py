@@ -1,11 +1,15 @@
 """A Brown class model: words in classes, class bigrams and words given their class.
 
-Counts of all words of the training documents are made by Spark.  Exchange clustering moves
-each of the ``core`` most frequent words to the class that raises the likelihood of class
-bigrams most; other frequent words (``head`` in all) join the class that fits their neighbours
-best; all rarer words, and unknown ones, are one class.  Only these lists, of fixed length,
-reach the driver and the tasks; rarer words meet their counts in a join.  Class bigrams
-are counted over all training documents.
+Counts of all words and of all pairs of neighbours in the training documents are made by
+Spark and written.  The ``core`` most frequent words start in classes by exchange clustering;
+the first round gives each other word the class that raises the likelihood of class bigrams
+most, and ``rounds`` more let words of all ranks move, half of them at a time.  A round joins
+the table of words and classes to the pairs, so that each word has its neighbours' counts by
+class, and finds the best moves in tasks; the table of greatest likelihood is used.  Words
+that training text does not have are one class more.
+
+Classes of the ``head`` most frequent words are looked up in tasks, those of all others in
+joins; the result does not depend on which.  The driver holds these words and class bigrams.
 
 Words are known by 64-bit hashes.  The end of a text is a word of its own, and stands before
 the next text's first word as well.
@@ -25,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from premia.llm.tables import text_of, written
-from premia.llm.text import U64, Lookup, word_blocks
+from premia.llm.tables import release, text_of, written
+from premia.llm.text import U64, Lookup, mix, word_blocks
 
 END = np.array([0x5EED0FE4D0F7E875], U64)
 PAD = 0.1
@@ -54,31 +58,46 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
 
-def _pairs(keys: np.ndarray, column: np.ndarray, columns: int):
-    """Counts of (position of a word, column of a neighbour), left and right, as one key."""
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (word, next word); an end stands before each text."""
+    for batch in batches:
+        for _, _, words, _ in _sequences(batch.column(0)):
+            before = np.append(END, words[:-1])
+            _, first, n = np.unique(mix(before) + words, return_index=True, return_counts=True)
+            pair = [pa.array(x[first].view(np.int64)) for x in (before, words)]
+            yield pa.RecordBatch.from_arrays([*pair, pa.array(n.astype(np.int64))], ["a", "b", "n"])
+
+
+def _placed(keys: np.ndarray):
+    """Pairs with the positions of both words in a list, -1 where they are not in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Lookup(keys)
         for batch in batches:
-            for _, _, words, _ in _sequences(batch.column(0)):
-                at = find(words).astype(np.int64)
-                kind = column[at]  # -1, a word that is not in the list, reads the last entry
-                right = at[:-1] * columns + kind[1:]
-                left = at[1:] * columns + kind[:-1]
-                for side, codes, own in ((0, left, at[1:]), (1, right, at[:-1])):
-                    code, n = np.unique(codes[own >= 0] * 2 + side, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
+            at = [pa.array(find(batch.column(k).to_numpy().view(U64)).astype(np.int32)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *at], ["a", "b", "n", "at", "bt"])
 
     return run
 
 
-def _gather(texts: DataFrame, keys: np.ndarray, column: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray]:
-    """(left, right) neighbour counts, words by columns."""
-    out = np.zeros(len(keys) * columns * 2, np.int64)
-    table = texts.mapInArrow(_pairs(keys, column, columns), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    out[table["code"].to_numpy()] = table["n"].to_numpy()
-    both = out.reshape(len(keys), columns, 2)
-    return both[:, :, 0], both[:, :, 1]
+#: Code of pairs of a word with itself; others are twice the neighbour's class, one more if it stands before.
+OWN = -1
+
+
+def _by_class(kind: np.ndarray):
+    """(word, code, count) of neighbours that are in the list, and of words beside themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, at, bt = (c.to_numpy() for c in batch.columns)
+            same = a == b
+            after, ahead = (bt >= 0) & ~same, (at >= 0) & ~same
+            h = np.concatenate([a[same], a[after], b[ahead]])
+            code = np.concatenate([np.full(same.sum(), OWN), kind[bt[after]] * 2, kind[at[ahead]] * 2 + 1])
+            x = np.concatenate([n[same], n[after], n[ahead]])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(code.astype(np.int32)), pa.array(x)], ["h", "code", "x"])
+
+    return run
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -126,50 +145,157 @@ def exchange(right: np.ndarray, classes: int, rounds: int) -> np.ndarray:
     return of
 
 
-def _transitions(keys: np.ndarray, kind: np.ndarray, classes: int):
+def gains(n: np.ndarray, of: np.ndarray, word: np.ndarray, code: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Change of likelihood when a word of class ``of`` alone goes to each class, words by classes.
+
+    ``n`` has the class bigrams; ``word`` (ascending), ``code`` and ``x`` the words' neighbours.
+    """
+    words, classes = len(of), len(n)
+    more = lambda cell, by: _f(cell + by) - _f(cell)
+    out, sides = np.zeros((words, classes)), []
+    for side, m in ((0, n), (1, n.T)):
+        use = (code >= 0) & (code & 1 == side)
+        w, d, y = word[use], code[use] >> 1, x[use].astype(float)
+        dense = np.zeros((words, classes))
+        dense[w, d] = y
+        sides.append(dense)
+        if len(w):
+            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            out[w[first]] += np.add.reduceat(more(m.T[d], y[:, None]), first)
+            out += np.bincount(w, more(m[of[w], d], -y), words)[:, None]
+    own = np.bincount(word[code == OWN], x[code == OWN], words)[:, None]
+    r, l = sides
+    each, col = np.arange(words), of[:, None]
+    ra, la = r[each, of][:, None], l[each, of][:, None]
+    aa, ac, ca, cc = n[col, col], n[of], n.T[of], n.diagonal()[None, :]
+    # Cells of the two classes with each other change by both sides at once.
+    out -= more(aa, -ra) + more(ac, -r) + more(ca, ra) + more(cc, r) + more(aa, -la) + more(ca, -l) + more(ac, la) + more(cc, l)
+    out += more(aa, -ra - la - own) + more(ac, la - r) + more(ca, ra - l) + more(cc, r + l + own)
+    for total, part in ((n.sum(axis=1), r), (n.sum(axis=0), l)):
+        size = part.sum(axis=1, keepdims=True) + own
+        out -= more(total[col], -size) + more(total[None, :], size)
+    out[each, of] = 0
+    return out
+
+
+#: Words whose moves a task weighs together.
+TOGETHER = 1000
+
+
+def _moved(n: np.ndarray, turn: int):
+    """Words with the classes they go to; class ``len(n) - 1``, the unplaced, is left by all."""
+    last = len(n) - 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, total = Lookup(keys), np.zeros(classes * classes, np.int64)
         for batch in batches:
-            for _, _, words, _ in _sequences(batch.column(0)):
-                c = kind[find(words)]
-                before = np.append(kind[find(END)], c[:-1])
-                total += np.bincount(before * classes + c, minlength=classes * classes)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
+            for i in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(i, TOGETHER)
+                h, of = part.column(0).to_numpy(), part.column(2).to_numpy().astype(np.int64)
+                near = part.column(3)
+                size = near.value_lengths().to_numpy()
+                code, x = (c.to_numpy(zero_copy_only=False) for c in near.flatten().flatten())
+                gain = gains(n, of, np.repeat(np.arange(len(of)), size), code.astype(np.int64), x)[:, :last]
+                best = np.argmax(gain, axis=1)
+                may = (of == last) | ((mix(h.view(U64)) & U64(1)).astype(np.int64) == turn % 2) & (gain.max(axis=1) > 1e-9)
+                to = np.where(may, best, of)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(to.astype(np.int32)), pa.array(to != of)], ["h", "n", "c", "moved"])
 
     return run
 
 
-def _score(keys, counts, kind, step, word, base):
-    """Sums of what tasks know; words beyond the list are passed on with how often they come."""
+def word_classes(train: DataFrame, counts: DataFrame, plan: Plan = Plan()) -> tuple[DataFrame, np.ndarray]:
+    """((h, n, c) of all words of the counts, class bigrams)."""
+    spark, classes = train.sparkSession, plan.classes
+    top = counts.orderBy(F.desc("n"), "h").limit(plan.head).toArrow()
+    keys = top["h"].to_numpy().view(U64)
+    if not len(keys):
+        return counts.withColumn("c", F.lit(0)), np.zeros((classes, classes))
+    pairs = train.mapInArrow(_pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = written(pairs.mapInArrow(_placed(keys), "a long, b long, n long, at int, bt int"), "word-pairs")
+    core = min(plan.core, len(keys))
+    right = np.zeros((core, core), np.int64)
+    both = pairs.where((F.col("at") >= 0) & (F.col("at") < core) & (F.col("bt") >= 0) & (F.col("bt") < core)).select("at", "bt", "n").toArrow()
+    right[both["at"].to_numpy(), both["bt"].to_numpy()] = both["n"].to_numpy()
+    start = pa.table({"h": keys[:core].view(np.int64), "c": exchange(right, min(classes, core), plan.rounds).astype(np.int32)})
+    kinds = written(counts.join(spark.createDataFrame(start), "h", "left").select("h", "n", F.coalesce("c", F.lit(classes)).alias("c")), "word-classes")
+    best, least = None, -np.inf
+    for turn in range(plan.rounds + 2):
+        release(spark)
+        head = kinds.orderBy(F.desc("n"), "h").limit(plan.head).toArrow()
+        kind = np.zeros(len(keys), np.int64)
+        kind[Lookup(keys)(head["h"].to_numpy().view(U64))] = head["c"].to_numpy()
+        known = pairs.mapInArrow(_by_class(kind), "h long, code int, x long")
+        of = lambda name: kinds.select(F.col("h").alias(name), "c")
+        after = pairs.where("bt < 0 AND a <> b").join(of("b"), "b").select(F.col("a").alias("h"), (F.col("c") * 2).alias("code"), F.col("n").alias("x"))
+        ahead = pairs.where("at < 0 AND a <> b").join(of("a"), "a").select(F.col("b").alias("h"), (F.col("c") * 2 + 1).alias("code"), F.col("n").alias("x"))
+        near = known.unionAll(after).unionAll(ahead).groupBy("h", "code").agg(F.sum("x").alias("x"))
+        near = near.groupBy("h").agg(F.collect_list(F.struct("code", "x")).alias("near"))
+        state = written(kinds.join(near, "h").select("h", "n", "c", "near"), "word-neighbours")
+        n = np.zeros((classes + 1, classes + 1))
+        cells = state.select("c", F.explode("near").alias("x")).where("x.code = -1 OR x.code % 2 = 0")
+        to = F.when(F.col("x.code") == OWN, F.col("c")).otherwise((F.col("x.code") / 2).cast("int"))
+        cells = cells.groupBy("c", to.alias("d")).agg(F.sum("x.x").alias("x")).toArrow()
+        n[cells["c"].to_numpy(), cells["d"].to_numpy()] = cells["x"].to_numpy()
+        like = _f(n).sum() - _f(n.sum(axis=0)).sum() - _f(n.sum(axis=1)).sum()
+        if not n[classes].any() and like > least:
+            best, least = (kinds, n[:classes, :classes]), like
+        if turn == plan.rounds + 1:
+            break
+        moved = written(state.mapInArrow(_moved(n, turn), "h long, n long, c int, moved boolean"), "word-classes")
+        kinds = moved.select("h", "n", "c")
+    return best
+
+
+def _first(keys, counts, kind):
+    """Sums and classes of words in the list; hashes of the others, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Lookup(keys)
+        logs = np.append(np.log10(counts + PAD), 0)
         for batch in batches:
             for i, j, words, at in _sequences(batch.column(2)):
                 where = find(words)
-                c = kind[where]
-                before = np.append(kind[find(END)], c[:-1])
-                before[at[:-1]] = kind[find(END)]
-                score = np.add.reduceat(step[before, c] + word[where], at[:-1])
-                plain = np.add.reduceat(base[where], at[:-1])
-                seen = np.add.reduceat((counts[where] > 0).astype(np.int64), at[:-1])
-                rare, times = [], []
-                for k in range(j - i):
-                    own = words[at[k] : at[k + 1]][where[at[k] : at[k + 1]] < 0]
-                    h, n = np.unique(own, return_counts=True)
-                    rare.append(h.view(np.int64))
-                    times.append(n)
+                c = np.where(where >= 0, kind[where], -1).astype(np.int16)
+                cut = [slice(at[k], at[k + 1]) for k in range(j - i)]
                 rows = [batch.column(x).slice(i, j - i) for x in (0, 1, 3)]
                 yield pa.RecordBatch.from_arrays(
-                    [*rows, pa.array(np.diff(at)), pa.array(seen), pa.array(plain), pa.array(score),
-                     pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
-                    ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"],
+                    [*rows, pa.array(np.diff(at)), pa.array(np.add.reduceat((where >= 0).astype(np.int64), at[:-1])), pa.array(np.add.reduceat(logs[where], at[:-1])),
+                     pa.array([c[s].tobytes() for s in cut], pa.binary()), pa.array([words[s][where[s] < 0].view(np.int64) for s in cut], pa.list_(pa.int64()))],
+                    ["row", "id", "held_out", "n_tokens", "n_known", "logs", "kinds", "rest"],
                 )
 
     return run
 
 
+def _score(step, under, end):
+    """Scores of texts whose other words have met their classes; the last class is for unknown ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unknown = len(under) - 1
+        for batch in batches:
+            lists = lambda name: batch.column(name).to_pylist()
+            seen, logs, score = [], [], []
+            for kinds, rest, met in zip(lists("kinds"), batch.column("rest"), batch.column("met")):
+                c, rest = np.frombuffer(kinds, np.int16).astype(np.int64), rest.values.to_numpy()
+                n, own = np.zeros(len(rest), np.int64), np.full(len(rest), unknown)
+                if met.is_valid and len(rest):
+                    h, of, times = (x.to_numpy(zero_copy_only=False) for x in met.values.flatten())
+                    order = np.argsort(h)
+                    h, of, times = h[order], of[order], times[order]
+                    at = np.minimum(np.searchsorted(h, rest), len(h) - 1)
+                    hit = h[at] == rest
+                    n[hit], own[hit] = times[at[hit]], of[at[hit]]
+                c[c < 0] = own
+                seen.append(int((n > 0).sum()))
+                logs.append(float(np.log10(n + PAD).sum()))
+                score.append(float(step[np.append(end, c[:-1]), c].sum() - under[c].sum()))
+            rows = [batch.column(x) for x in ("id", "held_out", "n_tokens")]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(seen, pa.int64()), pa.array(logs, pa.float64()), pa.array(score, pa.float64())],
+                                             ["id", "held_out", "n_tokens", "seen", "more", "score"])
+
+    return run
+
+
 def score_documents(docs: DataFrame, plan: Plan = Plan(), text: str = "text", id: str = "doc_id") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document."""
     name = F.coalesce(F.col(id).cast("string"), F.lit(""))
@@ -177,59 +303,32 @@ def score_documents(docs: DataFrame, plan: Plan = Plan(), text: str = "text", id
     train = docs.where(~held).select(text_of(text).alias("text"))
     counts = written(train.mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "h").limit(plan.head).toArrow()
-    keys, n = top["h"].to_numpy().view(U64), top["n"].to_numpy()
-    if not (keys == END[0]).any():  # no training documents
-        keys, n = np.append(END, keys), np.append(0, n)
-    core = min(plan.core, len(keys))
-    # Neighbours outside the core are one column more.
-    _, right = _gather(train, keys[:core], np.append(np.arange(core), core), core + 1)
-    kind = exchange(right[:, :core], min(plan.classes, core), plan.rounds)
+    words, moves = word_classes(train, counts, plan)
     classes = plan.classes + 1
-    if len(keys) > core:
-        table = np.append(kind, classes - 1)
-        near = _gather(train, keys[:core], table, classes)
-        law = np.stack([np.bincount(kind, near[1][:, d], classes) for d in range(classes)], axis=1) + PAD
-        ahead, behind = np.log(law / law.sum(axis=1, keepdims=True)), np.log(law / law.sum(axis=0))
-        found = Lookup(keys[:core])(keys)
-        by_core = np.append(np.where(found >= 0, kind[found], classes - 1), classes - 1)
-        left, following = _gather(train, keys, by_core, classes)
-        fit = left[core:] @ ahead + following[core:] @ behind.T
-        kind = np.append(kind, np.argmax(fit[:, : classes - 1], axis=1))
-    kind = np.append(kind, classes - 1)
-    moves = np.zeros(classes * classes)
-    rows = train.mapInArrow(_transitions(keys, kind, classes), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    moves[rows["code"].to_numpy()] = rows["n"].to_numpy()
-    moves = moves.reshape(classes, classes)
-    members = np.bincount(kind[:-1], minlength=classes).astype(float)
-    mass = np.bincount(kind[:-1], n, classes)
-    rare_words, rare_mass = distinct - int((n > 0).sum()), float(total - n.sum())
-    members[-1], mass[-1] = rare_words + 1, rare_mass
+    moves = np.pad(moves, (0, 1))
+    members, mass = np.zeros(classes), np.zeros(classes)
+    for r in words.groupBy("c").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("mass")).collect():
+        members[r["c"]], mass[r["c"]] = r["members"], r["mass"]
+    members[-1] = 1
     weight = moves.sum(axis=0) + 1
     step = np.log10((moves + 10 * weight / weight.sum()) / (moves.sum(axis=1, keepdims=True) + 10))
     under = np.log10(np.maximum(mass + PAD * members, PAD))
-    # The last entry is for words beyond the list: their own count comes in by a join.
-    word = np.append(np.log10(n + PAD) - under[kind[:-1]], -under[-1])
     below = np.log10(total + PAD * (distinct + 1))
-    base = np.append(np.log10(n + PAD) - below, -below)
-    kinds = f"row long, id {docs.schema[id].dataType.simpleString()}"
+    ends = words.where(F.col("h") == F.lit(int(END.view(np.int64)[0]))).select("c").first()
+    end = ends["c"] if ends else classes - 1
+    top = words.orderBy(F.desc("n"), "h").limit(plan.head).toArrow()
+    keys, n, kind = top["h"].to_numpy().view(U64), top["n"].to_numpy(), np.append(top["c"].to_numpy(), -1)
+    kinds = f"row long, id {docs.schema[id].dataType.simpleString()}, held_out boolean, n_tokens long"
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), text_of(text).alias("text"), held.alias("held"))
-    known = np.append(n, 0)
-    scored = written(
-        slim.mapInArrow(
-            _score(keys, known, kind, step, word, base),
-            f"{kinds}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>",
-        ),
-        "class-scores",
-    )
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("k"))
-    each = rare.join(counts, "h", "left")
-    sums = each.groupBy("row").agg(
-        F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + PAD)).alias("more"),
-        F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("found"),
-    )
-    more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("rare", "times").join(sums, "row", "left").select(
-        "id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+    first = slim.mapInArrow(_first(keys, n, kind), f"{kinds}, n_known long, logs double, kinds binary, rest array<long>")
+    first = written(first, "class-scores")
+    rest = first.select("row", F.explode(F.array_distinct("rest")).alias("h")).join(words, "h")
+    met = rest.groupBy("row").agg(F.collect_list(F.struct("h", "c", "n")).alias("met"))
+    full = first.join(met, "row", "left").withColumn("id", F.struct("id", "n_known", "logs"))
+    kinds = f"id {full.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, seen long, more double, score double"
+    scored = full.mapInArrow(_score(step, under, end), kinds)
+    logs = F.col("id.logs") + F.col("more")
+    return scored.select(
+        F.col("id.id").alias("id"), "held_out", "n_tokens", (F.col("id.n_known") + F.col("seen")).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), (logs - F.col("n_tokens") * float(below)).alias("base_score"), (logs + F.col("score")).alias("score"),
     )

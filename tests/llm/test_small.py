@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -157,6 +158,48 @@ def test_no_single_exchange_is_better(seed):
             assert likelihood(right, other, 3) <= best + 1e-6
 
 
+def test_gains_are_changes_of_likelihood():
+    rng = np.random.default_rng(2)
+    right, of, classes = rng.integers(0, 4, (30, 30)), rng.integers(0, 5, 30), 5
+    n = np.zeros((classes, classes))
+    np.add.at(n, (of[:, None], of[None, :]), right)
+    word, code, x = [], [], []
+    for w in range(30):
+        off = np.arange(30) != w
+        for side, row in ((0, right[w]), (1, right[:, w])):
+            for d in range(classes):
+                word.append(w), code.append(2 * d + side), x.append(row[off & (of == d)].sum())
+        word.append(w), code.append(brown.OWN), x.append(right[w, w])
+    got = brown.gains(n, of, *map(np.array, (word, code, x)))
+    for w in range(30):
+        for c in range(classes):
+            other = of.copy()
+            other[w] = c
+            assert got[w, c] == pytest.approx(likelihood(right, other, classes) - likelihood(right, of, classes), abs=1e-6)
+
+
+def test_words_of_all_ranks_have_classes(spark):
+    """22,000 words, each seen twice; an order of words that training text has scores higher."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(2):
+        for a, b in zip(rng.permutation(11000), rng.permutation(11000)):
+            rows.append(f"the a{a} of b{b} so")
+    names = [f"{i}" for i in range(300) if zlib.crc32(f"{i}".encode()) % 10][:200]
+    train = [(name, " ".join(rows[k::200])) for k, name in enumerate(names)]
+    held = [f"h{i}" for i in range(100) if zlib.crc32(f"h{i}".encode()) % 10 == 0][:2]
+    right = " ".join(f"a{k} of b{k} so" for k in range(11000))
+    wrong = " ".join(f"b{k} of a{k} so" for k in range(11000))
+    docs = spark.createDataFrame([*train, *zip(held, (right, wrong))], "doc_id string, text string")
+    counts = docs.where(~F.col("doc_id").isin(held)).select("text").mapInArrow(brown._counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    kinds, n = brown.word_classes(docs.where(~F.col("doc_id").isin(held)).select("text"), counts)
+    assert kinds.count() == 22004 and n.sum() == counts.agg(F.sum("n")).first()[0]
+    got = {r["id"]: r for r in brown.score_documents(docs).where(F.col("id").isin(held)).collect()}
+    assert all(r["held_out"] and r["n_known"] == r["n_tokens"] for r in got.values())
+    # Nearly all of the 22,000 words are told apart, not only those of the list.
+    assert got[held[0]]["score"] - got[held[1]]["score"] > 0.95 * 22000 * 0.3
+
+
 def test_hilbert_steps_and_shards(docs):
     points = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     index = hilbert.curve_index(points, 3)
