@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from premia.llm.tables import release, text_of, written
 from premia.llm.text import U64, Lookup, mix, word_blocks
+from premia.session import ScratchTable
 
 END = np.array([0x5EED0FE4D0F7E875], U64)
 PAD = 0.1
@@ -211,7 +212,8 @@ def word_classes(train: DataFrame, counts: DataFrame, plan: Plan = Plan()) -> tu
     if not len(keys):
         return counts.withColumn("c", F.lit(0)), np.zeros((classes, classes))
     pairs = train.mapInArrow(_pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = written(pairs.mapInArrow(_placed(keys), "a long, b long, n long, at int, bt int"), "word-pairs")
+    stored = ScratchTable(pairs.mapInArrow(_placed(keys), "a long, b long, n long, at int, bt int"), "word-pairs")
+    pairs = stored.df
     core = min(plan.core, len(keys))
     right = np.zeros((core, core), np.int64)
     both = pairs.where((F.col("at") >= 0) & (F.col("at") < core) & (F.col("bt") >= 0) & (F.col("bt") < core)).select("at", "bt", "n").toArrow()
@@ -230,7 +232,8 @@ def word_classes(train: DataFrame, counts: DataFrame, plan: Plan = Plan()) -> tu
         ahead = pairs.where("at < 0 AND a <> b").join(of("a"), "a").select(F.col("b").alias("h"), (F.col("c") * 2 + 1).alias("code"), F.col("n").alias("x"))
         near = known.unionAll(after).unionAll(ahead).groupBy("h", "code").agg(F.sum("x").alias("x"))
         near = near.groupBy("h").agg(F.collect_list(F.struct("code", "x")).alias("near"))
-        state = written(kinds.join(near, "h").select("h", "n", "c", "near"), "word-neighbours")
+        table = ScratchTable(kinds.join(near, "h").select("h", "n", "c", "near"), "word-neighbours")
+        state = table.df
         n = np.zeros((classes + 1, classes + 1))
         cells = state.select("c", F.explode("near").alias("x")).where("x.code = -1 OR x.code % 2 = 0")
         to = F.when(F.col("x.code") == OWN, F.col("c")).otherwise((F.col("x.code") / 2).cast("int"))
@@ -240,9 +243,13 @@ def word_classes(train: DataFrame, counts: DataFrame, plan: Plan = Plan()) -> tu
         if not n[classes].any() and like > least:
             best, least = (kinds, n[:classes, :classes]), like
         if turn == plan.rounds + 1:
+            table.drop()
             break
         moved = written(state.mapInArrow(_moved(n, turn), "h long, n long, c int, moved boolean"), "word-classes")
         kinds = moved.select("h", "n", "c")
+        table.drop()
+        del known, after, ahead, near, state, cells, moved  # their shuffle files may go
+    stored.drop()
     return best
 
 
