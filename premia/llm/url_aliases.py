@@ -3,7 +3,7 @@
 A rule names a host with its subdomains and the start of a path; the longest that fits
 decides.  URLs that no rule fits take the decision of their aliases: URLs joined by a
 redirect or canonical link in the page, by a redirect target in the URL, or by the same normal
-form.  Aliases are connected components.  An allowed alias outweighs any blocked one.
+form; targets may be relative to the page's URL, and all that a page names count.  Aliases are connected components.  An allowed alias outweighs any blocked one.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, no aliases
 and the verdict allow; repeated URLs are judged alike; html may be null; an empty table gives
@@ -13,6 +13,7 @@ an empty result; columns with other names are not read.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,17 +62,65 @@ def normal_form(url: Column) -> Column:
     return F.concat(host, F.regexp_replace(path_of(url), r"/+$", ""), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
+#: scheme, authority, path and query of a reference; each is null where it is absent, but the path.
+_REFERENCE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?"
+_ENTITIES = (("&#38;", "&"), ("&#x26;", "&"), ("&#x2F;", "/"), ("&#47;", "/"), ("&quot;", '"'), ("&amp;", "&"))
+
+
+def without_dots(path: Column) -> Column:
+    """A path that starts with a slash, without its segments ``.`` and ``..``."""
+    parts = F.slice(F.split(path, "/", -1), 2, F.greatest(F.size(F.split(path, "/", -1)), F.lit(1)))
+    none = F.array().cast("array<string>")
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    closed = F.when(path.rlike(r"(?s)/\.\.?$"), "/").otherwise("")
+    left = F.array_join(F.aggregate(parts, none, step), "/")
+    return F.concat(F.lit("/"), left, F.when(left == "", "").otherwise(closed))
+
+
+def resolved(base: Column, reference: Column) -> Column:
+    """The URL that a reference in a page at ``base`` names (RFC 3986), without its fragment.
+
+    Null where the base has no host, or the reference is empty, only a fragment or of a scheme without ``//``.
+    """
+    part = lambda text, k: F.regexp_extract(text, _REFERENCE, k)
+    ref = F.trim(reference)
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    origin = F.concat(scheme, F.lit("://"), F.regexp_extract(base, r"(?s)^.*?://([^/?#]*)", 1))
+    path, query = part(ref, 3), part(ref, 4)
+    folder = F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
+    return (
+        F.when(host_of(base) == "", None)
+        .when((ref == "") | ref.startswith("#"), None)
+        .when(ref.rlike(r"(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"), F.concat(F.coalesce(F.nullif(part(ref, 1), F.lit("")), scheme), F.lit("://"), part(ref, 2), F.when(path == "", "").otherwise(without_dots(path)), query))
+        .when(part(ref, 1) != "", None)
+        .when(path == "", F.concat(origin, path_of(base), query))
+        .otherwise(F.concat(origin, without_dots(whole), query))
+    )
+
+
 def targets(url: Column, html: Column) -> Column:
-    """URLs that the page or its URL names as itself: canonical link, refresh, redirect key."""
+    """URLs that the page or its URL names as itself: canonical links, refreshes, redirect keys."""
     body = F.coalesce(html, F.lit(""))
-    find = lambda pattern: F.regexp_extract(body, pattern, 1)
-    named = F.array(
-        find(r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""),
-        find(r"""(?is)<link\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*\brel\s*=\s*["']?canonical\b"""),
-        find(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""),
-        F.try_url_decode(F.regexp_extract(url, r"[?&](?:url|redirect|redirect_uri|to|target)=([^&#]+)", 1)),
+    tags = F.regexp_extract_all(body, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    attribute = lambda tag, name: F.coalesce(
+        *[F.nullif(F.regexp_extract(tag, rf"(?is)[\s\"']{name}\s*=\s*{value}", 1), F.lit("")) for value in ('"([^"]*)"', "'([^']*)'", r"([^\s\"'>]+)")], F.lit("")
     )
-    return F.filter(named, lambda x: x.contains("://"))
+
+    def named_by(tag: Column) -> Column:
+        canonical = tag.rlike(r"(?i)^<link\b") & attribute(tag, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)")
+        refresh = tag.rlike(r"(?i)^<meta\b") & (F.lower(F.trim(attribute(tag, "http-equiv"))) == "refresh")
+        to = F.regexp_extract(attribute(tag, "content"), r"""(?is)\burl\s*=\s*["']?([^"']+)""", 1)
+        return F.when(canonical, attribute(tag, "href")).when(refresh, to).otherwise("")
+
+    plain = lambda x: reduce(lambda y, e: F.replace(y, F.lit(e[0]), F.lit(e[1])), _ENTITIES, x)
+    keys = F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&](?:url|redirect|redirect_uri|to|target)=([^&#]+)"), F.lit(1))
+    # A key's value that names neither a path nor a host, such as a number or a word, is no URL.
+    keyed = F.filter(F.transform(keys, F.try_url_decode), lambda x: x.rlike(r"(?i)^([a-z][a-z0-9+.-]*:/)?/|^\.\.?/"))
+    linked = F.transform(F.transform(tags, named_by), plain)
+    found = F.transform(F.concat(linked, keyed), lambda x: resolved(url, x))
+    return F.filter(F.array_distinct(found), lambda x: x.contains("://"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", html: str = "html", id: str = "page_id") -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from urllib.parse import urldefrag, urljoin
 
 import numpy as np
 import pytest
@@ -222,6 +223,31 @@ def test_aliases_and_allow_precedence(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "allow"}
 
 
+def test_aliases_by_relative_links(spark):
+    """A chain through relative links, each of another form; a first tag hides no later one."""
+    link = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "http://a.example.com/en/1", None), (2, "http://other.test/x/y", link.format("/z?k=1&amp;n=2")),
+        (3, "http://other.test/z?k=1&n=2", link.format("../q")), (4, "http://other.test/q", link.format("//third.test/w/./v/..")),
+        (5, "http://third.test/w/", "<link href='here' rel=canonical>" + link.format("https://a.example.com/en/1")),
+        (6, "http://third.test/w/here", '<meta content="0; URL=\'there\'" http-equiv="refresh">'), (7, "http://third.test/w/there", None),
+        (8, "http://free.test/a?to=%2Fb", None), (9, "http://free.test/b", link.format("#top") + link.format("mailto:x@a.example.com")),
+        (10, "http://fifth.test/?to=5&url=//free.test/b&url=http://a.example.com/en/2", None), (11, "http://last.test/", link.format("")),
+    ]
+    got = {r["id"]: r["verdict"] for r in url_aliases.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "allow" if i == 11 else "block" for i in range(1, 12)}
+
+
+def test_resolved_as_urljoin(spark):
+    base = ["http://h.test/a/b/c?q=1", "https://h.test", "http://h.test/"]
+    refs = ["/x", "x", "../x", "../../../x", "./x/../y/", "..", ".", "?k=2", "//o.test/p?z", "http://o.test/p#f", "x/../..", "a:80"]
+    rows = [(b, r) for b in base for r in refs]
+    found = spark.createDataFrame(rows, "b string, r string").select("b", "r", url_aliases.resolved(F.col("b"), F.col("r")).alias("u")).collect()
+    for x in found:
+        want = None if x["r"] == "a:80" else urldefrag(urljoin(x["b"], x["r"]))[0]
+        assert x["u"] == want, x
+
+
 def test_licences_pass_down(spark):
     rows = [(1, "a/x", "Released under the MIT License."), (2, "a/b/y", "some words of text here"), (3, "c/z", None)]
     df = spark.createDataFrame(rows, "doc_id long, where string, text string")
