@@ -40,7 +40,12 @@ def s1(spark, sf):
     "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
 )
 def s2(spark, sf):
-    orders = read_table(spark, sf, "orders").drop("o_orderdate")
+    return s2_all(spark, sf).drop("o_orderdate")
+
+
+@query("s2_csv_round_trip_all_columns", "SELECT * FROM orders")
+def s2_all(spark, sf):
+    orders = read_table(spark, sf, "orders")
     path = scratch_path(spark, "orders") + ".csv"
     write_portfolio(orders, path, "csv")
     return read_portfolio(spark, path, schema=orders.schema)
