@@ -86,3 +86,14 @@ def test_scratch_tables_live_in_the_shared_folder(spark):
     table.drop()
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(table.path)
+
+
+def test_registered_comparisons_use_the_defaults(monkeypatch):
+    from workload import models
+
+    seen = {}
+    monkeypatch.setattr(models, "pf", lambda spark, sf: None)
+    monkeypatch.setattr(models, "compare_methods", lambda *a, **k: seen.update(k))
+    models.m10(None, "")
+    assert tuple(seen["methods"]) == models.METHODS
+    assert not {"cv_params", "gbt_iterations"} & set(seen)

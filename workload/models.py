@@ -228,9 +228,22 @@ CV = {"n_alphas": 6, "min_alpha_ratio": 1e-3, "l1_ratio": [0.5, 1.0]}
     true AS beats_null_model, (SELECT count(DISTINCT c_mktsegment) FROM customer)::BIGINT AS n_levels""",
 )
 def m3(spark, sf):
+    return _cross_validated(spark, sf, CV)
+
+
+@query(
+    "m3_default_grid",
+    """SELECT 300::BIGINT AS n_penalties, 3::BIGINT AS n_ratios, true AS best_is_least,
+    true AS beats_null_model, (SELECT count(DISTINCT c_mktsegment) FROM customer)::BIGINT AS n_levels""",
+)
+def m3_default(spark, sf):
+    return _cross_validated(spark, sf, {})
+
+
+def _cross_validated(spark, sf, cv_params):
     data = pf(spark, sf)
     plan = generate_blueprint(data.where("traintest = 1"), ["segment", "discount"])
-    model = fit_glm(data, "severity", "gamma", list(plan), plan, cv_params=CV)
+    model = fit_glm(data, "severity", "gamma", list(plan), plan, cv_params=cv_params)
     grid = model.grid_table(spark)
     best = (F.col("l1_ratio") == model.l1_ratio) & (F.col("alpha") == model.alpha)
     n = len(plan["segment"].levels)
@@ -254,7 +267,7 @@ def m3_grid(spark, sf):
     plan = generate_blueprint(data.where("traintest = 1"), ["segment", "discount"])
     model = fit_glm(
         data, "ClaimNb", "poisson", list(plan), plan, weight_col="Exposure",
-        divide_target_by_weight=True, cv_params={"n_alphas": 5, "l1_ratio": [1.0]},
+        divide_target_by_weight=True,
     )
     return model.grid_table(spark)
 
@@ -434,10 +447,9 @@ def s6(spark, sf):
 
 @query("m10_method_comparison")
 def m10(spark, sf):
-    # Fewer trees than the default, as a report of all four methods in reasonable time.
     return compare_methods(
         pf(spark, sf), "ClaimNb", "Poisson", PREDICTORS, name="claims", weight_col="Exposure",
-        methods=METHODS, cv_params={"n_alphas": 5, "l1_ratio": [1.0]}, gbt_iterations=10,
+        methods=METHODS,
     )
 
 
