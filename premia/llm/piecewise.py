@@ -153,7 +153,11 @@ def compare_documents(docs: DataFrame, buckets: int | None = None, text: str = "
     opens = F.array_contains(edges, F.col("id")) & (F.col("bucket") > 0)
     dealt = slim.withColumn("bucket", at.cast("int"))
     copies = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(True).alias("own"), F.lit(0).alias("turn")))
-    extra = F.when(F.col("id") == F.lit(first["top"]).cast("long"), F.array(F.struct(F.lit(len(cuts) - 1).alias("bucket"), F.lit(False).alias("own"), F.lit(2).alias("turn"))))
+    if first["top"] is not None:
+        leads = F.col("id") == F.lit(first["top"]).cast("long")
+    else:  # without ids the least text comes first
+        leads = F.col("text") == F.lit(slim.agg(F.min("text")).first()[0]).cast("string")
+    extra = F.when(leads, F.array(F.struct(F.lit(len(cuts) - 1).alias("bucket"), F.lit(False).alias("own"), F.lit(2).alias("turn"))))
     before = F.when(opens, F.array(F.struct((F.col("bucket") - 1).alias("bucket"), F.lit(False).alias("own"), F.lit(1).alias("turn"))))
     none = F.array().cast("array<struct<bucket:int,own:boolean,turn:int>>")
     spread = dealt.select("id", "text", F.explode(F.concat(copies, F.coalesce(before, none), F.coalesce(extra, none))).alias("c"))

@@ -127,6 +127,17 @@ def test_piecewise_follows_descending_ids(docs):
     assert got[0]["fingerprint"] == got[19]["fingerprint"] and got[12]["near_edited"] > 0
 
 
+@pytest.mark.parametrize("body", [["only text"], ["ccc ccc", None, "aaa aaa", "bbb bbb"]])
+def test_piecewise_without_ids(spark, body):
+    got = piecewise.compare_documents(spark.createDataFrame([(None, t) for t in body], "doc_id long, text string"), 3).collect()
+    order = sorted(t or "" for t in body)
+    want = []
+    for t, after in zip(order, order[1:] + order[:1]):
+        k = len(t) // 3
+        want.append(hashlib.sha256((t[: len(t) - k] + after[:k]).encode()).hexdigest())
+    assert sorted(r["edited_sha256"] for r in got) == sorted(want)
+
+
 def test_edit_distance():
     left, right = ["kitten", "", "abc", "abcd"], ["sitting", "ab", "", "bcd"]
     assert piecewise._distances(left, right).tolist() == [3, 2, 3, 1]
