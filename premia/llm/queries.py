@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.llm import bpe, brown, forest, hilbert, host_rules, licenses, packing, piecewise, tables, url_aliases, weak_labels
+from premia.llm import (
+    audit, bpe, brown, forest, hilbert, host_rules, licenses, merkle, packing, piecewise, tables, url_aliases, weak_labels,
+)
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -92,3 +94,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     path = F.concat_ws("/", part("source"), part("lang"), part("doc_id"))
     return licenses.scan(tables.documents(spark, sf_dir), path).withColumnRenamed("id", "doc_id")
+
+
+@query("op11_postorder_log", merkle.SQL)
+def op11_postorder_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(tables.documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_failing_ids", audit.SQL)
+def op13_failing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(tables.documents(spark, sf_dir), tables.read(spark, sf_dir, "labels"))
