@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premia.llm import (
-    audit, bpe, brown, forest, hilbert, host_rules, licenses, merkle, packing, piecewise, tables, url_aliases, weak_labels,
+    audit, bpe, brown, forest, hilbert, host_rules, licenses, merkle, packing, piecewise, repeats, tables, url_aliases, weak_labels,
 )
 
 #: Where the public vocabulary files lie.
@@ -101,6 +101,11 @@ def op11_postorder_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_documents(tables.documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+@query("op12_run_length_index")
+def op12_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(tables.documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 @query("op13_failing_ids", audit.SQL)
 def op13_failing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(tables.documents(spark, sf_dir), tables.read(spark, sf_dir, "labels"))
