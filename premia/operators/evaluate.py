@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from premia.functions.binning import OTHER_LABEL
 from premia.functions.loss import clip_prediction, metric_aggregates
 from premia.functions.names import column
 from premia.functions.split import HOLDOUT_FLAG, TRAIN_FLAG
+from premia.operators.levels import LevelTable
 from premia.operators.quantiles import linear_quantiles
 from premia.operators.ratemodel import RateModel
 from premia.session import local_table
@@ -73,11 +75,8 @@ def _bin_sums(
     weighted = bool(meta.weight_col) and meta.weight_col in scored.columns
     flagged = bool(meta.train_test_col) and meta.train_test_col in scored.columns
     weight = F.col("__w") if weighted else None
-    pairs = [
-        x
-        for i, v in enumerate(variables)
-        for x in (F.lit(i), model.row_column(v, column(v)))
-    ]
+    scored, places = model.placed(scored, variables)
+    pairs = [x for i, v in enumerate(variables) for x in (F.lit(i), places[v])]
     flag = column(meta.train_test_col) if flagged else F.lit(None)
     base = scored.select(
         flag.cast("int").alias("__flag"),
@@ -98,7 +97,8 @@ def _bin_sums(
         for i, v in enumerate(variables):
             config = model.variables[v]
             if config.kind == "categorical":
-                last = F.when(F.col("v") == i, F.lit(len(config.levels))).otherwise(last)
+                end = config.last if isinstance(config, LevelTable) else len(config.levels)
+                last = F.when(F.col("v") == i, F.lit(end)).otherwise(last)
         # Every row also counts towards the last row of a categorical variable.
         targets = F.array_distinct(F.array_compact(F.array(F.col("ord"), last)))
         cells = cells.withColumn("ord", F.explode(targets))
@@ -118,15 +118,24 @@ def _bin_sums(
 
 
 def _all_bins(model: RateModel, df: DataFrame, variables, subsets) -> DataFrame:
+    spark, schema = df.sparkSession, "v int, variable string, subset string, ord int, level string"
     rows = [
         (i, v, s, j, row.label)
-        for i, v in enumerate(variables)
+        for i, v in enumerate(variables) if not isinstance(model.variables[v], LevelTable)
         for s in subsets
         for j, row in enumerate(model.variables[v].rows)
     ]
-    return local_table(
-        df.sparkSession, rows, "v int, variable string, subset string, ord int, level string"
-    )
+    out = local_table(spark, rows, schema)
+    for i, v in enumerate(variables):
+        config = model.variables[v]
+        if isinstance(config, LevelTable):
+            last = local_table(spark, [(config.last, OTHER_LABEL)], "ord bigint, level string")
+            own = config.table.select("ord", "level").unionByName(last)
+            out = out.unionByName(own.select(
+                F.lit(i).alias("v"), F.lit(v).alias("variable"), F.explode(F.array(*map(F.lit, subsets))).alias("subset"),
+                F.col("ord").cast("int").alias("ord"), "level",
+            ))
+    return out
 
 
 def actual_expected(
@@ -279,7 +288,8 @@ def ratio_by_group(
             mid.alias("mid"),
         )
     )
-    total = df.agg(F.sum(w)).scalar()
+    # Of the groups, which are few, and not of the rows once more.
+    total = F.sum("exposure").over(Window.partitionBy(F.lit(0)))
     return grouped.select(
         "grouping",
         lower.alias("lower"),
