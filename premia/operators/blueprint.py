@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from premia.functions.binning import OTHER
 from premia.functions.names import column
+from premia.operators.levels import LevelTable, numbered
 from premia.operators.quantiles import approximate_quantiles, nearest_quantiles
-from premia.session import local_table
+from premia.session import ScratchTable, local_table
 
 # 20 probabilities from 5 % up, each as start plus a multiple of the step.
 QUANTILE_PROBABILITIES = tuple(0.05 + i * 0.05 for i in range(20))
@@ -23,23 +24,28 @@ UNSUPPORTED_TYPES = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.Varia
 
 BLUEPRINT_SCHEMA = "variable string, kind string, ord int, `break` double, level string"
 
-# Levels kept per column never exceed 1 / threshold; below this threshold there is no
-# such bound worth collecting.
-MIN_THRESHOLD = 1e-5
+#: Up to so many kept levels of a column are a list on the driver; more stay a table.
+LISTED_LEVELS = 2_000
 
 
 @dataclass(frozen=True)
 class VariablePlan:
-    """How one column is binned.  ``kind`` is numeric, categorical, empty or error."""
+    """How one column is binned.  ``kind`` is numeric, categorical, empty or error.
+
+    A categorical column has either ``levels`` or, for many, a ``table`` of them.
+    """
 
     kind: str
     breaks: tuple[float, ...] = ()
     levels: tuple[str, ...] = ()
     error: str | None = None
+    table: LevelTable | None = None
 
     @property
     def size(self) -> int:
         """Number of bins: below each break and above the last, or levels and other."""
+        if self.table is not None:
+            return self.table.last + 1
         return len(self.breaks if self.kind == "numeric" else self.levels) + 1
 
 
@@ -86,9 +92,11 @@ class Blueprint(Mapping[str, VariablePlan]):
         return cls(plans)
 
     def to_lists(self) -> dict[str, list | str]:
+        """Plain lists; columns whose levels are a table are left out."""
         return {
             name: p.error if p.kind == "error" else list(p.breaks or p.levels)
             for name, p in self._plans.items()
+            if p.table is None
         }
 
     def to_dataframe(self, spark: SparkSession) -> DataFrame:
@@ -98,15 +106,28 @@ class Blueprint(Mapping[str, VariablePlan]):
             rows += [(name, p.kind, i, None, lv) for i, lv in enumerate(p.levels)]
             if p.kind in ("empty", "error"):
                 rows.append((name, p.kind, None, None, p.error))
-        return local_table(spark, rows, BLUEPRINT_SCHEMA)
+        out = local_table(spark, rows, BLUEPRINT_SCHEMA)
+        for name, p in self._plans.items():
+            if p.table is not None:
+                out = out.unionByName(p.table.table.select(
+                    F.lit(name).alias("variable"), F.lit(p.kind).alias("kind"), F.col("ord").cast("int").alias("ord"),
+                    F.lit(None).cast("double").alias("break"), "level",
+                ))
+        return out
 
     @classmethod
     def from_dataframe(cls, df: DataFrame, order: Sequence[str] | None = None) -> Blueprint:
+        counts = {r["variable"]: r["n"] for r in df.groupBy("variable").agg(F.count("level").alias("n")).collect()}
+        large = [name for name, n in counts.items() if n > LISTED_LEVELS]
         grouped: dict[str, list] = {}
-        for row in df.orderBy("variable", "ord").collect():
+        for row in df.where(~F.col("variable").isin(large)).orderBy("variable", "ord").collect():
             grouped.setdefault(row["variable"], []).append(row)
         plans = {}
-        for name in order if order is not None else grouped:
+        for name in order if order is not None else sorted(counts):
+            if name in large:
+                own = df.where(F.col("variable") == name).select("level", "ord", F.lit(0.0).alias("value"))
+                plans[name] = VariablePlan("categorical", table=LevelTable.write(own, 0.0))
+                continue
             rows = grouped[name]
             kind = rows[0]["kind"]
             if kind == "numeric":
@@ -137,20 +158,26 @@ def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def all_levels(df: DataFrame, columns: Sequence[str], most: int) -> dict[str, list[str]]:
-    """Sorted levels of text columns in one pass; more than ``most`` are an error."""
-    out: dict[str, list[str]] = {c: [] for c in columns}
-    if columns:
-        # One row more than all columns may have together means one has too many.
-        limit = most * len(columns) + 1
-        rows = level_counts(df, columns).select("variable", "level").limit(limit).collect()
-        for r in rows:
-            out[r["variable"]].append(r["level"])
-    for c, found in out.items():
-        if len(found) > most:
-            raise ValueError(f"Column '{c}' has more than {most} levels; give it a plan.")
-        found.sort()
-    return out
+def level_plans(kept: DataFrame, columns: Sequence[str]) -> dict[str, VariablePlan]:
+    """Plans from ``(variable, level)``, one row per kept level.
+
+    Columns with up to ``LISTED_LEVELS`` levels get a sorted list, the others a written table;
+    the text that stands for everything else is never a level.
+    """
+    found = ScratchTable(kept.where(F.col("level") != OTHER).select("variable", "level"), "kept-levels")
+    counts = {r["variable"]: r["n"] for r in found.df.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()}
+    listed: dict[str, list[str]] = {c: [] for c in columns if counts.get(c, 0) <= LISTED_LEVELS}
+    for row in found.df.where(F.col("variable").isin(list(listed))).collect():
+        listed[row["variable"]].append(row["level"])
+    plans = {}
+    for c in columns:
+        if c in listed:
+            plans[c] = VariablePlan("categorical" if listed[c] else "empty", levels=tuple(sorted(listed[c])))
+        else:
+            own = numbered(found.df.where(F.col("variable") == c).select("level"))
+            plans[c] = VariablePlan("categorical", table=LevelTable.write(own.withColumn("value", F.lit(0.0)), 0.0))
+    found.drop()
+    return plans
 
 
 def present(name: str, data_type: T.DataType) -> Column:
@@ -163,22 +190,15 @@ def present(name: str, data_type: T.DataType) -> Column:
 
 def _retained_levels(
     df: DataFrame, columns: Sequence[str], threshold: float, totals: Mapping[str, int]
-) -> dict[str, list[str]]:
-    """Per column the levels whose share of the non-null rows reaches the threshold."""
-    if threshold < MIN_THRESHOLD:
-        raise ValueError(
-            f"threshold must be at least {MIN_THRESHOLD}: it bounds how many levels are kept"
-        )
+) -> dict[str, VariablePlan]:
+    """Per column the levels whose share of the non-null rows reaches the threshold, 0 for all."""
     total = F.lit(None).cast("bigint")
     for c in columns:
         total = F.when(F.col("variable") == c, F.lit(totals[c])).otherwise(total)
     kept = level_counts(df, columns).where(
         ~(F.col("n").cast("double") / total < F.lit(float(threshold)))
     )
-    out: dict[str, list[str]] = {c: [] for c in columns}
-    for row in kept.select("variable", "level").collect():
-        out[row["variable"]].append(row["level"])
-    return out
+    return level_plans(kept, columns)
 
 
 def generate_blueprint(
@@ -224,8 +244,7 @@ def generate_blueprint(
             found = tuple(sorted(set(breaks[c])))
             plans[c] = VariablePlan("numeric" if found else "empty", breaks=found)
         else:
-            found = tuple(sorted(lv for lv in levels[c] if lv != OTHER))
-            plans[c] = VariablePlan("categorical" if found else "empty", levels=found)
+            plans[c] = levels[c]
     return Blueprint(plans)
 
 

@@ -26,11 +26,13 @@ from premia.functions.loss import family_name, inverse_link
 from premia.functions.names import column
 from premia.functions.split import TRAIN_FLAG
 from premia.operators import kernels
-from premia.operators.blueprint import Blueprint, VariablePlan, all_levels, as_blueprint
+from premia.operators.blueprint import Blueprint, VariablePlan, as_blueprint, level_counts, level_plans
 from premia.operators.cells import CellTable, aggregate_cells
+from premia.operators.levels import CASE_LEVELS, LEVEL_SCHEMA, LevelTable, Lookup, attach
 from premia.operators.prepare import fill_nulls, mean_aggregates, mean_values, with_bins
 from premia.operators.solver import kkt_gap, solve_quadratics
 from premia.operators.validate import check_columns, validate_fit_input
+from premia.operators.wide import RangeDesign, WideFitter
 from premia.session import local_table
 
 # Executors get the kernels with the task, so the package need not be installed there.
@@ -50,7 +52,9 @@ PASS_BUDGET = 4_000_000
 SOLVER_BUDGET = 8_000_000
 # Partial sums are added in a tree with this many inputs per node.
 FAN_IN = 32
-MAX_LEVELS = 10_000
+# Beyond so many features, or doubles in one packed Gram matrix, none is built over all of them.
+DENSE_FEATURES = 1_500
+DENSE_PACKED = 250_000
 # Of the draw that deals rows to folds; cells are written once, so all passes agree on it.
 FOLD_SEED = 20
 
@@ -155,6 +159,14 @@ class CellPasses:
         """Score, Gram (or None), train deviance, held-out deviance and weight."""
         layout, d = self.design.layout, self.design.layout.dim
         coefs = self.design.onehot_coefs(intercept, beta)
+        limit = max(1, PASS_BUDGET // (d + 3 + (layout.packed if with_gram else 0)))
+        if len(coefs) > limit:
+            # More problems than the result of one task may hold: several passes.
+            cuts = range(0, len(coefs), limit)
+            parts = [
+                self.evaluate(intercept[i : i + limit], beta[i : i + limit], held_out[i : i + limit], with_gram) for i in cuts
+            ]
+            return tuple(None if x[0] is None else np.concatenate(x) for x in zip(*parts))
         partials = self.cells.df.mapInArrow(
             kernels.pass_task(layout, self.family, coefs, list(held_out), with_gram),
             kernels.PARTIAL_SCHEMA,
@@ -165,6 +177,40 @@ class CellPasses:
         return self.design.score(total[:, :d]), gram, *total[:, d : d + 3].T
 
 
+    def light_moments(self) -> dict[str, np.ndarray]:
+        """What standardising and the null model need, without any matrix."""
+        layout, d = self.design.layout, self.design.layout.dim
+        partials = self.cells.df.mapInArrow(kernels.light_moments_task(layout, self.n_folds), kernels.PARTIAL_SCHEMA)
+        total = _tree_sum(partials, self.parts).reshape(self.n_folds, -1)
+        self.count += 1
+        wx = self.design.score(total[:, d : 2 * d])
+        # The square of a sum of one-hot entries is the sum itself.
+        square = wx[:, 1:].copy()
+        if layout.n_raw:
+            square[:, -layout.n_raw :] = total[:, 2 * d : 2 * d + layout.n_raw]
+        return {"xy": self.design.score(total[:, :d]), "wx": wx, "sq": square, "w": total[:, -2], "h": total[:, -1]}
+
+    def active_grams(self, intercept, beta, held_out, active) -> list[np.ndarray]:
+        """Per problem the Gram matrix of the intercept and its active features, as many problems a pass as fit."""
+        coefs = self.design.onehot_coefs(intercept, beta)
+        columns = [self.design.columns(a) for a in active]
+        out, at = [], 0
+        while at < len(columns):
+            size, end = 0, at
+            while end < len(columns) and (end == at or size + (len(columns[end]) + 1) ** 2 <= PASS_BUDGET):
+                size += (len(columns[end]) + 1) ** 2
+                end += 1
+            task = kernels.active_task(self.design.layout, self.family, coefs[at:end], held_out[at:end], columns[at:end])
+            total = _tree_sum(self.cells.df.mapInArrow(task, kernels.PARTIAL_SCHEMA), self.parts)
+            self.count += 1
+            for c in columns[at:end]:
+                n = len(c) + 1
+                out.append(total[: n * n].reshape(n, n))
+                total = total[n * n :]
+            at = end
+        return out
+
+
 @dataclass
 class Problem:
     """One penalised fit: the cells outside ``held_out``, at one penalty."""
@@ -180,6 +226,12 @@ class Problem:
     converged: bool = False
 
 
+def alpha_grid(gradient: np.ndarray, l1_ratio: float, n: int, ratio: float) -> np.ndarray:
+    """Penalties from the one that zeroes all features down, given the gradient at the null model."""
+    top = RIDGE_ALPHA_MAX if l1_ratio == 0 else float(np.abs(gradient).max(initial=0.0) / l1_ratio)
+    return np.geomspace(top, top * ratio, n) if top > 0 else np.array([1.0])
+
+
 class Fitter:
     """Solves batches of problems that share cells, family and features."""
 
@@ -245,17 +297,6 @@ class Fitter:
         score, _, _ = self._at_null(held_out)
         return np.where(m["live"], score[1:] / m["sd"] / m["w"], 0.0)
 
-    def alpha_max(self, l1_ratio: float) -> float:
-        if l1_ratio == 0:
-            return RIDGE_ALPHA_MAX
-        return float(np.abs(self.null_gradient()).max(initial=0.0) / l1_ratio)
-
-    def alpha_grid(self, l1_ratio: float, n: int, ratio: float) -> np.ndarray:
-        top = self.alpha_max(l1_ratio)
-        if top <= 0:
-            return np.array([1.0])
-        return np.geomspace(top, top * ratio, n)
-
     def _gaussian(self, problems, intercept, beta):
         """What a pass would return; for squared error the moments determine it."""
         coef = np.column_stack([intercept, beta])
@@ -442,23 +483,35 @@ class GlmModel:
     raw_slopes: dict[str, float] = field(default_factory=dict)
     fill: dict[str, float | None] = field(default_factory=dict)
     grid: list[tuple] = field(default_factory=list)
+    fold_grid: list[tuple] = field(default_factory=list)
     train_deviance: float = math.nan
     gap: float = 0.0
     passes: int = 0
+    _tables: dict[str, LevelTable] = field(default_factory=dict, repr=False)
 
     @property
     def n_params(self) -> int:
         return len(self.coef)
 
     def coefficients(self, spark: SparkSession) -> DataFrame:
-        rows = [("(Intercept)", "(Intercept)", 0, self.intercept)]
-        rows += [
-            (f.variable, f.name, i + 1, float(b))
-            for i, (f, b) in enumerate(zip(self.features, self.coef))
-        ]
-        return local_table(
-            spark, rows, "variable string, feature string, ord int, coef double"
-        )
+        """One row per coefficient; features of a table of levels are named by joining it."""
+        schema = "variable string, feature string, ord int, coef double"
+        named, numbered = [("(Intercept)", "(Intercept)", 0, self.intercept)], []
+        for i, (f, b) in enumerate(zip(self.features, self.coef)):
+            plan = self.blueprint.get(f.variable)
+            if plan is None or plan.table is None or f.name == f"{f.variable}_lumped[{OTHER}]":
+                named.append((f.variable, f.name, i + 1, float(b)))
+            else:
+                # The name of such a feature has the position of its level.
+                at = int(f.name.removeprefix(f"{f.variable}_lumped[").removesuffix("]"))
+                numbered.append((f.variable, at, i + 1, float(b)))
+        out = local_table(spark, named, schema)
+        rest = local_table(spark, numbered, "variable string, at bigint, ord int, coef double")
+        for v in dict.fromkeys(r[0] for r in numbered):
+            levels = self.blueprint[v].table.table.select(F.col("level"), F.col("ord").alias("at"))
+            name = F.concat(F.lit(f"{v}_lumped["), F.col("level"), F.lit("]")).alias("feature")
+            out = out.unionByName(rest.where(F.col("variable") == v).join(levels, "at").select("variable", name, "ord", "coef"))
+        return out
 
     def contribution_table(self, spark: SparkSession) -> DataFrame:
         """What each bin adds to the linear predictor."""
@@ -469,19 +522,46 @@ class GlmModel:
         return local_table(spark, rows, "variable string, bin int, contribution double")
 
     def grid_table(self, spark: SparkSession) -> DataFrame:
-        """Mean held-out deviance of every penalty tried."""
+        """Mean held-out deviance of every penalty tried, and whether its fits converged in all folds."""
         return local_table(
             spark,
-            [tuple(map(float, g)) for g in self.grid],
-            "l1_ratio double, alpha double, held_out_deviance double",
+            [(*map(float, g[:3]), bool(g[3])) for g in self.grid],
+            "l1_ratio double, alpha double, held_out_deviance double, converged boolean",
         )
 
-    def linear_predictor(self, filled: Mapping[str, Column]) -> Column:
-        """Intercept plus one lookup per predictor, over columns with nulls filled."""
-        eta = F.lit(float(self.intercept))
+    def fold_table(self, spark: SparkSession) -> DataFrame:
+        """Held-out deviance per unit of weight of every penalty in every fold."""
+        return local_table(
+            spark, self.fold_grid,
+            "l1_ratio double, alpha double, fold int, held_out_deviance double, held_out_weight double, converged boolean",
+        )
+
+    def effect_tables(self, spark: SparkSession) -> dict[str, LevelTable]:
+        """Contributions of predictors with many levels as tables, written on first use."""
         for v, add in self.contributions.items():
             plan = self.blueprint[v]
-            if plan.kind == "numeric":
+            if v in self._tables or plan.kind == "numeric" or plan.table is None and plan.size <= CASE_LEVELS:
+                continue
+            if plan.table is None:
+                rows = [(lv, i, float(a)) for i, (lv, a) in enumerate(zip(plan.levels, add))]
+                levels = local_table(spark, rows, LEVEL_SCHEMA)
+            else:
+                values = local_table(spark, [(i, float(a)) for i, a in enumerate(add[:-1])], "ord bigint, value double")
+                levels = plan.table.table.select("level", "ord").join(values, "ord")
+            self._tables[v] = LevelTable.write(levels, float(add[-1]))
+        return self._tables
+
+    def linear_predictor(self, filled: Mapping[str, Column], looked_up: Mapping[str, Column] | None = None) -> Column:
+        """Intercept plus one lookup per predictor, over columns with nulls filled.
+
+        ``looked_up`` has the contributions that are already columns.
+        """
+        eta, looked_up = F.lit(float(self.intercept)), looked_up or {}
+        for v, add in self.contributions.items():
+            plan = self.blueprint[v]
+            if v in looked_up:
+                eta = eta + looked_up[v]
+            elif plan.kind == "numeric":
                 x = filled.get(v, column(v).cast("double"))
                 eta = eta + F.coalesce(lookup_range(x, plan.breaks, add), F.lit(add[-1]))
             else:
@@ -511,7 +591,9 @@ class GlmModel:
             fill = self.fill
         numeric = [v for v in self.contributions if self.blueprint[v].kind == "numeric"]
         out, filled = fill_nulls(df, numeric + list(self.raw_slopes), fill)
-        mean = inverse_link(self.linear_predictor(filled), self.family)
+        own = {v: f"__effect_{i}" for i, v in enumerate(self.effect_tables(df.sparkSession))}
+        out = attach(out, [Lookup(column(v), self._tables[v], {c: "value"}) for v, c in own.items()])
+        mean = inverse_link(self.linear_predictor(filled, {v: F.col(c) for v, c in own.items()}), self.family)
         return out.withColumn(output_col, mean).select(
             *[column(c) for c in df.columns if c != output_col], column(output_col)
         )
@@ -562,10 +644,9 @@ def _passthrough_plans(
             texts.append(v)
             binned.append(v)
     plans = dict(blueprint)
-    found = all_levels(df, texts, MAX_LEVELS)
-    for v in texts:
-        levels = tuple(lv for lv in found[v] if lv != OTHER)
-        plans[v] = VariablePlan("categorical", levels=levels)
+    if texts:
+        for v, plan in level_plans(level_counts(df, texts), texts).items():
+            plans[v] = plan if plan.kind == "categorical" else VariablePlan("categorical")
     return Blueprint(plans), binned, raws
 
 
@@ -585,6 +666,7 @@ def fit_glm(
     l1_ratio: float = 1.0,
     drop_first: bool = False,
     fold_key: Sequence[str] | None = None,
+    fold_col: str | None = None,
     fill: str | Mapping[str, float | None] = "batch",
     validate: bool = True,
 ) -> GlmModel:
@@ -593,6 +675,10 @@ def fit_glm(
     With ``use_cv`` the penalty is the one of least mean held-out deviance over the
     grid, refitted on all training rows.  Without it the penalty is a pure L1 at the
     small end of the path, or at ``alpha`` and ``l1_ratio`` where given.
+
+    A row's fold is ``fold_col`` (whole numbers, taken modulo the folds), else follows from a
+    hash of ``fold_key``, else from a draw.  Only the first two are the same on every run.
+    ``cv_params["solver"]`` is ``"dense"``, ``"active"`` (see ``wide``) or, by size, ``"auto"``.
     """
     family = family_name(model_type)
     params = dict(cv_params or {})
@@ -602,6 +688,7 @@ def fit_glm(
     alphas = params.pop("alphas", None)
     n_alphas = int(params.pop("n_alphas", DEFAULT_N_ALPHAS))
     ratio = float(params.pop("min_alpha_ratio", None) or DEFAULT_MIN_ALPHA_RATIO)
+    solver_kind = params.pop("solver", "auto")
     solver = {
         "fit_intercept": params.pop("fit_intercept", True),
         "scale_predictors": params.pop("scale_predictors", True),
@@ -630,12 +717,20 @@ def fit_glm(
         y = F.try_divide(y, w)
     train = df.where(column(train_test_col) == TRAIN_FLAG)
     # Never of the target: a fold must not take all rows of one outcome.
-    fold = F.xxhash64(*[column(c) for c in fold_key]) if fold_key else F.floor(F.rand(FOLD_SEED) * (1 << 30))
+    if fold_col is not None:
+        fold = column(fold_col).cast("bigint")
+    elif fold_key:
+        fold = F.xxhash64(*[column(c) for c in fold_key])
+    else:
+        fold = F.floor(F.rand(FOLD_SEED) * (1 << 30))
     train, filled = fill_nulls(train, raws, means)
     train, bins = with_bins(train, binned, blueprint, means)
     raw_cols = {v: filled.get(v, column(v).cast("double")) for v in raws}
 
-    design = Design(blueprint, binned, raws, drop_first)
+    if solver_kind not in ("auto", "dense", "active"):
+        raise ValueError("solver must be 'auto', 'dense' or 'active'")
+    wide = solver_kind == "active" or solver_kind == "auto" and _is_wide(blueprint, binned, raws)
+    design = (RangeDesign if wide else Design)(blueprint, binned, raws, drop_first)
     cells = CellTable.build(
         aggregate_cells(
             train, bins, raw_cols, y, w, family,
@@ -645,15 +740,16 @@ def fit_glm(
     )
     try:
         passes = CellPasses(cells, design, family, folds)
-        fitter = Fitter(passes, **solver)
+        fitter = (WideFitter if wide else Fitter)(passes, **solver)
         grid: list[tuple] = []
+        fold_grid: list[tuple] = []
         if use_cv:
-            chosen, grid = _cross_validate(
+            chosen, grid, fold_grid = _cross_validate(
                 fitter, folds, l1_ratios, alphas, n_alphas, ratio
             )
         else:
             if alpha is None:
-                alpha = float(fitter.alpha_grid(l1_ratio, 2, ratio)[-1])
+                alpha = float(alpha_grid(fitter.null_gradient(), l1_ratio, 2, ratio)[-1])
             chosen = Problem(-1, float(l1_ratio), float(alpha))
             fitter.solve([chosen])
     finally:
@@ -670,7 +766,7 @@ def fit_glm(
         family=family,
         blueprint=blueprint,
         predictors=list(predictors),
-        features=design.features,
+        features=[Feature(*n) for n in design.names] if wide else design.features,
         coef=chosen.beta,
         intercept=chosen.intercept,
         alpha=chosen.alpha,
@@ -682,12 +778,21 @@ def fit_glm(
         raw_slopes={v: float(onehot[layout.raw_at + j]) for j, v in enumerate(raws)},
         fill=means,
         grid=grid,
+        fold_grid=fold_grid,
         train_deviance=chosen.train_deviance,
         gap=chosen.gap,
         passes=passes.count,
     )
 
 
+def _is_wide(blueprint: Blueprint, binned: Sequence[str], raws: Sequence[str]) -> bool:
+    sizes = [blueprint[v].size for v in binned]
+    dim = 1 + sum(sizes) + len(raws)
+    # Pairs of different predictors: half of the squared sum without the squares.
+    packed = (sum(sizes) ** 2 - sum(n * n for n in sizes)) // 2 + dim * (1 + len(raws))
+    return dim > DENSE_FEATURES or packed > DENSE_PACKED or any(blueprint[v].table is not None for v in binned)
+
+
 def _cross_validate(fitter, folds, l1_ratios, alphas, n_alphas, ratio):
     """All folds and penalties at once; then the best penalty on all training rows."""
     empty = [f for f in range(folds) if not fitter.folds["w"][f] > 0]
@@ -696,30 +801,31 @@ def _cross_validate(fitter, folds, l1_ratios, alphas, n_alphas, ratio):
         raise ValueError("Cross-validation needs at least two folds with training rows.")
     problems: dict[tuple[float, float], list[Problem]] = {}
     for rho in l1_ratios:
-        grid = alphas if alphas is not None else fitter.alpha_grid(rho, n_alphas, ratio)
+        grid = alphas if alphas is not None else alpha_grid(fitter.null_gradient(), rho, n_alphas, ratio)
         for a in grid:
             problems[float(rho), float(a)] = [
                 Problem(f, float(rho), float(a)) for f in used
             ]
     fitter.solve([pr for group in problems.values() for pr in group])
     table = [
-        (rho, a, float(np.mean([pr.held_out_deviance for pr in group])))
+        (rho, a, float(np.mean([pr.held_out_deviance for pr in group])), all(pr.converged for pr in group))
         for (rho, a), group in problems.items()
     ]
+    by_fold = [
+        (rho, a, pr.held_out, pr.held_out_deviance, float(fitter.folds["w"][pr.held_out]), pr.converged)
+        for (rho, a), group in problems.items() for pr in group
+    ]
     usable = [row for row in table if math.isfinite(row[2])]
     if not usable:
         raise ValueError("No penalty of the grid gave a finite held-out deviance.")
-    rho, a, _ = min(usable, key=lambda row: (row[2], -row[1]))
+    rho, a, *_ = min(usable, key=lambda row: (row[2], -row[1]))
+    chosen = Problem(-1, rho, a)
     group = problems[rho, a]
-    chosen = Problem(
-        -1,
-        rho,
-        a,
-        intercept=float(np.mean([pr.intercept for pr in group])),
-        beta=np.mean([pr.beta for pr in group], axis=0),
-    )
+    if all(pr.beta is not None for pr in group):
+        chosen.intercept = float(np.mean([pr.intercept for pr in group]))
+        chosen.beta = np.mean([pr.beta for pr in group], axis=0)
     fitter.solve([chosen])
-    return chosen, table
+    return chosen, table, by_fold
 
 
 def alpha_max(

@@ -106,22 +106,24 @@ def total_deviance(sw, swy, h, mu, family):
 
 
 class Batch:
-    """One Arrow batch as arrays, with the index of every pair of bins."""
+    """One Arrow batch as arrays, for Gram matrices with the index of every pair of bins."""
 
-    def __init__(self, batch, layout):
+    def __init__(self, batch, layout, with_gram=True):
         def read(name):
             return batch.column(name).to_numpy()
 
         self.layout = layout
         self.bins = [read(f"b{i}").astype(np.int64) for i in range(len(layout.sizes))]
         self.places = [at + b for at, b in zip(layout.offsets, self.bins)]
-        self.pairs = [self.bins[a] * layout.sizes[c] + self.bins[c] for a, c in layout.pairs]
+        pairs = layout.pairs if with_gram else []
+        self.pairs = [self.bins[a] * layout.sizes[c] + self.bins[c] for a, c in pairs]
         self.raws = [read(f"r{i}") for i in range(layout.n_raw)]
         self.fold = read("fold")
         self.sw, self.swy, self.swh = read("sw"), read("swy"), read("swh")
         self._parts = {}
         if self.raws:
             self.x = np.column_stack(self.raws)
+        if self.raws and with_gram:
             # With raw columns a dense product beats a count per predictor and column.
             self.onehot = np.zeros((len(self.sw), layout.raw_at - 1))
             for place in self.places:
@@ -209,6 +211,66 @@ def moments_task(layout, n_folds):
     return run
 
 
+def light_moments_task(layout, n_folds):
+    """Per fold: the score of wy, that of w, sums of w times squared raw columns, of w and of w*h(y)."""
+    d = layout.dim
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        total = np.zeros((n_folds, 2 * d + layout.n_raw + 2))
+        for raw in batches:
+            batch = Batch(raw, layout, False)
+            for f in range(n_folds):
+                sw, swy, swh = batch.part(f, True)
+                if not sw.any():
+                    continue
+                batch.add_score(swy, total[f, :d])
+                batch.add_score(sw, total[f, d : 2 * d])
+                if layout.n_raw:
+                    total[f, 2 * d : 2 * d + layout.n_raw] += sw @ (batch.x * batch.x)
+                total[f, -2] += sw.sum()
+                total[f, -1] += swh
+        yield from _emit(TaskContext.get().partitionId(), total)
+
+    return run
+
+
+#: Rows whose active columns are held at once.
+ACTIVE_ROWS = 4096
+
+
+def active_task(layout, family, coefs, held_out, columns):
+    """Curvature-weighted Gram matrices over chosen columns, with a first one of ones, one after another.
+
+    ``columns`` has per problem a list of (predictor, from bin, to bin), or (-1 - raw, 0, 0).
+    """
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        totals = [np.zeros((len(c) + 1, len(c) + 1)) for c in columns]
+        for raw in batches:
+            batch = Batch(raw, layout, False)
+            for beta, held, chosen, total in zip(coefs, held_out, columns, totals):
+                mu = mean_of(batch.eta(beta), family)
+                sw, swy, _ = batch.part(held, False)
+                weight = curvature(sw, swy, mu, family)
+                for at in range(0, len(weight), ACTIVE_ROWS):
+                    w = weight[at : at + ACTIVE_ROWS]
+                    x = np.ones((len(w), len(chosen) + 1))
+                    for j, (v, lo, hi) in enumerate(chosen):
+                        if v < 0:
+                            x[:, j + 1] = batch.raws[-1 - v][at : at + ACTIVE_ROWS]
+                        else:
+                            b = batch.bins[v][at : at + ACTIVE_ROWS]
+                            x[:, j + 1] = (b >= lo) & (b < hi)
+                    total += x.T @ (x * w[:, None])
+        yield from _emit(TaskContext.get().partitionId(), np.concatenate([t.ravel() for t in totals]))
+
+    return run
+
+
 def pass_task(layout, family, coefs, held_out, with_gram):
     """One pass for K problems with one-hot coefficients ``coefs`` (K x dim).
 
@@ -223,7 +285,7 @@ def pass_task(layout, family, coefs, held_out, with_gram):
 
         total = np.zeros((len(coefs), width))
         for raw in batches:
-            batch = Batch(raw, layout)
+            batch = Batch(raw, layout, with_gram)
             for beta, held, row in zip(coefs, held_out, total):
                 mu = mean_of(batch.eta(beta), family)
                 sw, swy, swh = batch.part(held, False)

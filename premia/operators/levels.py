@@ -185,6 +185,21 @@ def attach(df: DataFrame, lookups: Sequence[Lookup], heavy: bool = True) -> Data
     return out.select(*kept, *[c.alias(name) for name, c in answers.items()])
 
 
+def numbered(levels: DataFrame, by: str = "level") -> DataFrame:
+    """``levels`` with ``ord``, its place in the order of ``by``, from 0; no task sees all rows."""
+    spread = levels.repartitionByRange(by).sortWithinPartitions(by).withColumn("__row", F.monotonically_increasing_id())
+    table = ScratchTable(spread, "numbered").df
+    task = F.shiftright("__row", 33)
+    sizes = table.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n")).orderBy("task").collect()
+    offsets, before = [], 0
+    for r in sizes:
+        offsets.append((r["task"], before))
+        before += r["n"]
+    starts = local_table(levels.sparkSession, offsets, "__task bigint, __start bigint")
+    placed = table.join(starts, task == F.col("__task"))
+    return placed.withColumn("ord", F.col("__row").bitwiseAND((1 << 33) - 1) + F.col("__start")).drop("__row", "__task", "__start")
+
+
 def small_table(spark: SparkSession, values: Mapping[str, float], fallback: float) -> LevelTable:
     """A table of levels from the driver, for tests and hand-made tariffs."""
     rows = [(lv, i, float(v)) for i, (lv, v) in enumerate(values.items())]

@@ -12,9 +12,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.functions.binning import bin_id, break_name, level_id, lump_fun, o_matrix
+from premia.functions.binning import OTHER, bin_id, break_name, level_id, lump_fun, o_matrix
 from premia.functions.names import column
 from premia.operators.blueprint import Blueprint, VariablePlan, as_blueprint
+from premia.operators.levels import Lookup, attach
 
 
 def batch_means(df: DataFrame, names: Sequence[str]) -> dict[str, Column]:
@@ -72,9 +73,21 @@ def variable_bin(name: str, plan: VariablePlan, x: Column | None = None) -> Colu
     if plan.kind == "numeric":
         x = column(name).cast("double") if x is None else x
         return F.coalesce(bin_id(x, plan.breaks), F.lit(len(plan.breaks)))
+    if plan.table is not None:
+        raise ValueError(f"'{name}' has a table of levels; its bins come by a join (with_bins).")
     return level_id(column(name), plan.levels)
 
 
+def with_level_tables(
+    df: DataFrame, names: Sequence[str], blueprint: Blueprint
+) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with a bin id for each predictor whose levels are a table, and these by name."""
+    large = [n for n in names if n in blueprint and blueprint[n].table is not None]
+    own = {n: f"__level_bin_{i}" for i, n in enumerate(large)}
+    out = attach(df, [Lookup(column(n), blueprint[n].table, {own[n]: "ord"}) for n in large])
+    return out, {n: F.col(c) for n, c in own.items()}
+
+
 def with_bins(
     df: DataFrame,
     names: Sequence[str],
@@ -84,7 +97,8 @@ def with_bins(
     """The batch ready for binning, and the bin id of each predictor over it."""
     numeric = [n for n in names if blueprint[n].kind == "numeric"]
     df, filled = fill_nulls(df, numeric, fill)
-    return df, {n: variable_bin(n, blueprint[n], filled.get(n)) for n in names}
+    df, found = with_level_tables(df, names, blueprint)
+    return df, {n: found[n] if n in found else variable_bin(n, blueprint[n], filled.get(n)) for n in names}
 
 
 def prepare_data(
@@ -126,6 +140,7 @@ def prepare_data(
             warnings.warn(f"The table has no predictor '{name}'; left out.", stacklevel=2)
     numeric = [n for n in known if n in blueprint and blueprint[n].kind == "numeric"]
     df, filled = fill_nulls(df, numeric, fill)
+    df, found = with_level_tables(df, known, blueprint)
 
     out: list[Column] = []
     names: list[str] = []
@@ -140,13 +155,18 @@ def prepare_data(
         if plan.kind == "empty":
             continue
         if encoding == "bins":
-            out.append(variable_bin(name, plan, filled.get(name)).alias(f"{name}_bin"))
+            at = found[name] if name in found else variable_bin(name, plan, filled.get(name))
+            out.append(at.alias(f"{name}_bin"))
             names.append(f"{name}_bin")
         elif plan.kind == "numeric":
             out += o_matrix(name, list(plan.breaks), filled.get(name))
             names += [break_name(name, b) for b in plan.breaks]
         else:
-            out.append(lump_fun(name, plan.levels))
+            if name in found:
+                kept = F.when(found[name] < plan.table.last, column(name).cast("string"))
+                out.append(F.coalesce(kept, F.lit(OTHER)).alias(f"{name}_lumped"))
+            else:
+                out.append(lump_fun(name, plan.levels))
             names.append(f"{name}_lumped")
     for name in extra:
         if name in df.columns:

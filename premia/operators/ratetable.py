@@ -15,6 +15,8 @@ from premia.session import local_table
 
 # What a ``prepare`` function has to pass through, so that predictions find their level.
 LEVEL_COLUMN = "rate_level"
+# Families whose mean is the exponential of the linear predictor.
+LOG_LINK = ("poisson", "gamma")
 RATE_COLUMNS = ("variable", "kind", "ord", "break", "level", "prediction", "relativity")
 
 
@@ -33,6 +35,19 @@ def reference_row(
     return df.agg(F.min(F.struct(key.alias("k"), fields.alias("v"))).alias("r")).scalar()
 
 
+def any_reference(model: GlmModel, df: DataFrame, columns: Sequence[str]) -> Column:
+    """A row to hold everything else fixed at, for relativities alone.
+
+    Under the log link every row gives the same ones, so nothing is read.  Under other links
+    it is a row of the data.
+    """
+    if model.family not in LOG_LINK:
+        return reference_row(df, columns)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    fields = [F.lit(None).cast(types[c]).alias(f"c{i}") for i, c in enumerate(columns)]
+    return F.struct(F.lit(0).alias("k"), F.struct(*fields).alias("v"))
+
+
 def with_reference(
     levels: DataFrame, reference: Column, columns: Sequence[str], override: Mapping[str, Column]
 ) -> DataFrame:
@@ -72,7 +87,8 @@ def ratetable(
         dict.fromkeys([*_model_columns(model), col_name])
     )
     if reference is None:
-        reference = reference_row(dataset, columns)
+        plain = prepare is None and not include_raw
+        reference = any_reference(model, dataset, columns) if plain else reference_row(dataset, columns)
     text = any(isinstance(x, str) for x in levels)
     rows = [(i, str(x) if text else float(x)) for i, x in enumerate(levels)]
     table = local_table(spark, rows, f"__ord int, __x {'string' if text else 'double'}")
@@ -101,11 +117,13 @@ def generate_all_ratetables(
     predictor_variables: Sequence[str],
     blueprint: Blueprint | Mapping[str, Sequence] | None = None,
     reference: Column | None = None,
+    include_raw: bool = True,
 ) -> DataFrame:
     """Rate tables of all predictors in one table, see ``RATE_COLUMNS``.
 
     Its size is that of the blueprint.  A predictor without a usable plan is left out
-    with a warning.
+    with a warning.  Without the predictions themselves, a model under the log link needs
+    no row of the data, as all else cancels.
     """
     plans = as_blueprint(blueprint) if blueprint is not None else model.blueprint
     spark = dataset.sparkSession
@@ -120,9 +138,15 @@ def generate_all_ratetables(
     levels = local_table(
         spark, rows, "variable string, kind string, ord int, `break` double, level string"
     )
+    for v in predictor_variables:
+        if plans.usable(v) and plans[v].table is not None:
+            levels = levels.unionByName(plans[v].table.table.select(
+                F.lit(v).alias("variable"), F.lit("categorical").alias("kind"), F.col("ord").cast("int").alias("ord"),
+                F.lit(None).cast("double").alias("break"), "level",
+            ))
     columns = _model_columns(model)
     if reference is None:
-        reference = reference_row(dataset, columns)
+        reference = reference_row(dataset, columns) if include_raw else any_reference(model, dataset, columns)
     ref = F.col("__ref").getField("v")
     filled = levels.withColumn("__ref", reference)
     values = []
@@ -139,11 +163,12 @@ def generate_all_ratetables(
         *[F.col(f"__x{i}").alias(c) for i, c in enumerate(columns)],
     )
     scored = model.predict(keyed, "__p", fill={}).select("__row.*", F.col("__p").alias("prediction"))
-    per_variable = Window.partitionBy("variable")
-    return scored.withColumn(
-        "relativity",
-        F.try_divide(F.col("prediction"), F.median("prediction").over(per_variable)),
-    ).select(*RATE_COLUMNS)
+    # The median is an aggregate of its own, as one variable may have more levels than one task should hold.
+    medians = scored.groupBy(F.col("variable").alias("__of")).agg(F.median("prediction").alias("__median"))
+    rated = scored.join(medians, F.col("variable") == F.col("__of")).withColumn(
+        "relativity", F.try_divide(F.col("prediction"), F.col("__median"))
+    )
+    return rated.select(*[c for c in RATE_COLUMNS if include_raw or c != "prediction"])
 
 
 def split_ratetables(rates: DataFrame, names: Sequence[str], blueprint: Blueprint) -> dict:

@@ -6,7 +6,7 @@ import time
 import warnings
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +15,10 @@ from pyspark.sql import types as T
 from premia.functions.loss import clip_prediction, family_name, metric_aggregates
 from premia.functions.names import column
 from premia.functions.split import HOLDOUT_FLAG, TRAIN_FLAG
-from premia.operators.blueprint import Blueprint, VariablePlan, all_levels
+from premia.operators.blueprint import Blueprint, VariablePlan, level_counts, level_plans
 from premia.operators.glm import fit_glm
-from premia.session import local_table
+from premia.operators.prepare import with_bins
+from premia.session import ScratchTable, local_table
 
 # The settings of the tree method.
 GBT_ITERATIONS = 500
@@ -29,26 +30,37 @@ REPORT_SCHEMA = (
     "Dataset string, Method string, Deviance double, RMSE double, MAE double, "
     "FitTime_s double, PredTime_s double, NParams int"
 )
-MAX_LEVELS = 1000
-
 METHODS = ("elastic net (no CV)", "elastic net (CV)", "GLM", "boosted trees")
 
 
-def _vectors(df: DataFrame, numeric, levels, target, weight) -> DataFrame:
-    """Numbers and one-hot texts without their first level, as one vector."""
-    texts = [(c, lv) for c, found in levels.items() for lv in found[1:]]
-    flags = [
-        F.when(column(c).cast("string") == F.lit(lv), 1.0).otherwise(0.0).alias(f"f{i}")
-        for i, (c, lv) in enumerate(texts)
-    ]
+def _vectors(df: DataFrame, numeric, plans: Blueprint, target, weight) -> DataFrame:
+    """Numbers and one-hot texts without their first level, as one sparse vector.
+
+    A level's position comes from its plan, so many levels cost a lookup and no expression.
+    """
+    df, bins = with_bins(df, list(plans), plans)
     numbers = [column(c).cast("double").alias(f"n{i}") for i, c in enumerate(numeric)]
+    places = []
+    for i, (c, at) in enumerate(bins.items()):
+        n = plans[c].size - 1
+        # The encoder leaves the last position out: that of the first level and of unknown ones.
+        places.append(F.when((at == 0) | (at == n), n - 1).otherwise(at - 1).cast("double").alias(f"t{i}"))
     named = df.select(
         column(target).cast("double").alias("label"),
         (column(weight).cast("double") if weight else F.lit(1.0)).alias("weight"),
         *numbers,
-        *flags,
+        *places,
     )
-    inputs = [c for c in named.columns if c not in ("label", "weight")]
+    sized = [i for i, c in enumerate(bins) if plans[c].size > 2]
+    for i, c in enumerate(bins):
+        # The position's metadata says how many there are, so the encoder needs no pass over the data.
+        meta = {"ml_attr": {"type": "nominal", "num_vals": max(1, plans[c].size - 1), "name": f"t{i}"}}
+        named = named.withMetadata(f"t{i}", meta)
+    flags = [f"f{i}" for i in sized]
+    if sized:
+        encoder = OneHotEncoder(inputCols=[f"t{i}" for i in sized], outputCols=flags, dropLast=True)
+        named = encoder.fit(named).transform(named)
+    inputs = [*(f"n{i}" for i in range(len(numeric))), *flags]
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(named)
 
 
@@ -85,13 +97,28 @@ def compare_methods(
     """
     family = family_name(model_type)
     spark = df.sparkSession
+    roles = [c for c in (target, train_test_col, weight_col) if c]
+    # All methods read the same rows, so an input that is a costly query runs once.
+    table = ScratchTable(df.select(*[column(c) for c in dict.fromkeys([*predictors, *roles])]), "comparison")
+    df = table.df
     types = {f.name: f.dataType for f in df.schema.fields}
     numeric = [c for c in predictors if isinstance(types[c], T.NumericType)]
     texts = [c for c in predictors if c not in numeric]
     train = df.where(column(train_test_col) == TRAIN_FLAG)
     test = df.where(column(train_test_col) == HOLDOUT_FLAG)
-    levels = all_levels(train, texts, MAX_LEVELS)
-    plans = Blueprint({c: VariablePlan("categorical", levels=tuple(levels[c])) for c in texts})
+    levels = level_plans(level_counts(train, texts), texts) if texts else {}
+    plans = Blueprint({c: p if p.kind == "categorical" else VariablePlan("categorical") for c, p in levels.items()})
+
+    made: dict[str, ScratchTable] = {}
+
+    def vectors(which: str) -> DataFrame:
+        """Written on first use and shared by the methods, which read it many times."""
+        if which not in made:
+            rows = train if which == "train" else test
+            made[which] = ScratchTable(_vectors(rows, numeric, plans, target, weight_col), f"vectors-{which}")
+        return made[which].df
+
+    train_vectors, test_vectors = (lambda: vectors("train")), (lambda: vectors("test"))
 
     def net(use_cv: bool):
         start = time.perf_counter()
@@ -112,10 +139,10 @@ def compare_methods(
         link = {"gaussian": "identity", "binomial": "logit"}.get(family, "log")
         model = GeneralizedLinearRegression(
             family=family, link=link, weightCol="weight", maxIter=50
-        ).fit(_vectors(train, numeric, levels, target, weight_col))
+        ).fit(train_vectors())
         took = time.perf_counter() - start
         begin = time.perf_counter()
-        scored = model.transform(_vectors(test, numeric, levels, target, weight_col))
+        scored = model.transform(test_vectors())
         return scored, took, begin, len(model.coefficients) + 1
 
     def trees():
@@ -123,10 +150,10 @@ def compare_methods(
         model = GBTRegressor(
             maxIter=gbt_iterations, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, seed=GBT_SEED,
             weightCol="weight",
-        ).fit(_vectors(train, numeric, levels, target, weight_col))
+        ).fit(train_vectors())
         took = time.perf_counter() - start
         begin = time.perf_counter()
-        scored = model.transform(_vectors(test, numeric, levels, target, weight_col))
+        scored = model.transform(test_vectors())
         if family == "poisson":
             scored = scored.withColumn("prediction", F.greatest("prediction", F.lit(0.0)))
         return scored, took, begin, model.getNumTrees
@@ -145,4 +172,6 @@ def compare_methods(
         except Exception as error:  # noqa: BLE001 - a failing method is a result
             warnings.warn(f"{method} failed: {error}", stacklevel=2)
             rows.append((name, method, *[None] * 6))
+    for written in (table, *made.values()):
+        written.drop()
     return local_table(spark, rows, REPORT_SCHEMA)
