@@ -45,6 +45,8 @@ WINDOW = 200
 GRAMS = (32, 96, 160, WINDOW)
 #: Bytes of contexts in a shard, about, and of one gram at most.
 SHARD_BYTES, GRAM_BYTES = 1 << 21, 1 << 18
+#: A gram with so few occurrences cannot exceed its share, as no context is longer than two windows.
+SURE = GRAM_BYTES // (2 * WINDOW)
 #: Contexts that are handed on at once.
 CHUNK = 20_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -113,8 +115,8 @@ def _find(k: int):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts with their bytes; of equal ones, only the first of a chunk has them."""
-    names = ["key", "first", "size", "gram", "context", "body"]
-    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["key", "first", "size", "gram", "total", "context", "body"]
+    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     out, seen = [], set()
 
     def flush():
@@ -127,11 +129,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, bodies, places = batch.column("key"), batch.column("body"), batch.column("places")
         for r in range(batch.num_rows):
             key, body = keys[r].as_py(), bodies[r].as_py()
-            grams, firsts, counts = (places[r].values.field(f).to_pylist() for f in ("gram", "first", "windows"))
-            for gram, first, count in zip(grams, firsts, counts):
+            columns = (places[r].values.field(f).to_pylist() for f in ("gram", "total", "first", "windows"))
+            for gram, total, first, count in zip(*columns):
                 part = body[first : first + count + WINDOW - 1]
                 context = hashlib.md5(part, usedforsecurity=False).digest()
-                out.append((key, first, len(part), gram, context, None if context in seen else part))
+                out.append((key, first, len(part), gram, total, context, None if context in seen else part))
                 seen.add(context)
                 if len(out) >= CHUNK:
                     yield flush()
@@ -261,7 +263,7 @@ def _index(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
 # ----------------------------------------------------------------------------- jobs
 
 
-def repeated_spans(pieces: DataFrame, step: int = 0) -> ScratchTable | None:
+def repeated_spans(pieces: DataFrame, step: int = 0) -> ScratchTable:
     """``key, spans``: where windows of ``pieces`` (``key, body``) also occur anywhere else in them.
 
     Keys are distinct; pieces without such windows have no row.
@@ -270,42 +272,52 @@ def repeated_spans(pieces: DataFrame, step: int = 0) -> ScratchTable | None:
     found = ScratchTable(pieces.mapInArrow(_find(k), "key binary, gram long, first int, windows int"), "repeats-found")
     again = ScratchTable(found.df.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeats-again")
     heavy = _heavy(again.df, "gram")
-    places = lookup(found.df, again.df.select("gram"), "gram", "left_semi", heavy).groupBy("key").agg(
-        F.collect_list(F.struct("gram", "first", "windows")).alias("places")
-    )
+    counted = lookup(found.df, again.df.withColumnRenamed("n", "total"), "gram", "inner", heavy)
+    places = counted.groupBy("key").agg(F.collect_list(F.struct("gram", "total", "first", "windows")).alias("places"))
     cut = ScratchTable(
-        pieces.join(places, "key").mapInArrow(_cut, "key binary, first int, size int, gram long, context binary, body binary"), "repeats-contexts"
+        pieces.join(places, "key").mapInArrow(_cut, "key binary, first int, size int, gram long, total long, context binary, body binary"),
+        "repeats-contexts",
     )
     for table in (found, again):
         table.drop()
     kinds = ScratchTable(
         cut.df.groupBy("context").agg(
-            F.first("body", ignorenulls=True).alias("body"), F.first("gram").alias("gram"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")
+            F.first("body", ignorenulls=True).alias("body"), F.first("gram").alias("gram"), F.first("total").alias("total"),
+            F.first("size").alias("size"), F.count(F.lit(1)).alias("n"),
         ),
         "repeats-kinds",
     )
-    by_gram = ScratchTable(
-        kinds.df.groupBy("gram").agg(F.sum("size").alias("bytes"), F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds"))
-        .where("least = 1 AND kinds > 1"),
-        "repeats-grams",
-    )
-    hot = F.col("bytes") > (GRAM_BYTES if step + 1 < len(GRAMS) else math.inf)
-    bytes_, n_hot = by_gram.df.agg(F.coalesce(F.sum(F.when(~hot, F.col("bytes"))), F.lit(0)), F.count_if(hot)).first()
-    heavy = _heavy(by_gram.df.withColumn("n", F.col("kinds")), "gram")
     whole = kinds.df.where("n > 1").select(F.col("context").alias("key"), F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b"))).alias("spans"))
-    results = [whole]
+    single = kinds.df.where("n = 1").select(F.col("context").alias("key"))
+    results, used = [whole], [cut, kinds]
+    # A gram whose occurrences are all in equal contexts has nothing to compare.
+    mixed = kinds.df.where("n < total").select("context", "gram", "total", "size", "n", "body")
+    ready = mixed if step + 1 == len(GRAMS) else mixed.where(F.col("total") <= SURE)
+    bytes_ = ready.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if step + 1 < len(GRAMS):
+        often = mixed.where(F.col("total") > SURE)
+        by_gram = ScratchTable(
+            often.groupBy("gram").agg(F.sum("size").alias("bytes"), F.min("n").alias("least"), F.count(F.lit(1)).alias("n")).where("least = 1"), "repeats-grams"
+        )
+        hot = F.col("bytes") > GRAM_BYTES
+        cold_bytes, n_hot = by_gram.df.agg(F.coalesce(F.sum(F.when(~hot, F.col("bytes"))), F.lit(0)), F.count_if(hot)).first()
+        bytes_ += cold_bytes
+        told = lookup(often, by_gram.df.select("gram", hot.alias("hot")), "gram", "inner", _heavy(by_gram.df, "gram"))
+        large = ScratchTable(told, "repeats-large")
+        ready = ready.unionByName(large.df.where(~F.col("hot")).drop("hot"))
+        used += [by_gram, large]
+    else:
+        n_hot = 0
     shards = max(1, math.ceil(bytes_ / SHARD_BYTES))
-    dealt = lookup(kinds.df, by_gram.df.where(~hot).select("gram"), "gram", "left_semi", heavy).withColumn("shard", F.pmod("gram", F.lit(shards)))
-    indexed = ScratchTable(dealt.select("shard", "context", "body").groupBy("shard").applyInArrow(_index, SPANS), "repeats-index")
-    results.append(indexed.df.join(kinds.df.where("n = 1").select(F.col("context").alias("key")), "key", "left_semi"))
-    used = [cut, kinds, by_gram, indexed]
+    dealt = ready.select(F.pmod("gram", F.lit(shards)).alias("shard"), "context", "body")
+    indexed = ScratchTable(dealt.groupBy("shard").applyInArrow(_index, SPANS), "repeats-index")
+    results.append(indexed.df.join(single, "key", "left_semi"))
+    used.append(indexed)
     if n_hot:
-        deeper = ScratchTable(
-            lookup(kinds.df, by_gram.df.where(hot).select("gram"), "gram", "left_semi", heavy).select(F.col("context").alias("key"), "body", "n"), "repeats-hot"
-        )
-        below = repeated_spans(deeper.df.select("key", "body"), step + 1)
-        results.append(below.df.join(deeper.df.where("n = 1").select("key"), "key", "left_semi"))
-        used += [deeper, below]
+        deeper = large.df.where("hot").select(F.col("context").alias("key"), "body")
+        below = repeated_spans(deeper, step + 1)
+        results.append(below.df.join(single, "key", "left_semi"))
+        used.append(below)
     spans_ = results[0]
     for part in results[1:]:
         spans_ = spans_.unionByName(part)
