@@ -97,8 +97,7 @@ def _bin_sums(
         for i, v in enumerate(variables):
             config = model.variables[v]
             if config.kind == "categorical":
-                end = config.last if isinstance(config, LevelTable) else len(config.levels)
-                last = F.when(F.col("v") == i, F.lit(end)).otherwise(last)
+                last = F.when(F.col("v") == i, F.lit(config.last)).otherwise(last)
         # Every row also counts towards the last row of a categorical variable.
         targets = F.array_distinct(F.array_compact(F.array(F.col("ord"), last)))
         cells = cells.withColumn("ord", F.explode(targets))

@@ -855,16 +855,16 @@ def alpha_max(
         y = F.try_divide(y, w)
     train = df.where(column(train_test_col) == TRAIN_FLAG)
     train, bins = with_bins(train, predictors, model, means)
-    design = Design(model, predictors, [])
+    # The null model needs no matrix, so the design by ranges does for any width.
+    design = RangeDesign(model, predictors, [])
     cells = CellTable.build(aggregate_cells(train, bins, {}, y, w, family, sizes=design.layout.sizes))
     try:
-        fitter = Fitter(CellPasses(cells, design, family, 1))
-        gradient = fitter.null_gradient()
+        gradient = WideFitter(CellPasses(cells, design, family, 1)).null_gradient()
     finally:
         cells.close()
     rows = [
-        (f.variable, f.name, float(g), float(abs(g)) / l1_ratio if l1_ratio else None)
-        for f, g in zip(design.features, gradient)
+        (variable, name, float(g), float(abs(g)) / l1_ratio if l1_ratio else None)
+        for (variable, name), g in zip(design.names, gradient)
     ]
     return local_table(
         df.sparkSession, rows, "variable string, feature string, gradient double, alpha double"

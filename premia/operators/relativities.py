@@ -106,11 +106,14 @@ def apply_edits(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Set new relativities: ``edits`` holds variable, from_d, to_d, level, new_relativity.
 
-    Several edits of one row apply one after another by the column ``order``; without it, by
-    rising new relativity.  Returns the revised table, the change log ``(.., old_relativity,
+    Several edits of one row apply one after another by the column ``order``, which they then
+    must have, without ties.  Returns the revised table, the change log ``(.., old_relativity,
     new_relativity)`` with one line per edit, and the edits that matched no row.
     """
-    by = [order, "new_relativity"] if order else ["new_relativity"]
+    keys = ["variable", *_BOUNDS, *([order] if order else [])]
+    if not edits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError("A row is edited twice; name a column that tells which edit comes first.")
+    by = [order] if order else ["new_relativity"]
     row = Window.partitionBy("variable", *_BOUNDS)
     steps = edits.withColumn("__before", F.lag("new_relativity").over(row.orderBy(*by))).withColumn(
         "__last", F.row_number().over(row.orderBy(*[F.desc(c) for c in by])) == 1

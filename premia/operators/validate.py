@@ -66,6 +66,12 @@ def rule_counts(
     )
 
 
+def flag_report(df: DataFrame, train_test_col: str) -> DataFrame:
+    """``(flag, n)``: every value of the split column that is not allowed, with its rows."""
+    flag = column(train_test_col)
+    return df.where(_bad_flag(flag)).groupBy(flag.alias("flag")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def distinct_flags(df: DataFrame, train_test_col: str) -> DataFrame:
     flag = column(train_test_col)
     return df.where(flag.isNotNull()).select(flag.alias("flag")).distinct()
@@ -78,13 +84,18 @@ def _missing_flag(name: str) -> ValueError:
     )
 
 
-def _raise_bad_flags(df: DataFrame, name: str) -> None:
-    bad = distinct_flags(df, name).where(_bad_flag(F.col("flag")))
-    # Twenty offending values are enough for the message.
-    found = [r[0] for r in bad.orderBy("flag").limit(20).collect()]
+#: Values named in a message; ``flag_report`` has all of them.
+SHOWN_FLAGS = 20
+
+
+def _raise_bad_flags(df: DataFrame, name: str, shown: int = SHOWN_FLAGS) -> None:
+    report = flag_report(df, name)
+    n_values, n_rows = report.agg(F.count(F.lit(1)), F.sum("n")).first()
+    found = [r["flag"] for r in report.orderBy("flag").limit(shown).collect()]
+    more = f" and {n_values - len(found)} more values" if n_values > len(found) else ""
     raise ValueError(
         f"Split column '{name}' may hold {TRAIN_FLAG}, {HOLDOUT_FLAG} and null; "
-        f"it also holds {found}"
+        f"{n_rows} rows also hold {found}{more}"
     )
 
 

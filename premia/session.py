@@ -63,13 +63,12 @@ class ScratchTable:
     """
 
     def __init__(self, df: DataFrame, label: str, spread: bool = False):
-        """``spread`` evens out an input that arrives in fewer parts than there are cores."""
+        """``spread`` lets Spark even out the parts of an input before they are written."""
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, label)
         if spread:
-            cores = self.spark.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < cores:
-                df = df.repartition(cores)
+            # A hint and not a look at the parts, which would run the shuffles of an open plan twice.
+            df = df.hint("rebalance")
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
