@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from premia.llm import forest, host_rules, packing, tables, weak_labels
+from premia.session import ScratchTable
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.documents(spark, sf_dir)
+    docs, before = tables.documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = tables.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        table = ScratchTable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            # Nothing reads a stage's input once its output is written.
+            before.drop()
+        docs, before = table.df, table
     return STAGES[-1][1](spark, docs, sf_dir)

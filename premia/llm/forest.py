@@ -9,7 +9,10 @@ sets.  A pair whose ends are joined already needs no test; all others are tested
 
 Regions that hold more classes than the neighbours looked at are then gone through whole: their
 classes outside the region's largest component meet all classes of the region, in blocks.
-So the neighbours decide the cost and not the result.
+A block's task holds the full sets of the classes that may be linked, tests them itself and
+gives back one link per component it joins, so no table has a row per pair.  A pair that
+shares several regions is met in the first of them only.  So the neighbours decide the cost
+and not the result.
 
 Recall: classes of likeness s share ``min_depth`` values in a tree with probability
 ``s ** min_depth``, so a pair at 0.8 is missed by all 16 trees once in about 100,000.  In dense
@@ -18,7 +21,9 @@ regions a pair must also agree in as many signature values as ``Forest.least_com
 Defined results: a null text is an empty one; without words a text has no shingles and is
 linked with nothing; with fewer words than ``shingle`` the whole sequence is one shingle;
 equal rows and equal texts are one group; an empty table gives an empty result; columns of the
-input with any names do no harm, as only id and text are read.
+input with any names do no harm, as only id and text are read.  Rows are told apart by a number
+of their own, so ids may be of any type, repeat or be null: every row has its result, a group's
+component is its least id, and null where none of its rows has one.
 """
 
 from __future__ import annotations
@@ -34,8 +39,10 @@ from pyspark.sql import functions as F
 
 from premia.llm.components import components
 from premia.llm.order import ranked
-from premia.llm.tables import release, text_of, written
+from premia.llm.spread import lookup
+from premia.llm.tables import own_columns, release, text_of
 from premia.llm.text import U64, mix, seeds, word_blocks
+from premia.session import ScratchTable
 
 
 @dataclass(frozen=True)
@@ -79,7 +86,8 @@ def _sign(plan: Forest):
                 full = np.flatnonzero(sizes)
                 flat = np.concatenate([sets[k] for k in full]) if len(full) else np.zeros(0, U64)
                 heads = np.cumsum(sizes[full]) - sizes[full]
-                marks = np.zeros((j - i, 2), U64)
+                marks = np.zeros((j - i, 3), U64)
+                marks[:, 2] = sizes
                 signature = np.zeros((j - i, len(factors)), ">u4")
                 if len(full):
                     marks[full, 0] = np.add.reduceat(mix(flat), heads)
@@ -87,9 +95,9 @@ def _sign(plan: Forest):
                     for f, factor in enumerate(factors):
                         signature[full, f] = np.minimum.reduceat(flat * factor >> U64(32), heads)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(sizes), pa.array(marks[:, 0].view(np.int64)),
-                     pa.array(marks[:, 1].view(np.int64)), pa.array([r.tobytes() for r in signature], pa.binary())],
-                    ["id", "n", "m1", "m2", "signature"],
+                    [batch.column(0).slice(i, j - i), pa.array(sizes), pa.array([r.tobytes() for r in marks], pa.binary()),
+                     pa.array([r.tobytes() for r in signature], pa.binary())],
+                    ["id", "n", "mark", "signature"],
                 )
 
     return run
@@ -175,9 +183,10 @@ def links(texts: DataFrame, found: DataFrame, plan: Forest) -> DataFrame:
     """
     spark = found.sparkSession
     involved = found.select(F.col("a").alias("id")).unionAll(found.select(F.col("b").alias("id"))).distinct()
-    body = written(texts.join(involved, "id", "left_semi"), "forest-texts")
-    left, right = body.select(F.col("id").alias("a"), F.col("text").alias("x")), body.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    still, sure = found, spark.createDataFrame([], "a bigint, b bigint")
+    body = ScratchTable(texts.join(involved, "id", "left_semi"), "forest-texts")
+    left, right = body.df.select(F.col("id").alias("a"), F.col("text").alias("x")), body.df.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    still, used = found, [body]
+    sure = ScratchTable(spark.createDataFrame([], "a bigint, b bigint"), "forest-links")
     groups = spark.createDataFrame([], "node bigint, component bigint")
     for most in (1, 4, None):
         if most:
@@ -185,139 +194,208 @@ def links(texts: DataFrame, found: DataFrame, plan: Forest) -> DataFrame:
             tested = still.withColumn("turn", F.row_number().over(turn)).withColumn("now", F.col("turn") <= most).drop("turn")
         else:
             tested = still.withColumn("now", F.lit(True))
-        tested = written(tested, "forest-turn")
-        chosen = tested.where("now").select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        tested = ScratchTable(tested, "forest-turn")
+        chosen = tested.df.where("now").select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
         result = chosen.mapInArrow(_confirm(plan), "a bigint, b bigint, linked boolean").where("linked").select("a", "b")
-        sure = written(sure.unionAll(result), "forest-links")
-        groups = components(sure)
+        before, sure = sure, ScratchTable(sure.df.unionAll(result), "forest-links")
+        before.drop()
+        # Texts that were shuffled for this round are not needed any more.
+        release(spark)
+        groups = components(sure.df)
+        used.append(tested)
         if not most:
             break
         one = groups.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         two = groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        still = tested.where(~F.col("now")).join(one, "a", "left").join(two, "b", "left")
+        still = tested.df.where(~F.col("now")).join(one, "a", "left").join(two, "b", "left")
         still = still.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "strength")
-        still = written(still, "forest-open")
+        open_ = ScratchTable(still, "forest-open")
+        used.append(open_)
+        still = open_.df
         if still.isEmpty():
             break
+    for table in used:
+        table.drop()
     release(spark)
     return groups
 
 
-def _across(plan: Forest):
-    """Outsiders of a dense region against a block of its classes, by whole signatures."""
+def _meet(plan: Forest):
+    """Outsiders of a dense region against a block of its classes, by whole signatures.
 
-    def run(table: pa.Table) -> pa.Table:
+    Gives, per outsider with any, the classes it may be linked with: those that share enough
+    values, lie in another component and have no earlier tree's region in common with it.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         outer = table["outer"].to_numpy(zero_copy_only=False)
         ids, sizes, groups = (table[c].to_numpy() for c in ("id", "n", "component"))
         outsider = table["outsider"].to_numpy(zero_copy_only=False)
+        region, x, y = (k.as_py() for k in key)
+        tree = region[0]
         values = np.frombuffer(b"".join(table["signature"].to_pylist()), ">u4").astype(np.uint32).reshape(len(ids), -1)
-        x, y = np.flatnonzero(outer), np.flatnonzero(~outer)
-        common = np.zeros((len(x), len(y)), np.int16)
+        own, to = np.flatnonzero(outer), np.flatnonzero(~outer)
+        common = np.zeros((len(own), len(to)), np.int16)
         for v in values.T:
-            common += v[x][:, None] == v[y]
-        small, large = np.minimum.outer(sizes[x], sizes[y]), np.maximum.outer(sizes[x], sizes[y])
-        good = (common >= plan.least_common) & (100 * small >= plan.percent * large) & (groups[x][:, None] != groups[y])
-        good &= ~outsider[y] | (ids[x][:, None] > ids[y])  # two outsiders meet twice
-        i, j = np.nonzero(good)
-        return pa.table({"a": pa.array(ids[x[i]], pa.int64()), "b": pa.array(ids[y[j]], pa.int64()), "strength": pa.array(common[i, j].astype(np.int64))})
+            common += v[own][:, None] == v[to]
+        small, large = np.minimum.outer(sizes[own], sizes[to]), np.maximum.outer(sizes[own], sizes[to])
+        good = (common >= plan.least_common) & (100 * small >= plan.percent * large) & (groups[own][:, None] != groups[to])
+        good &= ~outsider[to] | (ids[own][:, None] > ids[to])  # two outsiders meet twice
+        for t in range(tree):
+            if good.any():
+                at = range(t * plan.depth, t * plan.depth + plan.min_depth)
+                good &= ~np.logical_and.reduce([values[own][:, [c]] == values[to][:, c] for c in at])
+        hits = np.flatnonzero(good.any(axis=1))
+        found = [ids[to[np.flatnonzero(good[k])]] for k in hits]
+        columns = [
+            pa.array([region] * len(hits), pa.binary()), pa.array([x] * len(hits), pa.int32()), pa.array([y] * len(hits), pa.int32()),
+            pa.array(ids[own[hits]], pa.int64()), pa.array(found, pa.list_(pa.int64())),
+        ]
+        return pa.table(columns, ["region", "x", "y", "a", "bs"])
+
+    return run
+
+
+def _link(plan: Forest):
+    """Tests of one block on full sets; a link joins two components, so there are fewer than classes."""
+
+    def run(key: tuple[pa.Scalar, ...], pairs: pa.Table, bodies: pa.Table) -> pa.Table:
+        sets, which = _sets(bodies["text"].combine_chunks(), plan.shingle)
+        place = {i: k for k, i in enumerate(bodies["id"].to_pylist())}
+        root = {i: c for i, c in zip(bodies["id"].to_pylist(), bodies["component"].to_pylist())}
+        over: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in over:
+                over[c] = over.get(over[c], over[c])
+                c = over[c]
+            return c
+
+        out = []
+        for a, bs in zip(pairs["a"].to_pylist(), pairs["bs"].to_pylist()):
+            x = sets[which[place[a]]]
+            for b in bs:
+                ca, cb = top(root[a]), top(root[b])
+                if ca == cb:
+                    continue
+                y = sets[which[place[b]]]
+                both = _common(x, y)
+                if 100 * both >= plan.percent * (len(x) + len(y) - both):
+                    over[max(ca, cb)] = min(ca, cb)
+                    out.append((root[a], root[b]))
+        return pa.table({"ca": pa.array([r[0] for r in out], pa.int64()), "cb": pa.array([r[1] for r in out], pa.int64())})
 
     return run
 
 
-def dense_candidates(members: DataFrame, plan: Forest) -> DataFrame:
-    """(a, b, strength) of regions with more classes than the neighbours reach.
+def dense_links(texts: DataFrame, members: DataFrame, plan: Forest) -> ScratchTable:
+    """(ca, cb): components joined by links inside regions with more classes than the neighbours reach.
 
     ``members`` is (id, n, signature, component).  Only classes outside the largest component
-    of a region, ``a``, look for partners, and only in other components, so a region whose
+    of a region look for partners, and only in other components, so a region whose
     classes are joined costs nothing.  Both sides are dealt in blocks, whatever their number.
     """
     width = 4 * plan.depth
     region = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(signature, tree * {width} + 1, {4 * plan.min_depth})"))
     trees = F.explode(F.sequence(F.lit(0), F.lit(plan.trees - 1))).alias("tree")
-    rows = members.select("*", trees).withColumn("region", region).drop("tree")
-    dense = rows.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    dense = written(dense.where((F.col("m") > plan.neighbours + 1) & (F.col("lo") != F.col("hi"))).select("region", "m"), "forest-dense")
-    inside = rows.join(dense, "region")
-    shares = inside.groupBy("region", "m", "component").count()
-    main = shares.groupBy("region", "m").agg(F.max(F.struct("count", F.col("component").alias("main"))).alias("top"))
+    # Regions are counted without signatures; only what lies in a dense one is taken along.
+    rows = members.select("id", "n", "component", "signature", trees).withColumn("region", region).drop("tree", "signature")
+    shares = rows.groupBy("region", "component").count()
+    main = shares.groupBy("region").agg(
+        F.sum("count").alias("m"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("count", F.col("component").alias("main"))).alias("top")
+    )
     outer = F.col("m") - F.col("top.count")
-    parts = lambda n: F.ceil(n / plan.block).cast("int")
-    main = written(main.select("region", F.col("top.main").alias("main"), parts(outer).alias("xs"), parts(F.col("m")).alias("ys")), "forest-main")
-    placed = rows.join(main, "region").withColumn("outsider", F.col("component") != F.col("main"))
+    blocks = lambda n: F.ceil(n / plan.block).cast("int")
+    dense = ScratchTable(
+        main.where((F.col("m") > plan.neighbours + 1) & (F.col("parts") > 1))
+        .select("region", F.col("top.main").alias("main"), blocks(outer).alias("xs"), blocks(F.col("m")).alias("ys")),
+        "forest-dense",
+    )
+    placed = rows.join(dense.df, "region").withColumn("outsider", F.col("component") != F.col("main"))
     at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["region", "id", "n", "signature", "component", "outsider"]
+    columns = ["region", "id", "n", "component", "outsider"]
     inner = placed.select(*columns, F.lit(False).alias("outer"), all_of("xs").alias("x"), at("ys").alias("y"))
     others = placed.where("outsider").select(*columns, F.lit(True).alias("outer"), at("xs").alias("x"), all_of("ys").alias("y"))
-    pairs = inner.unionAll(others).groupBy("region", "x", "y").applyInArrow(_across(plan), "a bigint, b bigint, strength bigint")
-    return pairs.groupBy("a", "b").agg(F.max("strength").alias("strength"))
-
+    met = inner.unionAll(others).join(members.select("id", "signature"), "id")
+    schema = "region binary, x int, y int, a bigint, bs array<bigint>"
+    pairs = ScratchTable(met.groupBy("region", "x", "y").applyInArrow(_meet(plan), schema), "forest-met")
+    block = ["region", "x", "y"]
+    there = pairs.df.select(*block, F.col("a").alias("id")).unionAll(pairs.df.select(*block, F.explode("bs").alias("id"))).distinct()
+    there = ScratchTable(there, "forest-there")
+    known = members.select("id", "component").join(there.df.select("id").distinct(), "id", "left_semi")
+    body = ScratchTable(texts.join(known, "id"), "forest-bodies")
+    brought = there.df.join(body.df, "id")
+    linked = ScratchTable(
+        pairs.df.groupBy(*block).cogroup(brought.groupBy(*block)).applyInArrow(_link(plan), "ca bigint, cb bigint"), "forest-dense-links"
+    )
+    for table in (dense, pairs, there, body):
+        table.drop()
+    return linked
 
-def join_dense(texts: DataFrame, members: DataFrame, found: DataFrame, plan: Forest) -> DataFrame:
-    """``members`` with components joined by links inside dense regions.
 
-    Pairs are tested in rounds, the most alike of each outsider first; a pair whose ends
-    have come together needs no test, and the last round tests all that are left.
-    """
-    seen = found.select("a", "b").unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    still = written(dense_candidates(members, plan).join(seen, ["a", "b"], "left_anti"), "forest-dense-pairs")
-    if still.isEmpty():
+def join_dense(texts: DataFrame, members: DataFrame, plan: Forest) -> DataFrame:
+    """``members`` with the components that links inside dense regions join."""
+    linked = dense_links(texts, members, plan)
+    if linked.df.isEmpty():
         return members
-    involved = still.select(F.col("a").alias("id")).unionAll(still.select(F.col("b").alias("id"))).distinct()
-    body = written(texts.join(involved, "id", "left_semi"), "forest-dense-texts")
-    left, right = (body.select(F.col("id").alias(k), F.col("text").alias(t)) for k, t in (("a", "x"), ("b", "y")))
-    for most in (1, 8, None):
-        roots = members.select("id", "component")
-        one, two = roots.toDF("a", "ca"), roots.toDF("b", "cb")
-        turn = Window.partitionBy("a").orderBy(F.desc("strength"), "b")
-        apart = still.join(one, "a").join(two, "b").where("ca <> cb").withColumn("turn", F.row_number().over(turn))
-        apart = written(apart, "forest-dense-turn")
-        now = apart.where(F.col("turn") <= most) if most else apart
-        chosen = now.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        linked = chosen.mapInArrow(_confirm(plan), "a bigint, b bigint, linked boolean").where("linked").select("a", "b")
-        linked = written(linked, "forest-dense-links")
-        if not linked.isEmpty():
-            edges = linked.join(one, "a").join(two, "b").select("ca", "cb")
-            merged = components(edges).withColumnRenamed("component", "onto")
-            members = members.join(merged, members["component"] == merged["node"], "left").select(
-                "id", "n", "signature", F.coalesce("onto", "component").alias("component")
-            )
-            members = written(members, "forest-members")
-        if most:
-            still = apart.where(F.col("turn") > most).select("a", "b", "strength")
-            if still.isEmpty():
-                break
-    return members
+    merged = components(linked.df).withColumnRenamed("component", "onto")
+    joined = members.join(merged, members["component"] == merged["node"], "left")
+    return joined.select("id", "n", "signature", F.coalesce("onto", "component").alias("component"))
+
+
+def row_groups(texts: DataFrame, plan: Forest) -> ScratchTable:
+    """(id, n, component) of a written table (id, text) with a distinct number as id."""
+    signed = ScratchTable(texts.mapInArrow(_sign(plan), "id long, n long, mark binary, signature binary"), "forest-signed")
+    # A text without shingles is a group of its own.
+    classes = ScratchTable(
+        signed.df.where("n > 0").groupBy("mark").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.min("signature").alias("signature")),
+        "forest-classes",
+    )
+    found = ScratchTable(candidates(classes.df.select(F.col("first").alias("id"), "n", "signature"), plan), "forest-candidates")
+    groups = links(texts, found.df, plan)
+    members = classes.df.join(groups, classes.df["first"] == groups["node"], "left").select(
+        F.col("first").alias("id"), "n", "signature", F.coalesce("component", "first").alias("component")
+    )
+    members = ScratchTable(members, "forest-members")
+    found.drop()
+    joined = join_dense(texts, members.df, plan).select(F.col("id").alias("first"), "component")
+    of_class = classes.df.select("mark", "first").join(joined, "first").select("mark", "component")
+    slim = signed.df.select("id", "n", "mark")
+    out = lookup(slim, of_class, "mark", "left").select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    done = ScratchTable(out, "forest-groups")
+    for table in (signed, classes, members):
+        table.drop()
+    release(texts.sparkSession)
+    return done
 
 
 def near_groups(docs: DataFrame, plan: Forest = Forest(), text: str = "text", id: str = "doc_id") -> DataFrame:
     """(id, n_shingles, component): each document and the least id it is linked with."""
-    texts = docs.select(F.col(id).cast("long").alias("id"), text_of(text).alias("text"))
-    signed = written(texts.mapInArrow(_sign(plan), "id long, n long, m1 long, m2 long, signature binary"), "forest-signed")
-    # A document's own class key keeps texts without shingles apart.
-    classes = signed.where("n > 0").groupBy("n", "m1", "m2").agg(F.min("id").alias("first"), F.min("signature").alias("signature"))
-    classes = written(classes, "forest-classes")
-    found = written(candidates(classes.select(F.col("first").alias("id"), "n", "signature"), plan), "forest-candidates")
-    groups = links(texts, found, plan)
-    members = classes.join(groups, classes["first"] == groups["node"], "left").select(
-        F.col("first").alias("id"), "n", "signature", F.coalesce("component", "first").alias("component")
-    )
-    members = join_dense(texts, written(members, "forest-members"), found, plan).select(F.col("id").alias("first"), "component")
-    of_class = classes.join(members, "first").select("n", "m1", "m2", "component")
-    slim = signed.select("id", "n", "m1", "m2")
-    full = slim.where("n > 0").join(of_class, ["n", "m1", "m2"]).select("id", F.col("n").alias("n_shingles"), "component")
-    bare = slim.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component"))
-    return full.unionAll(bare)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), text_of(text).alias("text"))
+    rows = ScratchTable(rows, "forest-rows")
+    groups = row_groups(rows.df.select(F.col("row").alias("id"), "text"), plan)
+    named = rows.df.select("row", "id").join(groups.df.withColumnRenamed("id", "row").withColumnRenamed("component", "root"), "row")
+    named = ScratchTable(named, "forest-named")
+    least = named.df.groupBy("root").agg(F.min("id").alias("component"))
+    out = ScratchTable(lookup(named.df, least, "root", "left").select("id", F.col("n").alias("n_shingles"), "component"), "forest-result")
+    for table in (rows, groups, named):
+        table.drop()
+    return out.df
 
 
 def keep_first(docs: DataFrame, plan: Forest = Forest(shingle=5), text: str = "text", id: str = "doc_id") -> DataFrame:
-    """One document of each group, the one of the least id; columns as they were.
+    """One document of each group, the one of the least id (null last); columns as they were.
 
-    Rows that repeat an id are one document twice: one of them stays.  Rows without an id
-    cannot be named, and stay.
+    Only rows that are linked with a kept one go, whatever their ids.
     """
-    named = docs.where(F.col(id).isNotNull())
-    groups = near_groups(named, plan, text, id)
-    gone = groups.where("id <> component").select(F.col("id").alias("__gone")).distinct()
-    kept = named.join(gone, F.col(id).cast("long") == F.col("__gone"), "left_anti").dropDuplicates([id])
-    return kept.select(*docs.columns).unionAll(docs.where(F.col(id).isNull()))
+    row, key = own_columns(docs, "__row", "__key")
+    rows = ScratchTable(docs.withColumn(row, F.monotonically_increasing_id()), "forest-rows")
+    groups = row_groups(rows.df.select(F.col(row).alias("id"), text_of(text).alias("text")), plan)
+    named = rows.df.select(F.col(row).alias("id"), F.col(id).alias("name")).join(groups.df, "id")
+    named = ScratchTable(named.select("id", "component", F.struct(F.col("name").isNull(), "name", "id").alias("rank")), "forest-named")
+    first = named.df.groupBy("component").agg(F.min("rank").alias("least"), F.count(F.lit(1)).alias("n"))
+    kept = ScratchTable(first.select(F.col("least.id").alias(key)), "forest-kept")
+    for table in (groups, named):
+        table.drop()
+    return rows.df.join(kept.df, F.col(row) == F.col(key), "left_semi").select(*docs.columns)

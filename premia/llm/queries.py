@@ -50,7 +50,7 @@ def op3_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = forest.near_groups(tables.documents(spark, sf_dir))
     return groups.select(
-        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")
     )
 
 
