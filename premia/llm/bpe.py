@@ -29,6 +29,12 @@ from premia.llm.tables import text_of
 
 # Fixed value: how byte-level vocabularies split text into words.
 WORD = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of a word up to which merges are found by search.
+SHORT = 48
+#: Rank of a pair that does not merge.
+NEVER = 1 << 60
+#: Texts whose new words are learnt together.
+GROUP = 64
 #: Words whose tokens a task remembers.
 MEMORY = 200_000
 
@@ -52,7 +58,6 @@ class Codec:
             vocab.pop(text.encode(), None)
         self.ids, self.special = vocab, special
         self.bytes = {i: b for b, i in vocab.items()} | {i: t.encode() for t, i in special.items()}
-        self.longest = max(map(len, vocab))
         self.merges = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = (spell(s) for s in (pair.split(" ") if isinstance(pair, str) else pair))
@@ -60,15 +65,36 @@ class Codec:
         self.words = regex.compile(WORD)
         self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, list[int]] = {}
+        #: By word: its tokens, these as text with commas, and the bytes they stand for.
+        self.known: dict[str, tuple[list[int], str, bytes]] = {}
         self.size = max(self.bytes) + 1
         self.shown = [str(i) for i in range(self.size)]
+        self.single = {b: vocab[bytes([b])] for b in range(256) if bytes([b]) in vocab}
+        self.ranks = {pair: rank for pair, (rank, _) in self.merges.items()}
         # A token that its own bytes do not merge into can never be a guess.
         self.guessed = {b: i for b, i in vocab.items() if self.merge(b) == [i]}
+        self.reach: dict[bytes, int] = {}
+        for b in self.guessed:
+            self.reach[b[:2]] = max(self.reach.get(b[:2], 1), len(b))
 
     def merge(self, word: bytes) -> list[int]:
         """Exact: always the least rank, the leftmost of equal ones."""
-        ids = [self.ids[word[i : i + 1]] for i in range(len(word))]
+        ids = [self.single[b] for b in word]
+        if len(ids) <= SHORT:
+            # A short list is searched faster than a heap is kept.
+            ranks = [self.ranks.get(p, NEVER) for p in zip(ids, ids[1:])]
+            while ranks:
+                least = min(ranks)
+                if least == NEVER:
+                    break
+                i = ranks.index(least)
+                ids[i : i + 2] = [self.merges[ids[i], ids[i + 1]][1]]
+                del ranks[i]
+                if i < len(ranks):
+                    ranks[i] = self.ranks.get((ids[i], ids[i + 1]), NEVER)
+                if i:
+                    ranks[i - 1] = self.ranks.get((ids[i - 1], ids[i]), NEVER)
+            return ids
         left, right = list(range(-1, len(ids) - 1)), list(range(1, len(ids) + 1))
         heap = [(self.merges[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merges]
         heapq.heapify(heap)
@@ -90,7 +116,8 @@ class Codec:
     def guess(self, word: bytes) -> list[int]:
         out, at = [], 0
         while at < len(word):
-            for end in range(min(len(word), at + self.longest), at, -1):
+            # No token that begins with these two bytes is longer.
+            for end in range(min(len(word), at + self.reach.get(word[at : at + 2], 1)), at, -1):
                 token = self.guessed.get(word[at:end])
                 if token is not None:
                     out.append(token)
@@ -120,7 +147,8 @@ class Codec:
         failed = np.zeros(len(words), bool)
         failed[word_of[~fine[which]]] = True
         for word, body, tokens, wrong in zip(words, raw, guesses, failed.tolist()):
-            self.known[word] = self.merge(body) if wrong else tokens
+            ids = self.merge(body) if wrong else tokens
+            self.known[word] = ids, ",".join(map(self.shown.__getitem__, ids)), b"".join(map(self.bytes.__getitem__, ids))
 
     def _parts(self, text: str) -> Iterator[tuple[list[str], int | None]]:
         at = 0
@@ -129,20 +157,43 @@ class Codec:
             at = hit.end()
         yield self.words.findall(text[at:]), None
 
+    def _known_parts(self, texts: list[str]) -> list[list[tuple[list[str], int | None]]]:
+        """The parts of some texts, whose words are then all known; new ones are learnt together."""
+        split = [list(self._parts(text)) for text in texts]
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        fresh = set(chain.from_iterable(words for parts in split for words, _ in parts)).difference(self.known)
+        if fresh:
+            self.learn(list(fresh))
+        return split
+
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        for text in texts:
-            parts = list(self._parts(text))
-            if len(self.known) > MEMORY:
-                self.known.clear()
-            fresh = list(set(chain.from_iterable(words for words, _ in parts)).difference(self.known))
-            if fresh:
-                self.learn(fresh)
-            out: list[int] = []
-            for words, special in parts:
-                out.extend(chain.from_iterable(map(self.known.__getitem__, words)))
-                if special is not None:
-                    out.append(special)
-            yield out
+        for at in range(0, len(texts), GROUP):
+            for parts in self._known_parts(texts[at : at + GROUP]):
+                out: list[int] = []
+                for words, special in parts:
+                    out.extend(chain.from_iterable(self.known[w][0] for w in words))
+                    if special is not None:
+                        out.append(special)
+                yield out
+
+    def shown_and_decoded(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
+        """Per text: how many tokens, their numbers joined by commas, and the bytes they stand for.
+
+        Both are put together from words, which repeat, and not token by token.
+        """
+        for at in range(0, len(texts), GROUP):
+            for parts in self._known_parts(texts[at : at + GROUP]):
+                found = []
+                for words, special in parts:
+                    found += map(self.known.__getitem__, words)
+                    if special is not None:
+                        found.append(([special], self.shown[special], self.bytes[special]))
+                if found:
+                    ids, shown, body = zip(*found)
+                    yield sum(map(len, ids)), ",".join(shown), b"".join(body)
+                else:
+                    yield 0, "", b""
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", errors="replace")
@@ -168,12 +219,13 @@ def encode_column(docs: DataFrame, path: str, text: str = "text", id: str = "doc
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): digests of the tokens and of the decoded text."""
-    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    digest = lambda b: hashlib.sha256(b).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            rows = [(len(i), digest(",".join(map(own.shown.__getitem__, i))), digest(own.decode(i))) for i in own.encode(batch.column(1).to_pylist())]
+            told = own.shown_and_decoded(batch.column(1).to_pylist())
+            rows = [(n, digest(shown.encode()), digest(body.decode("utf-8", errors="replace").encode())) for n, shown, body in told]
             n, ids, back = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names
