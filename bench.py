@@ -32,6 +32,21 @@ PREDICTORS = ["discount", "tax_null", "p_size", "price", "segment", "brand"]
 ROLES = {"weight_col": "Exposure", "divide_target_by_weight": True}
 
 
+WIDE = 26
+
+
+def fit_wide(data):
+    """A fit of 32 predictors with about 600 features by active sets, plan included."""
+    extra = {
+        f"x{i}_": ((F.col("l_orderkey") * (2 * i + 3) + F.col("l_linenumber") * (i + 5) + F.col("l_partkey")) % (40 + i)).cast("double")
+        for i in range(WIDE)
+    }
+    wide = data.withColumns(extra)
+    names = [*PREDICTORS, *extra]
+    plan = generate_blueprint(wide.where("traintest = 1"), names, method="approx")
+    return fit_glm(wide, "ClaimNb", "Poisson", names, plan, use_cv=False, alpha=2e-3, cv_params={"solver": "active"}, **ROLES)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -83,6 +98,7 @@ def main() -> None:
         "fit_gamma_cv_default",
         lambda: fit("Gamma", "severity", weight_col=None, divide_target_by_weight=False),
     )
+    run("fit_wide_no_cv", lambda: fit_wide(data))
     model = kept["fit_poisson_no_cv"]
     run("rate_model_from_fit", lambda: RateModel.from_glm_model(model, data, plan, 0.1))
 

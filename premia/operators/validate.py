@@ -95,7 +95,7 @@ def _raise_bad_flags(df: DataFrame, name: str, shown: int = SHOWN_FLAGS) -> None
     more = f" and {n_values - len(found)} more values" if n_values > len(found) else ""
     raise ValueError(
         f"Split column '{name}' may hold {TRAIN_FLAG}, {HOLDOUT_FLAG} and null; "
-        f"{n_rows} rows also hold {found}{more}"
+        f"it also holds {found}{more}, in {n_rows} rows"
     )
 
 

@@ -9,7 +9,7 @@ from premia.operators.evaluate import compute_actual_expected
 from premia.operators.relativities import apply_edits, diff_versions
 from premia.sources.tariff_json import read_tariff, tariff_document, tariff_from_document, write_tariff
 
-AGE = [(None, 18, 1.45), (18, 23, 1.45), (23, 28, 1.30), (28, 33, 1.15), (33, 38, 1.0), (38, None, 0.9)]
+AGE = [(None, 20, 1.7), (20, 26, 1.25), (26, 40, 0.92), (40, 65, 1.0), (65, None, 1.33)]
 REGION = [("North", 0.95), ("South", 1.05), ("Urban", 1.0)]
 
 
@@ -66,9 +66,9 @@ def test_break_without_a_rate_takes_one(spark):
 @pytest.mark.parametrize(
     "values, expected",
     [
-        ((18.0, 23.0, 28.0, 33.0, 38.0), (1.45, 1.30, 1.15, 1.0, 0.9)),
-        ((20.0, 25.0, 30.0), (1.45, 1.30, 1.15)),
-        ((10.0, 17.0, 40.0, 50.0, 22.999), (1.45, 1.45, 0.9, 0.9, 1.45)),
+        ((20.0, 26.0, 40.0, 65.0, 19.5), (1.25, 0.92, 1.0, 1.33, 1.7)),
+        ((21.0, 33.0, 64.999), (1.25, 0.92, 1.0)),
+        ((5.0, 90.0), (1.7, 1.33)),
     ],
 )
 def test_numeric_scoring(spark, values, expected):
@@ -81,7 +81,7 @@ def test_missing_number_is_an_error_unless_told_otherwise(spark):
         with pytest.raises(PySparkException, match="falls in no bin"):
             predictions(age_model(), ages(spark, 20.0, bad))
     assert predictions(age_model(), ages(spark, 20.0, None), on_null="null")[1] is None
-    assert predictions(age_model(), ages(spark, 20.0, None), on_null="mean")[1] == pytest.approx(0.145)
+    assert predictions(age_model(), ages(spark, 20.0, None), on_null="mean")[1] == pytest.approx(0.125)
 
 
 def test_levels_unknown_and_null_take_the_fallback(spark):
@@ -99,34 +99,34 @@ def test_empty_input_and_missing_column(spark):
 def test_exposure(spark):
     model = age_model(exposure_col="Exposure")
     df = spark.createDataFrame([(20.0, 0.5, 2.0)], "DrivAge double, Exposure double, w double")
-    assert predictions(model, df) == pytest.approx([0.0725])
-    assert predictions(model, df, exposure_col=None) == pytest.approx([0.145])
-    assert predictions(model, df, exposure_col="w") == pytest.approx([0.29])
+    assert predictions(model, df) == pytest.approx([0.0625])
+    assert predictions(model, df, exposure_col=None) == pytest.approx([0.125])
+    assert predictions(model, df, exposure_col="w") == pytest.approx([0.25])
     with pytest.warns(UserWarning, match="no exposure column"):
-        assert predictions(model, ages(spark, 20.0)) == pytest.approx([0.145])
+        assert predictions(model, ages(spark, 20.0)) == pytest.approx([0.125])
 
 
 def test_column_map_goes_from_data_to_model(spark):
     df = spark.createDataFrame([(20.0,)], "age double")
-    assert predictions(age_model(), df, column_map={"age": "DrivAge"}) == pytest.approx([0.145])
+    assert predictions(age_model(), df, column_map={"age": "DrivAge"}) == pytest.approx([0.125])
 
 
 def test_edit_snapshot_and_score_by_version(spark):
     first = age_model()
-    second = first.update_relativity("DrivAge", 18, 23, 2.0).create_snapshot("dearer")
+    second = first.update_relativity("DrivAge", 20, 26, 2.0).create_snapshot("dearer")
     df = ages(spark, 20.0)
-    assert predictions(second, df, version=1) == pytest.approx([0.145])
+    assert predictions(second, df, version=1) == pytest.approx([0.125])
     assert predictions(second, df, version=2) == pytest.approx([0.2])
-    assert predictions(first, df) == pytest.approx([0.145])
+    assert predictions(first, df) == pytest.approx([0.125])
     assert [s["changes_count"] for s in second.list_snapshots()] == [0, 1]
     assert [s["parent_version"] for s in second.list_snapshots()] == [None, 1]
     (change,) = second.change_log(2)
-    assert (change.old_relativity, change.new_relativity) == (1.45, 2.0)
+    assert (change.old_relativity, change.new_relativity) == (1.25, 2.0)
     assert second.diff(1, 2) == [change] and second.diff(1, 1) == []
     with pytest.raises(KeyError):
-        first.update_relativity("nope", 18, 23, 2.0)
+        first.update_relativity("nope", 20, 26, 2.0)
     with pytest.raises(ValueError):
-        first.update_relativity("DrivAge", 18, 24, 2.0)
+        first.update_relativity("DrivAge", 20, 27, 2.0)
     with pytest.raises(ValueError):
         first.switch_to(5)
 
@@ -148,7 +148,7 @@ def test_json_round_trip(spark, tmp_path):
     write_tariff(spark, model, path)
     assert read_tariff(spark, path) == model
     document = json.loads(json.dumps(tariff_document(model)))
-    assert document["variables"]["DrivAge"]["table"][0] == {"from": None, "to": 18.0, "relativity": 1.45}
+    assert document["variables"]["DrivAge"]["table"][0] == {"from": None, "to": 20.0, "relativity": 1.7}
     assert document["variables"]["Region"]["table"][0] == {"from": "North", "to": "North", "relativity": 0.95}
     assert tariff_from_document(document) == model
     # A pretty-printed file of one document is read too.
@@ -167,7 +167,7 @@ def test_create_rate_model_saves(spark, tmp_path):
 def test_table_edits_and_diff(spark):
     model = RateModel(0.1, {"DrivAge": numeric(AGE), "Region": categorical(REGION)})
     edits = spark.createDataFrame(
-        [("DrivAge", None, 18.0, None, 3.0), ("Region", None, None, None, 1.5), ("Region", None, None, "Mars", 9.0)],
+        [("DrivAge", None, 20.0, None, 3.0), ("Region", None, None, None, 1.5), ("Region", None, None, "Mars", 9.0)],
         "variable string, from_d double, to_d double, level string, new_relativity double",
     )
     base = model.relativity_table(spark)
@@ -175,7 +175,7 @@ def test_table_edits_and_diff(spark):
     assert revised.count() == base.count() and changes.count() == 2 and unmatched.count() == 1
     versions = base.withColumn("version", F.lit(1)).unionByName(revised.withColumn("version", F.lit(2)))
     got = {(r["variable"], r["old_relativity"], r["new_relativity"]) for r in diff_versions(versions, 1, 2).collect()}
-    assert got == {("DrivAge", 1.45, 3.0), ("Region", 1.0, 1.5)}
+    assert got == {("DrivAge", 1.7, 3.0), ("Region", 1.0, 1.5)}
     again = RateModel.from_relativities(revised, 0.1)
     assert again.variables["Region"].fallback == 1.5
 
@@ -201,8 +201,7 @@ def test_wide_tariff_scores_like_a_loop(spark):
         assert r["prediction"] == pytest.approx(want)
 
 
-AE_ROWS = [(20, 1.0, 0, 1), (25, 0.5, 1, 1), (30, 1.0, 0, 1), (25, 0.8, 0, 1), (20, 1.2, 2, 0),
-           (35, 0.9, 1, 0), (30, 1.0, 1, 0), (30, 0.7, 0, 0)]
+AE_ROWS = [(22, 0.6, 1, 1), (22, 1.4, 0, 0), (31, 0.5, 1, 1), (35, 0.75, 0, 1), (50, 1.0, 2, 1), (47, 0.8, 0, 0), (70, 0.4, 1, 0)]
 
 
 def test_actual_expected(spark):
@@ -214,16 +213,16 @@ def test_actual_expected(spark):
     }
     assert {s for s, _ in got} == {"all", "train", "test"}
     assert len(got) == 3 * len(AGE)
-    row = got["all", "[18.0, 23.0)"]
-    assert row["actual"] == pytest.approx(2 / 2.2) and row["exposure"] == pytest.approx(2.2)
-    assert row["expected"] == pytest.approx(0.145)
-    assert tuple(got["all", "< 18.0"][c] for c in ("actual", "expected", "exposure")) == (0, 0, 0)
-    assert got["test", "[23.0, 28.0)"]["exposure"] == 0
+    row = got["all", "[20.0, 26.0)"]
+    assert row["actual"] == pytest.approx(1 / 2) and row["exposure"] == pytest.approx(2.0)
+    assert row["expected"] == pytest.approx(0.125)
+    assert tuple(got["all", "< 20.0"][c] for c in ("actual", "expected", "exposure")) == (0, 0, 0)
+    assert got["test", "[26.0, 40.0)"]["exposure"] == 0
     weighted = {
         (r["subset"], r["level"]): r["actual"]
         for r in compute_actual_expected(model, df, "DrivAge", "sum_weighted").collect()
     }
-    assert weighted["all", "[23.0, 28.0)"] == pytest.approx(0.5 / 1.3)
+    assert weighted["all", "[26.0, 40.0)"] == pytest.approx(0.4)
 
 
 def test_actual_expected_without_flag_or_target(spark):

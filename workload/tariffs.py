@@ -7,8 +7,8 @@ from premia.operators.glm import GlmModel, fixed_model
 from premia.operators.ratemodel import FromToRow, ModelMetadata, RateModel, VariableConfig
 
 BASE_RATE = 0.1
-DISCOUNT = ((None, 0.02, 1.45), (0.02, 0.04, 1.30), (0.04, 0.06, 1.15), (0.06, 0.08, 1.0),
-            (0.08, None, 0.9))
+DISCOUNT = ((None, 0.02, 0.82), (0.02, 0.04, 0.96), (0.04, 0.06, 1.07), (0.06, 0.08, 1.24),
+            (0.08, None, 1.6))
 # The last range lies beyond all sizes, so that one bin is empty.
 SIZE = ((None, 10, 0.8), (10, 20, 0.9), (20, 30, 1.0), (30, 40, 1.1), (40, 60, 1.25),
         (60, None, 2.0))
