@@ -38,6 +38,7 @@ from premia.session import local_table
 # Executors get the kernels with the task, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(kernels)
 
+# The defaults of a fit.
 DEFAULT_FOLDS = 5
 DEFAULT_L1_RATIOS = (0.0, 0.5, 1.0)
 DEFAULT_MAX_ITER = 150
