@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from premia.llm.components import components
 from premia.llm.order import ranked
-from premia.llm.spread import lookup
+from premia.llm.spread import Dealt, lookup
 from premia.llm.tables import own_columns, release, text_of
 from premia.llm.text import U64, mix, seeds, word_blocks
 from premia.session import ScratchTable
@@ -370,10 +370,19 @@ def row_groups(texts: DataFrame, plan: Forest) -> ScratchTable:
     return done
 
 
+def dealt(docs: DataFrame, row: str) -> Dealt:
+    """``docs`` written with a number of its own for each row, and dealt out by it.
+
+    Texts are shuffled this once; whatever is found out about rows later comes to them.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    return Dealt(numbered.repartition(parts, row), row, parts, "forest-rows")
+
+
 def near_groups(docs: DataFrame, plan: Forest = Forest(), text: str = "text", id: str = "doc_id") -> DataFrame:
     """(id, n_shingles, component): each document and the least id it is linked with."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), text_of(text).alias("text"))
-    rows = ScratchTable(rows, "forest-rows")
+    rows = dealt(docs.select(F.col(id).alias("id"), text_of(text).alias("text")), "row")
     groups = row_groups(rows.df.select(F.col("row").alias("id"), "text"), plan)
     named = rows.df.select("row", "id").join(groups.df.withColumnRenamed("id", "row").withColumnRenamed("component", "root"), "row")
     named = ScratchTable(named, "forest-named")
@@ -390,7 +399,7 @@ def keep_first(docs: DataFrame, plan: Forest = Forest(shingle=5), text: str = "t
     Only rows that are linked with a kept one go, whatever their ids.
     """
     row, key = own_columns(docs, "__row", "__key")
-    rows = ScratchTable(docs.withColumn(row, F.monotonically_increasing_id()), "forest-rows")
+    rows = dealt(docs, row)
     groups = row_groups(rows.df.select(F.col(row).alias("id"), text_of(text).alias("text")), plan)
     named = rows.df.select(F.col(row).alias("id"), F.col(id).alias("name")).join(groups.df, "id")
     named = ScratchTable(named.select("id", "component", F.struct(F.col("name").isNull(), "name", "id").alias("rank")), "forest-named")
@@ -398,4 +407,5 @@ def keep_first(docs: DataFrame, plan: Forest = Forest(shingle=5), text: str = "t
     kept = ScratchTable(first.select(F.col("least.id").alias(key)), "forest-kept")
     for table in (groups, named):
         table.drop()
+    # The result reads the dealt rows themselves, as another copy of all texts would cost more.
     return rows.df.join(kept.df, F.col(row) == F.col(key), "left_semi").select(*docs.columns)
