@@ -224,7 +224,8 @@ def _meet(plan: Forest):
     """Outsiders of a dense region against a block of its classes, by whole signatures.
 
     Gives, per outsider with any, the classes it may be linked with: those that share enough
-    values, lie in another component and have no earlier tree's region in common with it.
+    values, lie in another component and have no earlier tree's region in common with it.  A
+    last row, without an outsider, names all classes that any of these pairs has.
     """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -247,9 +248,14 @@ def _meet(plan: Forest):
                 good &= ~np.logical_and.reduce([values[own][:, [c]] == values[to][:, c] for c in at])
         hits = np.flatnonzero(good.any(axis=1))
         found = [ids[to[np.flatnonzero(good[k])]] for k in hits]
+        who = [*ids[own[hits]].tolist()]
+        if found:
+            # Each class of the block whose text the tests need, once, however many pairs it is in.
+            found.append(np.unique(np.concatenate([*found, ids[own[hits]]])))
+            who.append(None)
         columns = [
-            pa.array([region] * len(hits), pa.binary()), pa.array([x] * len(hits), pa.int32()), pa.array([y] * len(hits), pa.int32()),
-            pa.array(ids[own[hits]], pa.int64()), pa.array(found, pa.list_(pa.int64())),
+            pa.array([region] * len(who), pa.binary()), pa.array([x] * len(who), pa.int32()), pa.array([y] * len(who), pa.int32()),
+            pa.array(who, pa.int64()), pa.array(found, pa.list_(pa.int64())),
         ]
         return pa.table(columns, ["region", "x", "y", "a", "bs"])
 
@@ -321,13 +327,12 @@ def dense_links(texts: DataFrame, members: DataFrame, plan: Forest) -> ScratchTa
     schema = "region binary, x int, y int, a bigint, bs array<bigint>"
     pairs = ScratchTable(met.groupBy("region", "x", "y").applyInArrow(_meet(plan), schema), "forest-met")
     block = ["region", "x", "y"]
-    there = pairs.df.select(*block, F.col("a").alias("id")).unionAll(pairs.df.select(*block, F.explode("bs").alias("id"))).distinct()
-    there = ScratchTable(there, "forest-there")
+    there = ScratchTable(pairs.df.where("a IS NULL").select(*block, F.explode("bs").alias("id")), "forest-there")
     known = members.select("id", "component").join(there.df.select("id").distinct(), "id", "left_semi")
     body = ScratchTable(texts.join(known, "id"), "forest-bodies")
     brought = there.df.join(body.df, "id")
     linked = ScratchTable(
-        pairs.df.groupBy(*block).cogroup(brought.groupBy(*block)).applyInArrow(_link(plan), "ca bigint, cb bigint"), "forest-dense-links"
+        pairs.df.where("a IS NOT NULL").groupBy(*block).cogroup(brought.groupBy(*block)).applyInArrow(_link(plan), "ca bigint, cb bigint"), "forest-dense-links"
     )
     for table in (dense, pairs, there, body):
         table.drop()
