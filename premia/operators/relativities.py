@@ -139,7 +139,11 @@ def relativities_at(versions: DataFrame, version: int) -> DataFrame:
 
 
 def diff_versions(versions: DataFrame, v1: int, v2: int) -> DataFrame:
-    """Rows whose relativity differs between two versions, or that only one has."""
+    """Rows whose relativity differs between two versions, or that only one has.
+
+    Values are compared exactly, so versions that come from sums must have been written:
+    a plan run once for each side may give the same sum with other last digits.
+    """
     a = relativities_at(versions, v1).alias("a")
     b = relativities_at(versions, v2).alias("b")
     old, new = F.col("a.relativity"), F.col("b.relativity")

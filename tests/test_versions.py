@@ -10,6 +10,7 @@ from premia.operators.ratemodel import RateModel
 from premia.operators.ratetable import generate_all_ratetables, ratetable
 from premia.operators.relativities import RELATIVITY_SCHEMA, apply_edits
 from premia.operators.versions import VersionStore, version_totals
+from workload.ratings import one_way_relativities
 
 EDITS = "variable string, from_d double, to_d double, level string, new_relativity double, step int"
 
@@ -112,3 +113,9 @@ def test_relativities_under_the_log_link_read_no_data(spark, data, tmp_path, fam
     assert {(r["variable"], r["ord"]): r["relativity"] for r in bare.collect()} == pytest.approx(full)
     one = ratetable(model, read, "k", ["a", "b"], include_raw=False)
     assert "parquet" not in one._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_versions_are_written(spark, sf_dir):
+    """Both sides of a diff read the same doubles, instead of summing them once for each side."""
+    rows = one_way_relativities(spark, sf_dir)
+    assert rows.inputFiles() and not any("lineitem" in f for f in rows.inputFiles())

@@ -19,7 +19,7 @@ from premia.operators.relativities import (
     relativity_rows,
     signal_variables,
 )
-from premia.session import scratch_path
+from premia.session import ScratchTable, scratch_path
 from premia.sources.tariff_json import read_tariff, read_tariff_tables, write_tariff
 from premia.streaming.scoring import read_stream, score_stream, write_scored
 from workload.binning import KEYS, KEYS_SQL
@@ -273,15 +273,17 @@ o AS (SELECT 'segment' AS variable, segment AS level, sum(ClaimNb) / sum(Exposur
 
 
 def one_way_relativities(spark, sf):
-    data = pf(spark, sf)
-    total = data.agg(F.sum("ClaimNb") / F.sum("Exposure")).scalar()
+    """Written, not planned: sums of doubles differ in their last digits from one run of a plan to the next."""
+    sums = [F.sum(c).alias(c) for c in ("ClaimNb", "Exposure")]
+    cells = ScratchTable(pf(spark, sf).groupBy("segment", "priority").agg(*sums), "one-way-cells").df
+    total = cells.agg(F.sum("ClaimNb") / F.sum("Exposure")).scalar()
     parts = []
     for v in ("segment", "priority"):
         rate = (F.sum("ClaimNb") / F.sum("Exposure")).alias("rate")
-        parts.append(data.groupBy(F.lit(v).alias("variable"), column(v).alias("level")).agg(rate))
+        parts.append(cells.groupBy(F.lit(v).alias("variable"), column(v).alias("level")).agg(rate))
     rows = parts[0].unionByName(parts[1])
     null = F.lit(None).cast("double")
-    return rows.select(
+    rated = rows.select(
         "variable",
         F.lit("categorical").alias("kind"),
         F.lit(0).alias("ord"),
@@ -290,6 +292,7 @@ def one_way_relativities(spark, sf):
         "level",
         (F.col("rate") / total).alias("relativity"),
     )
+    return ScratchTable(rated, "one-way").df
 
 
 EDITS = [("segment", "BUILDING", 1.25), ("priority", "1-URGENT", 0.9), ("segment", "SHIPS", 2.0)]
