@@ -14,7 +14,7 @@ from premia.plans.compare import METHODS, compare_methods
 from premia.plans.pipeline import PricingPipeline
 from premia.session import scratch_path
 from workload.binning import KEYS, KEYS_SQL, quantile_sql
-from workload.registry import pf, query, r, rs, with_pf
+from workload.registry import pf, pf_once, query, r, rs, with_pf
 from workload.tariffs import EFFECTS, effects_model, eta_sql
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -34,6 +34,13 @@ def roles(family):
     return {"weight_col": weight, "divide_target_by_weight": divide}
 
 
+def fit_rows(spark, sf, family, predictors, *more):
+    """What a fit reads of the portfolio, written once."""
+    target, weight, _ = ROLES[family]
+    needed = [*predictors, target, *([weight] if weight else []), "traintest", *more]
+    return pf_once(spark, sf, *dict.fromkeys(needed))
+
+
 def sums_sql(family) -> tuple[str, str]:
     """Sum of w*y and of w over rows of ``pf``."""
     target, weight, divide = ROLES[family]
@@ -53,7 +60,7 @@ def _saturated(family):
         ),
     )
     def run(spark, sf):
-        data = pf(spark, sf)
+        data = fit_rows(spark, sf, family, ["segment"])
         model = fit_glm(
             data, ROLES[family][0], family, ["segment"], SEGMENT_PLAN, use_cv=False, alpha=0.0,
             drop_first=True, **roles(family),
@@ -76,7 +83,7 @@ def _null_model(family):
         ),
     )
     def run(spark, sf):
-        data = pf(spark, sf)
+        data = fit_rows(spark, sf, family, ["segment", "discount", "p_size"])
         plan = generate_blueprint(data.where("traintest = 1"), ["segment", "discount", "p_size"])
         names = list(plan)
         top = alpha_max(data, ROLES[family][0], family, names, plan, **roles(family))
@@ -106,7 +113,7 @@ def _balance(family):
         with_pf(f"SELECT {rs(total, digits)} AS balance FROM pf WHERE traintest = 1"),
     )
     def run(spark, sf):
-        data = pf(spark, sf)
+        data = fit_rows(spark, sf, family, ["segment", "discount", "p_size", "brand"])
         target, weight, divide = ROLES[family]
         train = data.where("traintest = 1")
         plan = generate_blueprint(train, ["segment", "discount", "p_size", "brand"])
@@ -140,7 +147,7 @@ _L1, _ALPHA = 0.5, 40.0
 )
 def m1_soft(spark, sf):
     model = fit_glm(
-        pf(spark, sf), "margin", "gaussian", ["segment"], SEGMENT_PLAN, weight_col="Exposure",
+        fit_rows(spark, sf, "gaussian", ["segment"], "Exposure"), "margin", "gaussian", ["segment"], SEGMENT_PLAN, weight_col="Exposure",
         use_cv=False, alpha=_ALPHA, l1_ratio=_L1,
         cv_params={"fit_intercept": False, "scale_predictors": False},
     )
@@ -156,7 +163,7 @@ KKT_VARIABLES = ["discount", "p_size"]
 
 def kkt_violations(spark, sf, family, l1_ratio, alpha_share):
     """Optimality of a fit, checked on raw rows and wide indicator columns."""
-    data = pf(spark, sf)
+    data = fit_rows(spark, sf, family, KKT_VARIABLES)
     target, weight, divide = ROLES[family]
     train = data.where("traintest = 1")
     plan = generate_blueprint(train, KKT_VARIABLES)
@@ -241,7 +248,7 @@ def m3_default(spark, sf):
 
 
 def _cross_validated(spark, sf, cv_params):
-    data = pf(spark, sf)
+    data = fit_rows(spark, sf, "gamma", ["segment", "discount"])
     plan = generate_blueprint(data.where("traintest = 1"), ["segment", "discount"])
     model = fit_glm(data, "severity", "gamma", list(plan), plan, cv_params=cv_params)
     grid = model.grid_table(spark)
@@ -263,7 +270,7 @@ def _cross_validated(spark, sf, cv_params):
 
 @query("m3_grid")
 def m3_grid(spark, sf):
-    data = pf(spark, sf)
+    data = fit_rows(spark, sf, "poisson", ["segment", "discount"])
     plan = generate_blueprint(data.where("traintest = 1"), ["segment", "discount"])
     model = fit_glm(
         data, "ClaimNb", "poisson", list(plan), plan, weight_col="Exposure",
@@ -302,7 +309,7 @@ def m4(spark, sf):
         {"discount": [0.02, 0.05], "p_size": [10, 30], "segment": list(SEGMENTS)}
     )
     found = alpha_max(
-        pf(spark, sf), "ClaimNb", "poisson", list(plan), plan, weight_col="Exposure",
+        fit_rows(spark, sf, "poisson", list(plan)), "ClaimNb", "poisson", list(plan), plan, weight_col="Exposure",
         divide_target_by_weight=True, l1_ratio=0.5,
     )
     return found.where(~F.col("feature").endswith("[Other]")).withColumns(
@@ -354,7 +361,7 @@ PREDICTORS = ["discount", "p_size", "segment"]
 def small_pipeline(data, **options):
     return PricingPipeline.fit(
         data, "ClaimNb", "Poisson", PREDICTORS, weight_col="Exposure",
-        divide_target_by_weight=True, base_rate=0.1, materialize=True,
+        divide_target_by_weight=True, base_rate=0.1,
         **{"use_cv": False, **options},
     )
 
@@ -364,7 +371,7 @@ def small_pipeline(data, **options):
     with_pf("SELECT segment, count(*)::BIGINT AS n, 0.0::DOUBLE AS largest_gap FROM pf GROUP BY 1"),
 )
 def m7(spark, sf):
-    data = pf(spark, sf)
+    data = fit_rows(spark, sf, "poisson", PREDICTORS)
     whole = small_pipeline(data)
     plan = generate_blueprint(data.where("traintest = 1"), PREDICTORS)
     wide = prepare_data(
@@ -394,7 +401,7 @@ def m7(spark, sf):
     ),
 )
 def m8(spark, sf):
-    model = small_pipeline(pf(spark, sf)).model
+    model = small_pipeline(fit_rows(spark, sf, "poisson", PREDICTORS)).model
     return model.coefficients(spark).groupBy("variable").agg(
         F.count(F.lit(1)).alias("n_params")
     )
@@ -407,7 +414,7 @@ def m8(spark, sf):
 )
 def p16(spark, sf):
     """Every column of the prepared table but target, flag and weight."""
-    table = pf(spark, sf).select("discount", "p_size", "segment", "ClaimNb", "traintest", "Exposure")
+    table = fit_rows(spark, sf, "poisson", PREDICTORS)
     model = fit_lasso_glm(
         table, "ClaimNb", "traintest", "Poisson", "Exposure", use_cv=False
     )
@@ -421,7 +428,7 @@ def p16(spark, sf):
     3 AS num_variables, 1 AS snapshots FROM lineitem LIMIT 1""",
 )
 def m9(spark, sf):
-    table = small_pipeline(pf(spark, sf)).summary_table(spark)
+    table = small_pipeline(fit_rows(spark, sf, "poisson", PREDICTORS)).summary_table(spark)
     return table.withColumn("predictors", F.concat_ws(",", "predictors"))
 
 
@@ -430,7 +437,7 @@ def m9(spark, sf):
     with_pf("SELECT segment, count(*)::BIGINT AS n, 0.0::DOUBLE AS largest_gap FROM pf GROUP BY 1"),
 )
 def s6(spark, sf):
-    data = pf(spark, sf)
+    data = fit_rows(spark, sf, "poisson", PREDICTORS)
     saved = small_pipeline(data)
     path = scratch_path(spark, "pipeline")
     saved.save(spark, path)

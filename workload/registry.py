@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premia.plans.portfolio import portfolio
+from premia.session import ScratchTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,11 @@ def pf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio(spark, sf_dir)
 
 
+def pf_once(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
+    """Columns of the portfolio for a query that reads them several times: its joins run once."""
+    return ScratchTable(pf(spark, sf_dir).select(*columns), "portfolio").df
+
+
 def r(x: Column | str, digits: int = 6) -> Column:
     """Rounded for comparison, without a negative zero."""
     x = F.col(x) if isinstance(x, str) else x

@@ -13,7 +13,7 @@ from premia.operators.evaluate import (
     overall_ratio,
     ratio_by_group,
 )
-from workload.registry import pf, query, r, rs, with_pf
+from workload.registry import pf, pf_once, query, r, rs, with_pf
 from workload.tariffs import (
     DISCOUNT,
     SEGMENT,
@@ -176,7 +176,8 @@ _DECILES = ", ".join(f"{i / 10}" for i in range(1, 10))
     ),
 )
 def a8(spark, sf):
-    scored = tariff().predict(pf(spark, sf))
+    data = pf_once(spark, sf, "discount", "p_size", "segment", "price", "ClaimNb", "Exposure")
+    scored = tariff().predict(data)
     out = ratio_by_group(scored, "price", "ClaimNb", "prediction", "Exposure")
     return out.select(
         "grouping", r("actual").alias("actual"), r("expected").alias("expected"),
