@@ -62,6 +62,7 @@ def _check(model: RateModel, df: DataFrame, formula: str, other: str) -> str:
 def _bin_sums(
     model: RateModel,
     scored: DataFrame,
+    places: dict[str, Column],
     variables: Sequence[str],
     predictions: Sequence[str],
     other: str,
@@ -75,7 +76,6 @@ def _bin_sums(
     weighted = bool(meta.weight_col) and meta.weight_col in scored.columns
     flagged = bool(meta.train_test_col) and meta.train_test_col in scored.columns
     weight = F.col("__w") if weighted else None
-    scored, places = model.placed(scored, variables)
     pairs = [x for i, v in enumerate(variables) for x in (F.lit(i), places[v])]
     flag = column(meta.train_test_col) if flagged else F.lit(None)
     base = scored.select(
@@ -153,8 +153,8 @@ def actual_expected(
     """
     _check(model, df, formula, other)
     variables = list(variables) if variables is not None else list(model.variables)
-    scored = model.predict(df, on_null=on_null, output_col="__pred")
-    total, subsets, weighted = _bin_sums(model, scored, variables, ["__pred"], other)
+    scored, places = model.predict_placed(df, variables, on_null=on_null, output_col="__pred")
+    total, subsets, weighted = _bin_sums(model, scored, places, variables, ["__pred"], other)
     zero = F.lit(0.0)
     exposure = F.col("sw" if weighted else "n").cast("double")
     return (
@@ -197,9 +197,9 @@ def compare_actual_expected(
     """
     _check(base, df, formula, other)
     variables = list(variables) if variables is not None else list(base.variables)
-    scored = base.predict(df, on_null=on_null, output_col="__base")
+    scored, places = base.predict_placed(df, variables, on_null=on_null, output_col="__base")
     scored = revised.predict(scored, on_null=on_null, output_col="__revised")
-    total, subsets, weighted = _bin_sums(base, scored, variables, ["__base", "__revised"], other)
+    total, subsets, weighted = _bin_sums(base, scored, places, variables, ["__base", "__revised"], other)
     shown = "train" if "train" in subsets else "all"
     zero = F.lit(0.0)
     return (

@@ -22,7 +22,7 @@ from premia.session import ScratchTable, scratch_path
 from workload.binning import quantile_sql
 from workload.models import ROLES, SEGMENT_PLAN, roles
 from workload.ratings import ONE_WAY_SQL, one_way_relativities
-from workload.registry import pf, query, r, rs, with_pf
+from workload.registry import pf, pf_once, query, r, rs, with_pf
 from workload.scans import _FLAG
 from workload.tariffs import effects_model, eta_sql
 
@@ -38,9 +38,10 @@ rates AS (SELECT part, avg(severity) / any_value(overall) AS rel FROM keyed, see
 OTHER_PART = 0.75
 
 
-def _parts(spark, sf):
+def _parts(spark, sf, *columns):
     part = F.when(F.col("l_orderkey") % 17 != 0, F.col("l_partkey").cast("string"))
-    return pf(spark, sf).withColumn("part", part)
+    needed = dict.fromkeys(["l_partkey", "traintest", "severity", *columns])
+    return pf_once(spark, sf, *needed, part.alias("part"))
 
 
 def _part_tariff(data) -> RateModel:
@@ -69,7 +70,7 @@ def _part_tariff(data) -> RateModel:
     ),
 )
 def j1_many(spark, sf):
-    data = _parts(spark, sf)
+    data = _parts(spark, sf, "l_orderkey", "l_linenumber")
     model = _part_tariff(data)
     return model.predict(data, exposure_col=None).select(
         "l_orderkey", "l_linenumber", "part", r(F.col("prediction") / 100).alias("relativity")
@@ -84,9 +85,9 @@ def j1_many(spark, sf):
     ),
 )
 def r7_many(spark, sf):
-    data = _parts(spark, sf)
+    data = _parts(spark, sf, "segment", "Exposure")
     model = _part_tariff(data)
-    scored, places = model.placed(model.predict(data), ["part"])
+    scored, places = model.predict_placed(data, ["part"])
     last = model.variables["part"].last
     return scored.groupBy("segment").agg(
         r(F.sum("prediction"), 2).alias("premium"), F.count_if(places["part"] == last).alias("n_other")
@@ -103,7 +104,7 @@ def r7_many(spark, sf):
     ),
 )
 def a5_many(spark, sf):
-    data = _parts(spark, sf)
+    data = _parts(spark, sf, "Exposure")
     report = actual_expected(_part_tariff(data), data, ["part"], "sum_over_weight").where("subset = 'all'")
     return report.select("level", r("actual", 3).alias("actual"), r("expected", 3).alias("expected"), r("exposure").alias("exposure"))
 
@@ -116,7 +117,7 @@ def a5_many(spark, sf):
     ),
 )
 def p11_zero(spark, sf):
-    data = pf(spark, sf).withColumn("part", F.col("l_partkey").cast("string"))
+    data = pf_once(spark, sf, F.col("l_partkey").cast("string").alias("part"), "traintest")
     plan = generate_blueprint(data.where("traintest = 1"), ["part"], threshold=0.0)
     return plan.to_dataframe(spark).drop("break")
 
@@ -130,7 +131,7 @@ def p11_zero(spark, sf):
     ),
 )
 def p12_many(spark, sf):
-    data = pf(spark, sf).withColumn("part", F.col("l_partkey").cast("string"))
+    data = pf_once(spark, sf, F.col("l_partkey").cast("string").alias("part"), "l_partkey", "traintest")
     plan = generate_blueprint(data.where("traintest = 1 AND l_partkey % 3 <> 0"), ["part"], threshold=0.0)
     bins = prepare_data(["part"], df=data, formats=plan, encoding="bins")
     return bins.groupBy("part_bin").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -249,7 +250,9 @@ def _held_out_sql(family: str) -> str:
 )
 def m3_held_out(spark, sf):
     """Without a penalty one factor's fits are its means by level, so every fold has a closed form."""
-    data = pf(spark, sf).withColumn("fold", hash32(F.col("l_linenumber"), F.col("l_orderkey")) % FOLDS)
+    needed = dict.fromkeys(["segment", "traintest", *[c for target, weight, _ in ROLES.values() for c in (target, weight) if c]])
+    fold = hash32(F.col("l_linenumber"), F.col("l_orderkey")) % FOLDS
+    data = pf_once(spark, sf, *needed, fold.alias("fold"))
     out = None
     for family in ROLES:
         model = fit_glm(
