@@ -79,6 +79,11 @@ def aggregate_cells(
 def _compresses(rows: DataFrame, names: Sequence[str], possible: int, raws: bool) -> bool:
     if not raws and possible <= FEW_CELLS:
         return True
+    return compresses(rows, names)
+
+
+def compresses(rows: DataFrame, names: Sequence[str]) -> bool:
+    """Whether summing rows by ``names`` saves enough of them, by an estimate in a pass without shuffle."""
     seen = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.approx_count_distinct(F.xxhash64(*names)).alias("cells"),

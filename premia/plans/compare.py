@@ -16,9 +16,10 @@ from premia.functions.loss import clip_prediction, family_name, metric_aggregate
 from premia.functions.names import column
 from premia.functions.split import HOLDOUT_FLAG, TRAIN_FLAG
 from premia.operators.blueprint import Blueprint, VariablePlan, level_counts, level_plans
+from premia.operators.cells import compresses
 from premia.operators.glm import fit_glm
 from premia.operators.prepare import with_bins
-from premia.session import ScratchTable, local_table
+from premia.session import ScratchTable, local_table, scratch_root
 
 # The settings of the tree method.
 GBT_ITERATIONS = 500
@@ -33,10 +34,30 @@ REPORT_SCHEMA = (
 METHODS = ("elastic net (no CV)", "elastic net (CV)", "GLM", "boosted trees")
 
 
-def _vectors(df: DataFrame, numeric, plans: Blueprint, target, weight) -> DataFrame:
+def _summed(rows: DataFrame) -> DataFrame:
+    """Rows of equal features as one, of their total weight and weighted mean label.
+
+    Likelihoods of one mean, and squared error up to a constant, know no more of them.  Rows that
+    would hardly compress stay as they are; a null label or weight stays one and fails as before.
+    """
+    keys = [c for c in rows.columns if c not in ("label", "weight")]
+    if not compresses(rows, keys):
+        return rows
+    label, weight = F.col("label"), F.col("weight")
+    mean = F.coalesce(F.try_divide(F.sum(weight * label), F.sum(weight)), F.avg(label))
+    parts = rows.groupBy(*keys, (label + weight).isNull().alias("__null"))
+    return parts.agg(mean.alias("__label"), F.sum(weight).alias("__weight")).select(
+        F.when(~F.col("__null"), F.col("__label")).alias("label"),
+        F.when(~F.col("__null"), F.col("__weight")).alias("weight"),
+        *keys,
+    )
+
+
+def _vectors(df: DataFrame, numeric, plans: Blueprint, target, weight, summed: bool) -> DataFrame:
     """Numbers and one-hot texts without their first level, as one sparse vector.
 
     A level's position comes from its plan, so many levels cost a lookup and no expression.
+    ``summed`` lets rows of equal features become one.
     """
     df, bins = with_bins(df, list(plans), plans)
     numbers = [column(c).cast("double").alias(f"n{i}") for i, c in enumerate(numeric)]
@@ -51,6 +72,8 @@ def _vectors(df: DataFrame, numeric, plans: Blueprint, target, weight) -> DataFr
         *numbers,
         *places,
     )
+    if summed:
+        named = _summed(named)
     sized = [i for i, c in enumerate(bins) if plans[c].size > 2]
     for i, c in enumerate(bins):
         # The position's metadata says how many there are, so the encoder needs no pass over the data.
@@ -115,7 +138,9 @@ def compare_methods(
         """Written on first use and shared by the methods, which read it many times."""
         if which not in made:
             rows = train if which == "train" else test
-            made[which] = ScratchTable(_vectors(rows, numeric, plans, target, weight_col), f"vectors-{which}")
+            made[which] = ScratchTable(
+                _vectors(rows, numeric, plans, target, weight_col, summed=which == "train"), f"vectors-{which}"
+            )
         return made[which].df
 
     train_vectors, test_vectors = (lambda: vectors("train")), (lambda: vectors("test"))
@@ -147,6 +172,9 @@ def compare_methods(
 
     def trees():
         start = time.perf_counter()
+        # Each tree starts from the errors of those before; without checkpoints their history grows with every tree.
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(scratch_root(spark))
         model = GBTRegressor(
             maxIter=gbt_iterations, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, seed=GBT_SEED,
             weightCol="weight",
