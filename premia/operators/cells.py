@@ -49,12 +49,14 @@ def aggregate_cells(
     family: str,
     fold: Column | None = None,
     sizes: Sequence[int] | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """``(fold, b0.., r0.., sw, swy, swh, n)``: the sums each cell contributes.
 
     ``sizes`` are the numbers of bins.  Where they allow more cells than can be taken
     for few, the distinct ones are estimated in a pass without shuffle, and rows that
-    would hardly compress stay as they are instead of being shuffled for nothing.
+    would hardly compress stay as they are instead of being shuffled for nothing.  With ``once``,
+    for a single pass, they stay without that look.
     """
     keys = [(fold if fold is not None else F.lit(0)).cast("int").alias("fold")]
     keys += [c.cast("int").alias(f"b{i}") for i, c in enumerate(bins.values())]
@@ -63,7 +65,7 @@ def aggregate_cells(
     names = rows.columns[: len(keys)]
     y, w = F.col("y"), F.col("w")
     constant = w * deviance_constant(y, family)
-    if sizes is not None and not _compresses(rows, names, math.prod(sizes), bool(raws)):
+    if sizes is not None and (many_cells(sizes, raws) if once else not _compresses(rows, names, math.prod(sizes), bool(raws))):
         return rows.select(
             *names, w.alias("sw"), (w * y).alias("swy"), constant.alias("swh"),
             F.lit(1).cast("bigint").alias("n"),
@@ -76,6 +78,10 @@ def aggregate_cells(
     )
 
 
+def many_cells(sizes: Sequence[int], raws) -> bool:
+    return bool(raws) or math.prod(sizes) > FEW_CELLS
+
+
 def _compresses(rows: DataFrame, names: Sequence[str], possible: int, raws: bool) -> bool:
     if not raws and possible <= FEW_CELLS:
         return True
@@ -108,9 +114,14 @@ def task_count(n_cells: int, cores: int) -> int:
 class CellTable:
     """Cells written to the shared folder and cached for the passes of one fit."""
 
-    scratch: ScratchTable
+    scratch: ScratchTable | None
     df: DataFrame
-    n_cells: int
+    n_cells: int | None
+
+    @classmethod
+    def unwritten(cls, cells: DataFrame) -> CellTable:
+        """For one pass only, which need neither be written nor counted before."""
+        return cls(None, cells, None)
 
     @classmethod
     def build(cls, cells: DataFrame) -> CellTable:
@@ -128,5 +139,7 @@ class CellTable:
         return cls(scratch, df.persist(StorageLevel.MEMORY_AND_DISK), n)
 
     def close(self) -> None:
+        if self.scratch is None:
+            return
         self.df.unpersist()
         self.scratch.drop()

@@ -27,7 +27,7 @@ from premia.functions.names import column
 from premia.functions.split import TRAIN_FLAG
 from premia.operators import kernels
 from premia.operators.blueprint import Blueprint, VariablePlan, as_blueprint, level_counts, level_plans
-from premia.operators.cells import CellTable, aggregate_cells
+from premia.operators.cells import CellTable, aggregate_cells, many_cells
 from premia.operators.levels import CASE_LEVELS, LEVEL_SCHEMA, LevelTable, Lookup, attach
 from premia.operators.prepare import fill_nulls, mean_aggregates, mean_values, with_bins
 from premia.operators.solver import kkt_gap, solve_quadratics
@@ -858,7 +858,10 @@ def alpha_max(
     train, bins = with_bins(train, predictors, model, means)
     # The null model needs no matrix, so the design by ranges does for any width.
     design = RangeDesign(model, predictors, [])
-    cells = CellTable.build(aggregate_cells(train, bins, {}, y, w, family, sizes=design.layout.sizes))
+    sizes = design.layout.sizes
+    # One pass is all it takes, so rows of many possible cells are read as they are.
+    made = CellTable.unwritten if many_cells(sizes, ()) else CellTable.build
+    cells = made(aggregate_cells(train, bins, {}, y, w, family, sizes=sizes, once=True))
     try:
         gradient = WideFitter(CellPasses(cells, design, family, 1)).null_gradient()
     finally:

@@ -168,8 +168,9 @@ def _optimality(family: str, l1_ratio: float, share: float):
     )
     def run(spark, sf):
         # Read several times, so the joins behind it run once.
-        data = ScratchTable(_wide(spark, sf), "wide").df
         target, weight, divide = ROLES[family]
+        needed = dict.fromkeys([*WIDE, target, *([weight] if weight else []), "traintest"])
+        data = ScratchTable(_wide(spark, sf).select(*needed), "wide").df
         plan = generate_blueprint(data.where("traintest = 1"), WIDE, threshold=0.0)
         top = alpha_max(data, target, family, WIDE, plan, **roles(family)).agg(F.max("alpha")).first()[0]
         alpha = top * share
@@ -180,23 +181,26 @@ def _optimality(family: str, l1_ratio: float, share: float):
         y = F.col(target) / w if divide else F.col(target)
         slope = 1 / F.col("fitted") if family == "gamma" else F.lit(1.0)
         scored = model.predict(data.where("traintest = 1"), "fitted").withColumns({"w": w, "resid": w * (y - F.col("fitted")) * slope})
-        scored = ScratchTable(scored.select(*WIDE, "w", "resid"), "wide-scored").df
-        found = {v: [0, 0] for v in WIDE}
-        sums = {}
-        # A handful of predictors at a time: 600 indicator columns at once are more than one generated method takes.
-        for i in range(0, len(WIDE), 4):
-            names = [f for f in model.features if f.variable in WIDE[i : i + 4]]
-            own = [v for v in WIDE[i : i + 4] if plan[v].kind == "numeric"]
-            texts = {f.name: f for f in names if plan[f.variable].kind == "categorical"}
-            wide = prepare_data(own, ["w", "resid", "segment", "brand"], df=scored, formats=plan)
-            one = {
-                f.name: F.when(column(f.variable) == f.name[len(f.variable) + 8 : -1], 1.0).otherwise(0.0) if f.name in texts else column(f.name)
-                for f in names
-            }
-            parts = [x for k, f in enumerate(names) for x in (
-                F.sum(F.col("resid") * one[f.name]).alias(f"g{k}"), F.sum(F.col("w") * one[f.name]).alias(f"m{k}"))]
-            row = wide.agg(F.sum("w").alias("w"), *parts).first()
-            sums.update({f.name: (row[f"g{k}"] / row["w"], row[f"m{k}"] / row["w"]) for k, f in enumerate(names)})
+        # Sums per predictor and raw value, in one pass; a feature is the sum of the values it holds.
+        own = {v: plan[v].kind == "numeric" for v in WIDE}
+        triples = [
+            x for v in WIDE for x in (F.lit(v), column(v).cast("double") if own[v] else F.lit(None).cast("double"),
+                                      F.lit(None).cast("string") if own[v] else column(v))
+        ]
+        long = scored.select("w", "resid", F.stack(F.lit(len(WIDE)), *triples).alias("variable", "x", "level"))
+        by_value: dict[str, list] = {v: [] for v in WIDE}
+        for row in long.groupBy("variable", "x", "level").agg(F.sum("w").alias("w"), F.sum("resid").alias("resid")).collect():
+            by_value[row["variable"]].append(row)
+        total = sum(row["w"] for row in by_value[WIDE[0]])
+        found, sums = {v: [0, 0] for v in WIDE}, {}
+        for v in WIDE:
+            names = [f.name for f in model.features if f.variable == v]
+            for k, name in enumerate(names):
+                held = [
+                    row for row in by_value[v]
+                    if (row["x"] is not None and row["x"] < plan[v].breaks[k] if own[v] else row["level"] == name[len(v) + 8 : -1])
+                ]
+                sums[name] = (sum(row["resid"] for row in held) / total, sum(row["w"] for row in held) / total)
         for f, b in zip(model.features, model.coef):
             found[f.variable][0] += 1
             g, m = sums[f.name]
