@@ -1,12 +1,17 @@
 """A Brown class model: words in classes, class bigrams and words given their class.
 
-Counts of all words and of all pairs of neighbours in the training documents are made by
-Spark and written.  The ``core`` most frequent words start in classes by exchange clustering;
-the first round gives each other word the class that raises the likelihood of class bigrams
-most, and ``rounds`` more let words of all ranks move, half of them at a time.  A round joins
-the table of words and classes to the pairs, so that each word has its neighbours' counts by
-class, and finds the best moves in tasks; the table of greatest likelihood is used.  Words
-that training text does not have are one class more.
+Counts of all words are made by Spark and written.  The ``core`` most frequent words start in
+classes by exchange clustering; the first round gives each other word the class that raises the
+likelihood of class bigrams most, and ``rounds`` more let words of all ranks move, half of them
+at a time; the classes of greatest likelihood are used.  Words that training text does not have
+are one class more.
+
+Pairs of neighbours are counted in the tasks that read the texts and dealt out once, by their
+words other than the ``head`` most frequent, into parts; a part's words and their neighbours are
+a row of arrays.  In a round, each part sends the classes of its words to the parts of their
+neighbours (one number per pair; both sides have their pairs in the same order, so no word is
+sent again), and adds up which classes the frequent words stand next to.  The frequent words
+themselves, of which there are never more than ``head``, move on the driver.
 
 Classes of the ``head`` most frequent words are looked up in tasks, those of all others in
 joins; the result does not depend on which.  The driver holds these words and class bigrams.
@@ -21,6 +26,7 @@ training tokens the scores are those of unknown words; an empty table gives an e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from premia.llm.spread import Dealt
 from premia.llm.tables import release, text_of, written
-from premia.llm.text import U64, Lookup, mix, word_blocks
-from premia.session import ScratchTable
+from premia.llm.text import U64, Lookup, buffers, mix, word_blocks
+from premia.session import ScratchTable, local_table
 
 END = np.array([0x5EED0FE4D0F7E875], U64)
 PAD = 0.1
@@ -59,46 +66,134 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (word, next word); an end stands before each text."""
-    for batch in batches:
-        for _, _, words, _ in _sequences(batch.column(0)):
-            before = np.append(END, words[:-1])
-            _, first, n = np.unique(mix(before) + words, return_index=True, return_counts=True)
-            pair = [pa.array(x[first].view(np.int64)) for x in (before, words)]
-            yield pa.RecordBatch.from_arrays([*pair, pa.array(n.astype(np.int64))], ["a", "b", "n"])
-
-
-def _placed(keys: np.ndarray):
-    """Pairs with the positions of both words in a list, -1 where they are not in it."""
+#: Occurrences of words in a part, about, and parts that small tables are dealt into nevertheless.
+PART_TOKENS, FEW_TOKENS, FEW_PARTS = 1 << 19, 1 << 15, 32
+#: Tokens whose neighbours a task counts together.
+TOKENS = 1 << 20
+#: Partial counts that are added at once.
+FAN = 8
+#: Kinds of rows: pairs of two frequent words, a word beside a frequent one, two other words by
+#: the first and by the second, and a word beside itself.
+HEADS, MIXED, FIRST, SECOND, SAME = range(5)
+_ROW = "part int, what int, a binary, b binary, n binary"
+_ROW_NAMES = ["part", "what", "a", "b", "n"]
+
+
+def _summed(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of some columns in order, with the sums of ``n``."""
+    if not len(n):
+        return columns, n
+    order = np.lexsort(columns[::-1])
+    columns, n = [c[order] for c in columns], n[order]
+    new = np.ones(len(n), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns], np.add.reduceat(n, first)
+
+
+def _near(keys: np.ndarray, parts: int):
+    """Counts of neighbours by part; an end stands before each text."""
+
+    def counted(find: Lookup, words: np.ndarray) -> pa.RecordBatch:
+        rows = []
+
+        def send(what: int, part: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
+            order = np.argsort(part, kind="stable")
+            part, a, b, n = part[order], a[order], b[order], n[order].astype(np.int32)
+            edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else [0]
+            for i, j in zip(edge, edge[1:]):
+                rows.append((int(part[i]), what, a[i:j].tobytes(), b[i:j].tobytes(), n[i:j].tobytes()))
+
+        def distinct(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            return *(c[first] for c in columns), n
+
+        of = lambda h: (h % U64(parts)).astype(np.int64)
+        bt = find(words).astype(np.int64)
+        a, at, b = np.append(END, words[:-1]), np.append(find(END), bt[:-1]).astype(np.int64), words
+        both = (at >= 0) & (bt >= 0)
+        code, n = np.unique(at[both] * len(keys) + bt[both], return_counts=True)
+        if len(n):
+            rows.append((int(np.bitwise_xor.reduce(words) % U64(parts)), HEADS, code.tobytes(), b"", n.astype(np.int32).tobytes()))
+        after, ahead = (at < 0) & (bt >= 0), (at >= 0) & (bt < 0)
+        own = np.concatenate([a[after], b[ahead]])
+        code = np.concatenate([bt[after] * 2, at[ahead] * 2 + 1])
+        own, code, n = distinct(mix(own) + code.astype(U64), own, code)
+        send(MIXED, of(own), own, code.astype(np.int32), n)
+        other = (at < 0) & (bt < 0)
+        a, b, n = distinct(mix(a[other]) + b[other], a[other], b[other])
+        same = a == b
+        for what, use, own in ((SAME, same, a), (FIRST, ~same, a), (SECOND, ~same, b)):
+            send(what, of(own[use]), a[use], b[use], n[use])
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], _ROW_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Lookup(keys)
         for batch in batches:
-            at = [pa.array(find(batch.column(k).to_numpy().view(U64)).astype(np.int32)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *at], ["a", "b", "n", "at", "bt"])
+            held, size = [], 0
+            for _, _, words, _ in _sequences(batch.column(0)):
+                held.append(words)
+                size += len(words)
+                if size >= TOKENS:
+                    yield counted(find, np.concatenate(held))
+                    held, size = [], 0
+            if size:
+                yield counted(find, np.concatenate(held))
 
     return run
 
 
-#: Code of pairs of a word with itself; others are twice the neighbour's class, one more if it stands before.
-OWN = -1
+#: Arrays of a part.  ``near``: words with frequent neighbours, twice a place, one more if it stands before.
+#: ``far``: words with other neighbours, in runs by the neighbours' part and side, by pair in a run.
+_ARRAYS = {
+    "words": U64, "times": np.int64, "near": np.int32, "near_code": np.int32, "near_n": np.int64, "far": np.int32, "far_n": np.int64,
+    "run_part": np.int32, "run_side": np.int32, "run_size": np.int64, "same": np.int32, "same_n": np.int64, "heads": np.int64, "heads_n": np.int64,
+}
+PART = "part int, " + ", ".join(f"{name} binary" for name in _ARRAYS)
+
+
+def _gathered(parts: int):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        what = rows.column("what").to_numpy()
+
+        def of(kind: int, column: str, dtype) -> np.ndarray:
+            return buffers(rows.column(column).filter(pa.array(what == kind)))[0].view(dtype)
+
+        count = lambda kind: of(kind, "n", np.int32).astype(np.int64)
+        (heads,), heads_n = _summed([of(HEADS, "a", np.int64)], count(HEADS))
+        (near, near_code), near_n = _summed([of(MIXED, "a", U64), of(MIXED, "b", np.int32)], count(MIXED))
+        (same,), same_n = _summed([of(SAME, "a", U64)], count(SAME))
+        first, second = ([of(k, c, U64) for k in (FIRST, SECOND)] for c in ("a", "b"))
+        side = np.repeat([0, 1], [len(x) for x in first])
+        there = np.concatenate([second[0], first[1]]) % U64(parts)
+        (there, side, a, b), far_n = _summed(
+            [there.astype(np.int64), side, np.concatenate(first), np.concatenate(second)], np.concatenate([count(FIRST), count(SECOND)])
+        )
+        far = np.where(side == 0, a, b)
+        words = np.unique(np.concatenate([near, far, same]))
+        (run_part, run_side), run_size = _summed([there, side], np.ones(len(side), np.int64))
+        place = lambda h: np.searchsorted(words, h)
+        near, far, same = place(near), place(far), place(same)
+        # Each occurrence has one word before it.
+        times = sum(np.bincount(w, n, len(words)) for w, n in ((near, near_n * (near_code & 1)), (far, far_n * side), (same, same_n)))
+        found = locals()
+        arrays = [pa.array([found[name].astype(dtype).tobytes()], pa.binary()) for name, dtype in _ARRAYS.items()]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *arrays], ["part", *_ARRAYS])
 
+    return run
 
-def _by_class(kind: np.ndarray):
-    """(word, code, count) of neighbours that are in the list, and of words beside themselves."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n, at, bt = (c.to_numpy() for c in batch.columns)
-            same = a == b
-            after, ahead = (bt >= 0) & ~same, (at >= 0) & ~same
-            h = np.concatenate([a[same], a[after], b[ahead]])
-            code = np.concatenate([np.full(same.sum(), OWN), kind[bt[after]] * 2, kind[at[ahead]] * 2 + 1])
-            x = np.concatenate([n[same], n[after], n[ahead]])
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(code.astype(np.int32)), pa.array(x)], ["h", "code", "x"])
+class _Part:
+    """A part's arrays."""
 
-    return run
+    def __init__(self, rows: pa.Table | pa.RecordBatch):
+        for name, dtype in _ARRAYS.items():
+            setattr(self, name, np.frombuffer(rows.column(name)[0].as_py(), dtype))
+
+
+#: Code of pairs of a word with itself; others are twice the neighbour's class, one more if it stands before.
+OWN = -1
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -146,13 +241,28 @@ def exchange(right: np.ndarray, classes: int, rounds: int) -> np.ndarray:
     return of
 
 
+#: Counts up to which changes of likelihood are looked up.
+SMALL = 8
+
+
+def _more(cell: np.ndarray, by: np.ndarray | int) -> np.ndarray:
+    return _f(cell + by) - _f(cell)
+
+
+def _each_class(m: np.ndarray, d: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Changes if ``y`` more are in column ``d`` of each row, rows by classes."""
+    out = np.stack([_more(m.T, k) for k in range(SMALL + 1)])[np.minimum(y, SMALL).astype(np.int64), d]
+    large = np.flatnonzero(y > SMALL)
+    out[large] = _more(m.T[d[large]], y[large, None])
+    return out
+
+
 def gains(n: np.ndarray, of: np.ndarray, word: np.ndarray, code: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Change of likelihood when a word of class ``of`` alone goes to each class, words by classes.
 
     ``n`` has the class bigrams; ``word`` (ascending), ``code`` and ``x`` the words' neighbours.
     """
     words, classes = len(of), len(n)
-    more = lambda cell, by: _f(cell + by) - _f(cell)
     out, sides = np.zeros((words, classes)), []
     for side, m in ((0, n), (1, n.T)):
         use = (code >= 0) & (code & 1 == side)
@@ -162,95 +272,218 @@ def gains(n: np.ndarray, of: np.ndarray, word: np.ndarray, code: np.ndarray, x:
         sides.append(dense)
         if len(w):
             first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-            out[w[first]] += np.add.reduceat(more(m.T[d], y[:, None]), first)
-            out += np.bincount(w, more(m[of[w], d], -y), words)[:, None]
-    own = np.bincount(word[code == OWN], x[code == OWN], words)[:, None]
+            out[w[first]] += np.add.reduceat(_each_class(m, d, y), first)
+            out += np.bincount(w, _more(m[of[w], d], -y), words)[:, None]
+    own = np.bincount(word[code == OWN], x[code == OWN], words)
     r, l = sides
-    each, col = np.arange(words), of[:, None]
-    ra, la = r[each, of][:, None], l[each, of][:, None]
-    aa, ac, ca, cc = n[col, col], n[of], n.T[of], n.diagonal()[None, :]
-    # Cells of the two classes with each other change by both sides at once.
-    out -= more(aa, -ra) + more(ac, -r) + more(ca, ra) + more(cc, r) + more(aa, -la) + more(ca, -l) + more(ac, la) + more(cc, l)
-    out += more(aa, -ra - la - own) + more(ac, la - r) + more(ca, ra - l) + more(cc, r + l + own)
+    each = np.arange(words)
+    ra, la, aa = r[each, of], l[each, of], n[of, of]
+    # Cells of the two classes with each other change by both sides at once; where a word has no such neighbours, by nothing.
+    out += (_more(aa, -ra - la - own) - _more(aa, -ra) - _more(aa, -la))[:, None]
+    w, c = np.nonzero((r > 0) | (l > 0) | (own > 0)[:, None])
+    ac, ca, cc, rw, lw, r0, l0 = n[of[w], c], n[c, of[w]], n[c, c], r[w, c], l[w, c], ra[w], la[w]
+    apart = _more(ac, -rw) + _more(ca, r0) + _more(cc, rw) + _more(ca, -lw) + _more(ac, l0) + _more(cc, lw)
+    out[w, c] += _more(ac, l0 - rw) + _more(ca, r0 - lw) + _more(cc, rw + lw + own[w]) - apart
     for total, part in ((n.sum(axis=1), r), (n.sum(axis=0), l)):
-        size = part.sum(axis=1, keepdims=True) + own
-        out -= more(total[col], -size) + more(total[None, :], size)
+        size, which = np.unique(part.sum(axis=1) + own, return_inverse=True)
+        out -= _more(total[of], -size[which])[:, None] + _more(total[None, :], size[:, None])[which]
     out[each, of] = 0
     return out
 
 
-#: Words whose moves a task weighs together.
+#: Words whose moves are weighed together.
 TOGETHER = 1000
 
 
-def _moved(n: np.ndarray, turn: int):
-    """Words with the classes they go to; class ``len(n) - 1``, the unplaced, is left by all."""
-    last = len(n) - 1
+def moved(n: np.ndarray, turn: int, h: np.ndarray, of: np.ndarray, word: np.ndarray, code: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Classes that words go to; class ``len(n) - 1``, the unplaced, is left by all.
+
+    ``word`` need not be in order, and (word, code) may come more than once.
+    """
+    last, out = len(n) - 1, of.copy()
+    may = np.flatnonzero((of == last) | ((mix(h) & U64(1)).astype(np.int64) == turn % 2))
+    place = np.full(len(of), -1)
+    place[may] = np.arange(len(may))
+    use = place[word] >= 0
+    width = 2 * len(n) + 1
+    (both,), x = _summed([place[word[use]] * width + code[use] + 1], x[use])
+    word, code = both // width, both % width - 1
+    for i in range(0, len(may), TOGETHER):
+        who = may[i : i + TOGETHER]
+        p, q = np.searchsorted(word, [i, i + len(who)])
+        gain = gains(n, of[who], word[p:q] - i, code[p:q], x[p:q])[:, :last]
+        goes = (of[who] == last) | (gain.max(axis=1) > 1e-9)
+        out[who[goes]] = np.argmax(gain[goes], axis=1)
+    return out
+
+
+#: Rows that parts send each other: classes of their own words (from -1), and of words beside the receiver's on a side.
+SENT = "part int, source int, side int, body binary"
+#: What a part sees: its words' classes, its far neighbours' codes (``what`` 0), or partial sums by code (``what`` 1).
+SEEN = "part int, what int, a binary, b binary"
+
+
+def _sparse(code: np.ndarray, x: np.ndarray) -> tuple[bytes, bytes]:
+    """Sums by code, as steps from one code to the next, and the sums."""
+    (code,), x = _summed([code.astype(np.int64)], x.astype(np.int64))
+    return np.diff(code, prepend=0).tobytes(), x.tobytes()
+
+
+def _dense(a: pa.ChunkedArray, b: pa.ChunkedArray, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    for code, x in zip(a, b):
+        out[np.cumsum(np.frombuffer(code.as_py(), np.int64))] += np.frombuffer(x.as_py(), np.int64)
+    return out
+
+
+def _total(sums: DataFrame, parts: int, size: int) -> np.ndarray:
+    """All partial sums (``part, a, b``) added, some at a time."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        out = _dense(rows.column("a"), rows.column("b"), size)
+        a, b = _sparse(np.flatnonzero(out), out[out != 0])
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([a], pa.binary()), pa.array([b], pa.binary())], ["part", "a", "b"])
+
+    while parts > 1:
+        parts = math.ceil(parts / FAN)
+        sums = sums.withColumn("part", (F.col("part") % parts).cast("int")).groupBy("part").applyInArrow(run, "part int, a binary, b binary")
+    rows = sums.select("a", "b").toArrow()
+    return _dense(rows["a"], rows["b"], size)
+
 
+def _core_pairs(head: int, core: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(i, TOGETHER)
-                h, of = part.column(0).to_numpy(), part.column(2).to_numpy().astype(np.int64)
-                near = part.column(3)
-                size = near.value_lengths().to_numpy()
-                code, x = (c.to_numpy(zero_copy_only=False) for c in near.flatten().flatten())
-                gain = gains(n, of, np.repeat(np.arange(len(of)), size), code.astype(np.int64), x)[:, :last]
-                best = np.argmax(gain, axis=1)
-                may = (of == last) | ((mix(h.view(U64)) & U64(1)).astype(np.int64) == turn % 2) & (gain.max(axis=1) > 1e-9)
-                to = np.where(may, best, of)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(to.astype(np.int32)), pa.array(to != of)], ["h", "n", "c", "moved"])
+            for r in range(batch.num_rows):
+                part = _Part(batch.slice(r, 1))
+                at, bt = part.heads // head, part.heads % head
+                use = (at < core) & (bt < core)
+                a, b = _sparse(at[use] * core + bt[use], part.heads_n[use])
+                yield pa.RecordBatch.from_arrays([batch.column("part").slice(r, 1), pa.array([a], pa.binary()), pa.array([b], pa.binary())], ["part", "a", "b"])
 
     return run
 
 
+def _seen(kind: np.ndarray, classes: int):
+    """The classes beside a part's words, and what it adds to those beside frequent words and to class bigrams."""
+    head, width, last = len(kind), 2 * classes + 3, classes
+
+    def run(key: tuple[pa.Scalar, ...], own: pa.Table, sent: pa.Table) -> pa.Table:
+        part = _Part(own)
+        come = {(p, s): body for p, s, body in zip(*(sent.column(c).to_pylist() for c in ("source", "side", "body")))}
+        get = lambda p, s, size: np.frombuffer(come[p, s], np.int16) if come else np.full(size, last, np.int16)
+        of = get(-1, 0, len(part.words)).astype(np.int64)
+        far = [get(p, s, k) * 2 + s for p, s, k in zip(part.run_part.tolist(), part.run_side.tolist(), part.run_size.tolist())]
+        far = np.concatenate([np.zeros(0, np.int16), *far]).astype(np.int16)
+        at, side = part.near_code >> 1, part.near_code & 1
+        first, second = part.heads // head, part.heads % head
+        twin = first == second
+        codes = [
+            at * width + of[part.near] * 2 + 1 - side,
+            first * width + np.where(twin, width - 1, kind[second] * 2),
+            (second * width + kind[first] * 2 + 1)[~twin],
+        ]
+        counts = [part.near_n, part.heads_n, part.heads_n[~twin]]
+        ahead, far_ahead = side == 0, far & 1 == 0
+        for w, to, n in (
+            (part.near[ahead], kind[at[ahead]], part.near_n[ahead]), (part.far[far_ahead], far[far_ahead] >> 1, part.far_n[far_ahead]),
+            (part.same, of[part.same], part.same_n),
+        ):
+            codes.append(head * width + of[w] * (classes + 1) + to)
+            counts.append(n)
+        a, b = _sparse(np.concatenate(codes), np.concatenate(counts))
+        me = key[0].as_py()
+        binary = lambda *x: pa.array(x, pa.binary())
+        return pa.table(
+            [pa.array([me, me], pa.int32()), pa.array([0, 1], pa.int32()), binary(of.astype(np.int16).tobytes(), a), binary(far.tobytes(), b)], ["part", "what", "a", "b"]
+        )
+
+    return run
+
+
+def _sent(kind: np.ndarray, n: np.ndarray, turn: int):
+    """New classes of a part's words, for itself and for the parts of their neighbours."""
+
+    def run(key: tuple[pa.Scalar, ...], own: pa.Table, seen: pa.Table) -> pa.Table:
+        part, me = _Part(own), key[0].as_py()
+        of, far = (np.frombuffer(seen.column(c)[0].as_py(), np.int16).astype(np.int64) for c in ("a", "b"))
+        near = kind[part.near_code >> 1] * 2 + (part.near_code & 1)
+        word, code = np.concatenate([part.near, part.far, part.same]), np.concatenate([near, far, np.full(len(part.same), OWN)])
+        to = moved(n, turn, part.words, of, word, code, np.concatenate([part.near_n, part.far_n, part.same_n])).astype(np.int16)
+        ends = np.cumsum(part.run_size)
+        beside = to[part.far]
+        bodies = [beside[i:j].tobytes() for i, j in zip(ends - part.run_size, ends)]
+        return pa.table(
+            [
+                pa.array(np.append(me, part.run_part), pa.int32()), pa.array([-1] + [me] * len(bodies), pa.int32()),
+                pa.array(np.append(0, 1 - part.run_side), pa.int32()), pa.array([to.tobytes(), *bodies], pa.binary()),
+            ],
+            ["part", "source", "side", "body"],
+        )
+
+    return run
+
+
+def _listed(key: tuple[pa.Scalar, ...], own: pa.Table, sent: pa.Table) -> pa.Table:
+    part = _Part(own)
+    of = np.frombuffer(sent.column("body")[0].as_py(), np.int16)
+    return pa.table([pa.array(part.words.view(np.int64)), pa.array(part.times), pa.array(of.astype(np.int32))], ["h", "n", "c"])
+
+
 def word_classes(train: DataFrame, counts: DataFrame, plan: Plan = Plan()) -> tuple[DataFrame, np.ndarray]:
     """((h, n, c) of all words of the counts, class bigrams)."""
     spark, classes = train.sparkSession, plan.classes
     top = counts.orderBy(F.desc("n"), "h").limit(plan.head).toArrow()
-    keys = top["h"].to_numpy().view(U64)
-    if not len(keys):
+    keys, head = top["h"].to_numpy().view(U64), top.num_rows
+    if not head:
         return counts.withColumn("c", F.lit(0)), np.zeros((classes, classes))
-    pairs = train.mapInArrow(_pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    stored = ScratchTable(pairs.mapInArrow(_placed(keys), "a long, b long, n long, at int, bt int"), "word-pairs")
-    pairs = stored.df
-    core = min(plan.core, len(keys))
-    right = np.zeros((core, core), np.int64)
-    both = pairs.where((F.col("at") >= 0) & (F.col("at") < core) & (F.col("bt") >= 0) & (F.col("bt") < core)).select("at", "bt", "n").toArrow()
-    right[both["at"].to_numpy(), both["bt"].to_numpy()] = both["n"].to_numpy()
-    start = pa.table({"h": keys[:core].view(np.int64), "c": exchange(right, min(classes, core), plan.rounds).astype(np.int32)})
-    kinds = written(counts.join(spark.createDataFrame(start), "h", "left").select("h", "n", F.coalesce("c", F.lit(classes)).alias("c")), "word-classes")
-    best, least = None, -np.inf
+    others = counts.agg(F.sum("n")).first()[0] - int(top["n"].to_numpy().sum())
+    parts = max(1, math.ceil(others / PART_TOKENS), min(FEW_PARTS, math.ceil(others / FEW_TOKENS)))
+    near = train.mapInArrow(_near(keys, parts), _ROW).groupBy("part").applyInArrow(_gathered(parts), PART)
+    stored = Dealt(near, "part", int(spark.conf.get("spark.sql.shuffle.partitions")), "word-parts")
+    del near
+    release(spark)
+    own = stored.df.groupBy("part")
+    core = min(plan.core, head)
+    right = _total(stored.df.mapInArrow(_core_pairs(head, core), "part int, a binary, b binary"), parts, core * core).reshape(core, core)
+    kind = np.full(head, classes)
+    kind[:core] = exchange(right, min(classes, core), plan.rounds)
+    width, cells = 2 * classes + 3, (classes + 1) ** 2
+    table = kept = best = None
+    sent, least = local_table(spark, [], SENT), -np.inf
     for turn in range(plan.rounds + 2):
         release(spark)
-        head = kinds.orderBy(F.desc("n"), "h").limit(plan.head).toArrow()
-        kind = np.zeros(len(keys), np.int64)
-        kind[Lookup(keys)(head["h"].to_numpy().view(U64))] = head["c"].to_numpy()
-        known = pairs.mapInArrow(_by_class(kind), "h long, code int, x long")
-        of = lambda name: kinds.select(F.col("h").alias(name), "c")
-        after = pairs.where("bt < 0 AND a <> b").join(of("b"), "b").select(F.col("a").alias("h"), (F.col("c") * 2).alias("code"), F.col("n").alias("x"))
-        ahead = pairs.where("at < 0 AND a <> b").join(of("a"), "a").select(F.col("b").alias("h"), (F.col("c") * 2 + 1).alias("code"), F.col("n").alias("x"))
-        near = known.unionAll(after).unionAll(ahead).groupBy("h", "code").agg(F.sum("x").alias("x"))
-        near = near.groupBy("h").agg(F.collect_list(F.struct("code", "x")).alias("near"))
-        table = ScratchTable(kinds.join(near, "h").select("h", "n", "c", "near"), "word-neighbours")
-        state = table.df
-        n = np.zeros((classes + 1, classes + 1))
-        cells = state.select("c", F.explode("near").alias("x")).where("x.code = -1 OR x.code % 2 = 0")
-        to = F.when(F.col("x.code") == OWN, F.col("c")).otherwise((F.col("x.code") / 2).cast("int"))
-        cells = cells.groupBy("c", to.alias("d")).agg(F.sum("x.x").alias("x")).toArrow()
-        n[cells["c"].to_numpy(), cells["d"].to_numpy()] = cells["x"].to_numpy()
+        seen = ScratchTable(own.cogroup(sent.groupBy("part")).applyInArrow(_seen(kind, classes), SEEN), "word-neighbours")
+        sums = _total(seen.df.where("what = 1").select("part", "a", "b"), parts, head * width + cells)
+        beside, n = sums[: head * width].reshape(head, width), sums[head * width :].reshape(classes + 1, classes + 1).astype(float)
+        np.add.at(n, kind, beside[:, : width - 1 : 2])
+        np.add.at(n, (kind, kind), beside[:, -1])
         like = _f(n).sum() - _f(n.sum(axis=0)).sum() - _f(n.sum(axis=1)).sum()
         if not n[classes].any() and like > least:
-            best, least = (kinds, n[:classes, :classes]), like
-        if turn == plan.rounds + 1:
+            best, least = (kind, n[:classes, :classes]), like
+            table, kept = kept, table
+        if table is not None:
             table.drop()
+        if turn == plan.rounds + 1:
+            seen.drop()
             break
-        moved = written(state.mapInArrow(_moved(n, turn), "h long, n long, c int, moved boolean"), "word-classes")
-        kinds = moved.select("h", "n", "c")
-        table.drop()
-        del known, after, ahead, near, state, cells, moved  # their shuffle files may go
-    stored.drop()
-    return best
+        table = ScratchTable(own.cogroup(seen.df.where("what = 0").groupBy("part")).applyInArrow(_sent(kind, n, turn), SENT), "word-classes")
+        sent = table.df
+        who, code = np.nonzero(beside)
+        kind = moved(n, turn, keys, kind, who, np.where(code == width - 1, OWN, code), beside[who, code])
+        seen.drop()
+    kind, n = best
+    # Frequent words may be all there are; then no turn had others to place.
+    frequent = spark.createDataFrame(pa.table({"h": top["h"], "n": top["n"], "c": pa.array(kind.astype(np.int32))}))
+    rest = () if kept is None else (own.cogroup(kept.df.where("source = -1").groupBy("part")).applyInArrow(_listed, "h long, n long, c int"),)
+    words = frequent
+    for part in rest:
+        words = words.unionByName(part)
+    words = written(words, "word-classes")
+    for used in (stored, kept):
+        if used is not None:
+            used.drop()
+    return words, n
 
 
 def _first(keys, counts, kind):

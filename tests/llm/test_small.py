@@ -6,6 +6,7 @@ import zlib
 from urllib.parse import urldefrag, urljoin
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,6 +213,36 @@ def test_words_of_all_ranks_have_classes(spark):
     assert got[held[0]]["score"] - got[held[1]]["score"] > 0.95 * 22000 * 0.3
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for others."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_rounds_of_classes_do_not_shuffle_all_pairs(spark, monkeypatch):
+    """Class bigrams are those of the texts; six rounds more shuffle less than the pairs' own bytes each."""
+    monkeypatch.setattr(brown, "FEW_TOKENS", 1 << 12)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(i)}" for i in rng.zipf(1.2, 3000) if i < 1 << 40) for _ in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counts = docs.mapInArrow(brown._counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).cache()
+    used = []
+    for rounds in (0, 6):
+        before = shuffled(spark)
+        kinds, n = brown.word_classes(docs, counts, brown.Plan(classes=6, core=40, head=200, rounds=rounds))
+        used.append(shuffled(spark) - before)
+    rows = kinds.collect()
+    of = {r["h"]: r["c"] for r in rows}
+    assert {(r["h"], r["n"]) for r in rows} == {(r["h"], r["n"]) for r in counts.collect()}
+    want, pairs = np.zeros((6, 6)), set()
+    for _, _, words, _ in brown._sequences(pa.array(texts)):
+        words = np.append(brown.END, words).view(np.int64).tolist()
+        pairs |= set(zip(words, words[1:]))
+        np.add.at(want, ([of[w] for w in words[:-1]], [of[w] for w in words[1:]]), 1)
+    assert (n == want).all()
+    assert (used[1] - used[0]) / 6 < 16 * len(pairs)
+
+
 def test_hilbert_steps_and_shards(docs):
     points = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     index = hilbert.curve_index(points, 3)
