@@ -152,30 +152,42 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.
     by a prefix are refined to twice its length, for suffixes that still share theirs only.
     """
     n = len(symbols)
+    # Places are of four bytes each; a shard is far from two billion, and is held in memory many times over.
+    place = np.int32 if n < 1 << 31 else np.int64
     key = np.zeros(n, np.int64)
     for j in range(_SYMBOLS):
         key <<= 9
         key[: n - j] |= np.where(left[: n - j] >= j, symbols[j:], 0)
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
+    order = np.argsort(key, kind="stable").astype(place)
     head = np.ones(n, bool)
-    head[1:] = (sorted_key[1:] != sorted_key[:-1]) | (left[order[1:]] < _SYMBOLS)
-    rank = np.empty(n, np.int64)
-    at = np.arange(n)
-    rank[order] = np.maximum.accumulate(np.where(head, at, 0))
+    sorted_key = key[order]
+    np.not_equal(sorted_key[1:], sorted_key[:-1], out=head[1:])
+    del sorted_key
+    head[1:] |= left[order[1:]] < _SYMBOLS
+    first = np.arange(n, dtype=place)
+    first[~head] = 0
+    rank = np.empty(n, place)
+    rank[order] = np.maximum.accumulate(first, out=first)
+    del first
     known = _SYMBOLS
     open_ = ~(head & np.append(head[1:], True))
-    slots = np.flatnonzero(open_)
+    slots = np.flatnonzero(open_).astype(place)
+    del head, open_
     while len(slots):
         who = order[slots]
-        pair = (rank[who] << 32) | rank[who + known]
-        by = np.argsort(pair, kind="stable")
+        pair = rank[who].astype(np.int64)
+        pair <<= 32
+        pair |= rank[who + known]
+        by = np.argsort(pair, kind="stable").astype(place)
         who, pair = who[by], pair[by]
         order[slots] = who
         head = np.ones(len(slots), bool)
         head[1:] = pair[1:] != pair[:-1]
+        del by, pair
         # A group's slots are neighbours, so the first slot of a run of equal pairs is its rank.
-        rank[who] = slots[np.maximum.accumulate(np.where(head, np.arange(len(slots)), 0))]
+        first = np.arange(len(slots), dtype=place)
+        first[~head] = 0
+        rank[who] = slots[np.maximum.accumulate(first, out=first)]
         slots = slots[~(head & np.append(head[1:], True))]
         known *= 2
     return order, key
@@ -193,27 +205,38 @@ class RunIndex:
         ends = np.cumsum(sizes + 1) - 1
         self.starts, self.sizes = ends - sizes, sizes
         self.length = int(ends[-1]) + 1
-        symbols = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int64) + 1
+        place = np.int32 if self.length < 1 << 31 else np.int64
+        symbols = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int16) + np.int16(1)
         symbols[ends] = 0
-        left = np.repeat(ends, sizes + 1) - np.arange(self.length)
+        left = np.repeat(ends.astype(place), sizes + 1)
+        left -= np.arange(self.length, dtype=place)
         order, key = suffix_order(symbols, left)
         bwt = symbols[order - 1]
         head = np.ones(self.length, bool)
         head[1:] = (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)
+        del symbols, bwt
         slots = np.flatnonzero(head)
         self.runs = len(slots)
         heads, before = order[slots], order[slots - 1]
-        match = _agree(key, left, heads, before)
+        del order, head
+        match = np.empty(self.runs, place)
+        for i in range(0, self.runs, CHUNK):
+            match[i : i + CHUNK] = _agree(key, left, heads[i : i + CHUNK], before[i : i + CHUNK])
         match[slots == 0] = 0
+        del key, left, slots
         by = np.argsort(heads)
         self.heads, self.before, self.match = heads[by], before[by], match[by]
 
     def stream(self) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics in text order: how far each suffix agrees with the one before it in order, and which that is."""
-        at = np.arange(self.length)
-        run = np.searchsorted(self.heads, at, "right") - 1
-        past = at - self.heads[run]
-        return np.maximum(self.match[run] - past, 0), self.before[run] + past
+        # Heads are in text order and the first is at 0.
+        size = np.diff(np.append(self.heads, self.length))
+        past = np.arange(self.length, dtype=self.heads.dtype)
+        past -= np.repeat(self.heads, size)
+        match, other = np.repeat(self.match, size), np.repeat(self.before, size)
+        match -= past
+        other += past
+        return np.maximum(match, 0, out=match), other
 
     def repeated(self, window: int) -> np.ndarray:
         """Whether the ``window`` bytes from each position also start anywhere else."""

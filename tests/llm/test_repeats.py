@@ -1,6 +1,7 @@
 """Removal of repeated passages against brute force over all windows."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -87,6 +88,17 @@ def test_index_on_pieces():
         assert whole[i : i + n] == whole[other[i] : other[i] + n] and b"\0" not in whole[i : i + n]
 
 
+def test_index_is_small_in_memory():
+    """A shard's index is built within 64 bytes a byte; it took 96 with places of eight bytes."""
+    body = np.random.default_rng(3).integers(97, 123, 400_000).astype(np.uint8).tobytes()
+    pieces = [body[i : i + 360] for i in range(0, len(body), 360)] + [body[100:500]]
+    tracemalloc.start()
+    marks = repeats.RunIndex(pieces).repeated(repeats.WINDOW)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert marks.any() and most < 64 * len(body)
+
+
 def test_window_minima():
     h = np.random.default_rng(4).integers(0, 50, 1000).astype(np.uint64)
     for w in (1, 2, 7, 169, 1000):
