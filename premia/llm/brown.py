@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from premia.llm.spread import Dealt
 from premia.llm.tables import release, text_of, written
 from premia.llm.text import U64, Lookup, buffers, mix, word_blocks
-from premia.session import ScratchTable, local_table
+from premia.session import ScratchTable, local_table, rows_at_once
 
 END = np.array([0x5EED0FE4D0F7E875], U64)
 PAD = 0.1
@@ -67,11 +67,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: Occurrences of words in a part, about, and parts that small tables are dealt into nevertheless.
-PART_TOKENS, FEW_TOKENS, FEW_PARTS = 1 << 19, 1 << 15, 32
+PART_TOKENS, FEW_TOKENS, FEW_PARTS = 1 << 18, 1 << 15, 32
+#: All tokens of a part, about; beyond that there are more parts, however few words are rare.
+PART_TEXT = 1 << 20
 #: Tokens whose neighbours a task counts together.
-TOKENS = 1 << 20
-#: Partial counts that are added at once.
-FAN = 8
+TOKENS = 1 << 19
+#: Rows of counts that Spark hands a worker at once; a row has up to some MB.
+ROWS_AT_ONCE = 64
+#: Sums of a row of partial sums, rows of a range that are added at once, and rows of a range that the driver adds.
+RANGE, FAN, LAST = 1 << 15, 64, 2
 #: Kinds of rows: pairs of two frequent words, a word beside a frequent one, two other words by
 #: the first and by the second, and a word beside itself.
 HEADS, MIXED, FIRST, SECOND, SAME = range(5)
@@ -147,9 +151,13 @@ def _near(keys: np.ndarray, parts: int):
 #: Arrays of a part.  ``near``: words with frequent neighbours, twice a place, one more if it stands before.
 #: ``far``: words with other neighbours, in runs by the neighbours' part and side, by pair in a run.
 _ARRAYS = {
-    "words": U64, "times": np.int64, "near": np.int32, "near_code": np.int32, "near_n": np.int64, "far": np.int32, "far_n": np.int64,
-    "run_part": np.int32, "run_side": np.int32, "run_size": np.int64, "same": np.int32, "same_n": np.int64, "heads": np.int64, "heads_n": np.int64,
+    "words": U64, "times": np.int64, "near": np.int32, "near_code": np.int32, "near_n": np.int32, "far": np.int32, "far_n": np.int32,
+    "run_part": np.int32, "run_side": np.int32, "run_size": np.int64, "same": np.int32, "same_n": np.int32, "heads": np.int64, "heads_n": np.int64,
+    "size": np.int64,
 }
+#: Arrays that a step needs.
+_LINKS = ["near", "near_code", "near_n", "far", "far_n", "run_part", "run_side", "run_size", "same", "same_n"]
+_SEES, _SENDS = ["size", "heads", "heads_n", *_LINKS], ["words", *_LINKS]
 PART = "part int, " + ", ".join(f"{name} binary" for name in _ARRAYS)
 
 
@@ -172,6 +180,7 @@ def _gathered(parts: int):
         )
         far = np.where(side == 0, a, b)
         words = np.unique(np.concatenate([near, far, same]))
+        size = np.array([len(words)])
         (run_part, run_side), run_size = _summed([there, side], np.ones(len(side), np.int64))
         place = lambda h: np.searchsorted(words, h)
         near, far, same = place(near), place(far), place(same)
@@ -185,11 +194,12 @@ def _gathered(parts: int):
 
 
 class _Part:
-    """A part's arrays."""
+    """Those of a part's arrays that were read."""
 
     def __init__(self, rows: pa.Table | pa.RecordBatch):
-        for name, dtype in _ARRAYS.items():
-            setattr(self, name, np.frombuffer(rows.column(name)[0].as_py(), dtype))
+        for name in rows.schema.names:
+            if name in _ARRAYS:
+                setattr(self, name, np.frombuffer(rows.column(name)[0].as_buffer(), _ARRAYS[name]))
 
 
 #: Code of pairs of a word with itself; others are twice the neighbour's class, one more if it stands before.
@@ -319,36 +329,45 @@ def moved(n: np.ndarray, turn: int, h: np.ndarray, of: np.ndarray, word: np.ndar
 
 #: Rows that parts send each other: classes of their own words (from -1), and of words beside the receiver's on a side.
 SENT = "part int, source int, side int, body binary"
-#: What a part sees: its words' classes, its far neighbours' codes (``what`` 0), or partial sums by code (``what`` 1).
+#: What a part sees: its words' classes, its far neighbours' codes (``what`` 0), or partial sums by code (``what`` from 1, by range of codes).
 SEEN = "part int, what int, a binary, b binary"
 
 
-def _sparse(code: np.ndarray, x: np.ndarray) -> tuple[bytes, bytes]:
-    """Sums by code, as steps from one code to the next, and the sums."""
-    (code,), x = _summed([code.astype(np.int64)], x.astype(np.int64))
-    return np.diff(code, prepend=0).tobytes(), x.tobytes()
+def _ranges(part: int, sums: np.ndarray) -> list[tuple[int, int, bytes, bytes]]:
+    """Rows of sums other than 0, by range of places."""
+    at = np.flatnonzero(sums)
+    edges = np.searchsorted(at, np.arange(0, len(sums) + RANGE, RANGE))
+    places, values = (at % RANGE).astype(np.uint16), sums[at].astype(np.int64)
+    return [(part, k + 1, places[i:j].tobytes(), values[i:j].tobytes()) for k, (i, j) in enumerate(zip(edges, edges[1:])) if i < j]
 
 
-def _dense(a: pa.ChunkedArray, b: pa.ChunkedArray, size: int) -> np.ndarray:
-    out = np.zeros(size, np.int64)
-    for code, x in zip(a, b):
-        out[np.cumsum(np.frombuffer(code.as_py(), np.int64))] += np.frombuffer(x.as_py(), np.int64)
+def _seen_rows(rows: list[tuple[int, int, bytes, bytes]]) -> list[pa.Array]:
+    return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))]
+
+
+def _add(out: np.ndarray, a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+    """``out`` with the sums of rows of one range."""
+    for place, x in zip(a, b):
+        out[np.frombuffer(place.as_buffer(), np.uint16)] += np.frombuffer(x.as_buffer(), np.int64)
     return out
 
 
-def _total(sums: DataFrame, parts: int, size: int) -> np.ndarray:
-    """All partial sums (``part, a, b``) added, some at a time."""
+def _added(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    part, what = (k.as_py() for k in key)
+    out = [(part, what, *r[2:]) for r in _ranges(part, _add(np.zeros(RANGE, np.int64), rows.column("a"), rows.column("b")))]
+    return pa.table(_seen_rows(out), ["part", "what", "a", "b"])
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        out = _dense(rows.column("a"), rows.column("b"), size)
-        a, b = _sparse(np.flatnonzero(out), out[out != 0])
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([a], pa.binary()), pa.array([b], pa.binary())], ["part", "a", "b"])
 
-    while parts > 1:
+def _total(sums: DataFrame, parts: int, size: int) -> np.ndarray:
+    """All partial sums added, some rows of a range of them at a time."""
+    while parts > LAST:
         parts = math.ceil(parts / FAN)
-        sums = sums.withColumn("part", (F.col("part") % parts).cast("int")).groupBy("part").applyInArrow(run, "part int, a binary, b binary")
-    rows = sums.select("a", "b").toArrow()
-    return _dense(rows["a"], rows["b"], size)
+        sums = sums.withColumn("part", (F.col("part") % parts).cast("int")).groupBy("part", "what").applyInArrow(_added, SEEN)
+    rows, out = sums.select("what", "a", "b").toArrow(), np.zeros(-(-size // RANGE) * RANGE, np.int64)
+    for k in range(rows.num_rows):
+        what, a, b = (rows.column(x).slice(k, 1) for x in range(3))
+        _add(out[(what[0].as_py() - 1) * RANGE :], a, b)
+    return out[:size]
 
 
 def _core_pairs(head: int, core: int):
@@ -358,8 +377,8 @@ def _core_pairs(head: int, core: int):
                 part = _Part(batch.slice(r, 1))
                 at, bt = part.heads // head, part.heads % head
                 use = (at < core) & (bt < core)
-                a, b = _sparse(at[use] * core + bt[use], part.heads_n[use])
-                yield pa.RecordBatch.from_arrays([batch.column("part").slice(r, 1), pa.array([a], pa.binary()), pa.array([b], pa.binary())], ["part", "a", "b"])
+                sums = np.bincount(at[use] * core + bt[use], part.heads_n[use], core * core)
+                yield pa.RecordBatch.from_arrays(_seen_rows(_ranges(batch.column("part")[r].as_py(), sums)), ["part", "what", "a", "b"])
 
     return run
 
@@ -367,36 +386,30 @@ def _core_pairs(head: int, core: int):
 def _seen(kind: np.ndarray, classes: int):
     """The classes beside a part's words, and what it adds to those beside frequent words and to class bigrams."""
     head, width, last = len(kind), 2 * classes + 3, classes
+    size = head * width + (classes + 1) ** 2
 
     def run(key: tuple[pa.Scalar, ...], own: pa.Table, sent: pa.Table) -> pa.Table:
         part = _Part(own)
         come = {(p, s): body for p, s, body in zip(*(sent.column(c).to_pylist() for c in ("source", "side", "body")))}
         get = lambda p, s, size: np.frombuffer(come[p, s], np.int16) if come else np.full(size, last, np.int16)
-        of = get(-1, 0, len(part.words)).astype(np.int64)
+        of = get(-1, 0, part.size[0]).astype(np.int64)
         far = [get(p, s, k) * 2 + s for p, s, k in zip(part.run_part.tolist(), part.run_side.tolist(), part.run_size.tolist())]
         far = np.concatenate([np.zeros(0, np.int16), *far]).astype(np.int16)
         at, side = part.near_code >> 1, part.near_code & 1
         first, second = part.heads // head, part.heads % head
         twin = first == second
-        codes = [
-            at * width + of[part.near] * 2 + 1 - side,
-            first * width + np.where(twin, width - 1, kind[second] * 2),
-            (second * width + kind[first] * 2 + 1)[~twin],
-        ]
-        counts = [part.near_n, part.heads_n, part.heads_n[~twin]]
-        ahead, far_ahead = side == 0, far & 1 == 0
+        sums = np.zeros(size)
+        sums += np.bincount(at * width + of[part.near] * 2 + 1 - side, part.near_n, size)
+        sums += np.bincount(first * width + np.where(twin, width - 1, kind[second] * 2), part.heads_n, size)
+        sums += np.bincount((second * width + kind[first] * 2 + 1)[~twin], part.heads_n[~twin], size)
+        ahead, far_ahead, grams = side == 0, far & 1 == 0, sums[head * width :]
         for w, to, n in (
             (part.near[ahead], kind[at[ahead]], part.near_n[ahead]), (part.far[far_ahead], far[far_ahead] >> 1, part.far_n[far_ahead]),
             (part.same, of[part.same], part.same_n),
         ):
-            codes.append(head * width + of[w] * (classes + 1) + to)
-            counts.append(n)
-        a, b = _sparse(np.concatenate(codes), np.concatenate(counts))
+            grams += np.bincount(of[w] * (classes + 1) + to, n, len(grams))
         me = key[0].as_py()
-        binary = lambda *x: pa.array(x, pa.binary())
-        return pa.table(
-            [pa.array([me, me], pa.int32()), pa.array([0, 1], pa.int32()), binary(of.astype(np.int16).tobytes(), a), binary(far.tobytes(), b)], ["part", "what", "a", "b"]
-        )
+        return pa.table(_seen_rows([(me, 0, of.astype(np.int16).tobytes(), far.tobytes()), *_ranges(me, sums)]), ["part", "what", "a", "b"])
 
     return run
 
@@ -430,6 +443,11 @@ def _listed(key: tuple[pa.Scalar, ...], own: pa.Table, sent: pa.Table) -> pa.Tab
     return pa.table([pa.array(part.words.view(np.int64)), pa.array(part.times), pa.array(of.astype(np.int32))], ["h", "n", "c"])
 
 
+def part_count(tokens: int, others: int) -> int:
+    """Parts for so many tokens, of which ``others`` are not of frequent words."""
+    return max(1, math.ceil(others / PART_TOKENS), math.ceil(tokens / PART_TEXT), min(FEW_PARTS, math.ceil(others / FEW_TOKENS)))
+
+
 def word_classes(train: DataFrame, counts: DataFrame, plan: Plan = Plan()) -> tuple[DataFrame, np.ndarray]:
     """((h, n, c) of all words of the counts, class bigrams)."""
     spark, classes = train.sparkSession, plan.classes
@@ -437,15 +455,17 @@ def word_classes(train: DataFrame, counts: DataFrame, plan: Plan = Plan()) -> tu
     keys, head = top["h"].to_numpy().view(U64), top.num_rows
     if not head:
         return counts.withColumn("c", F.lit(0)), np.zeros((classes, classes))
-    others = counts.agg(F.sum("n")).first()[0] - int(top["n"].to_numpy().sum())
-    parts = max(1, math.ceil(others / PART_TOKENS), min(FEW_PARTS, math.ceil(others / FEW_TOKENS)))
+    tokens = counts.agg(F.sum("n")).first()[0]
+    parts = part_count(tokens, tokens - int(top["n"].to_numpy().sum()))
     near = train.mapInArrow(_near(keys, parts), _ROW).groupBy("part").applyInArrow(_gathered(parts), PART)
-    stored = Dealt(near, "part", int(spark.conf.get("spark.sql.shuffle.partitions")), "word-parts")
+    with rows_at_once(spark, ROWS_AT_ONCE):
+        stored = Dealt(near, "part", int(spark.conf.get("spark.sql.shuffle.partitions")), "word-parts")
     del near
     release(spark)
-    own = stored.df.groupBy("part")
+    of_part = lambda names: stored.df.select("part", *names).groupBy("part")
     core = min(plan.core, head)
-    right = _total(stored.df.mapInArrow(_core_pairs(head, core), "part int, a binary, b binary"), parts, core * core).reshape(core, core)
+    pairs = stored.df.select("part", "heads", "heads_n").mapInArrow(_core_pairs(head, core), SEEN)
+    right = _total(pairs, parts, core * core).reshape(core, core)
     kind = np.full(head, classes)
     kind[:core] = exchange(right, min(classes, core), plan.rounds)
     width, cells = 2 * classes + 3, (classes + 1) ** 2
@@ -453,8 +473,8 @@ def word_classes(train: DataFrame, counts: DataFrame, plan: Plan = Plan()) -> tu
     sent, least = local_table(spark, [], SENT), -np.inf
     for turn in range(plan.rounds + 2):
         release(spark)
-        seen = ScratchTable(own.cogroup(sent.groupBy("part")).applyInArrow(_seen(kind, classes), SEEN), "word-neighbours")
-        sums = _total(seen.df.where("what = 1").select("part", "a", "b"), parts, head * width + cells)
+        seen = ScratchTable(of_part(_SEES).cogroup(sent.groupBy("part")).applyInArrow(_seen(kind, classes), SEEN), "word-neighbours")
+        sums = _total(seen.df.where("what > 0"), parts, head * width + cells)
         beside, n = sums[: head * width].reshape(head, width), sums[head * width :].reshape(classes + 1, classes + 1).astype(float)
         np.add.at(n, kind, beside[:, : width - 1 : 2])
         np.add.at(n, (kind, kind), beside[:, -1])
@@ -467,7 +487,7 @@ def word_classes(train: DataFrame, counts: DataFrame, plan: Plan = Plan()) -> tu
         if turn == plan.rounds + 1:
             seen.drop()
             break
-        table = ScratchTable(own.cogroup(seen.df.where("what = 0").groupBy("part")).applyInArrow(_sent(kind, n, turn), SENT), "word-classes")
+        table = ScratchTable(of_part(_SENDS).cogroup(seen.df.where("what = 0").groupBy("part")).applyInArrow(_sent(kind, n, turn), SENT), "word-classes")
         sent = table.df
         who, code = np.nonzero(beside)
         kind = moved(n, turn, keys, kind, who, np.where(code == width - 1, OWN, code), beside[who, code])
@@ -475,7 +495,7 @@ def word_classes(train: DataFrame, counts: DataFrame, plan: Plan = Plan()) -> tu
     kind, n = best
     # Frequent words may be all there are; then no turn had others to place.
     frequent = spark.createDataFrame(pa.table({"h": top["h"], "n": top["n"], "c": pa.array(kind.astype(np.int32))}))
-    rest = () if kept is None else (own.cogroup(kept.df.where("source = -1").groupBy("part")).applyInArrow(_listed, "h long, n long, c int"),)
+    rest = () if kept is None else (of_part(["words", "times"]).cogroup(kept.df.where("source = -1").groupBy("part")).applyInArrow(_listed, "h long, n long, c int"),)
     words = frequent
     for part in rest:
         words = words.unionByName(part)
@@ -515,13 +535,14 @@ def _score(step, under, end):
         for batch in batches:
             lists = lambda name: batch.column(name).to_pylist()
             seen, logs, score = [], [], []
-            for kinds, rest, met in zip(lists("kinds"), batch.column("rest"), batch.column("met")):
+            for kinds, rest, met, packed in zip(lists("kinds"), *(batch.column(x) for x in ("rest", "met", "packed"))):
                 c, rest = np.frombuffer(kinds, np.int16).astype(np.int64), rest.values.to_numpy()
                 n, own = np.zeros(len(rest), np.int64), np.full(len(rest), unknown)
                 if met.is_valid and len(rest):
-                    h, of, times = (x.to_numpy(zero_copy_only=False) for x in met.values.flatten())
+                    h, of = met.values.to_numpy(), packed.values.to_numpy()
                     order = np.argsort(h)
-                    h, of, times = h[order], of[order], times[order]
+                    h, of = h[order], of[order]
+                    of, times = of % len(under), of // len(under)
                     at = np.minimum(np.searchsorted(h, rest), len(h) - 1)
                     hit = h[at] == rest
                     n[hit], own[hit] = times[at[hit]], of[at[hit]]
@@ -563,7 +584,8 @@ def score_documents(docs: DataFrame, plan: Plan = Plan(), text: str = "text", id
     first = slim.mapInArrow(_first(keys, n, kind), f"{kinds}, n_known long, logs double, kinds binary, rest array<long>")
     first = written(first, "class-scores")
     rest = first.select("row", F.explode(F.array_distinct("rest")).alias("h")).join(words, "h")
-    met = rest.groupBy("row").agg(F.collect_list(F.struct("h", "c", "n")).alias("met"))
+    # Both lists are in the order in which rows come, and none is null.
+    met = rest.groupBy("row").agg(F.collect_list("h").alias("met"), F.collect_list(F.col("n") * classes + F.col("c")).alias("packed"))
     full = first.join(met, "row", "left").withColumn("id", F.struct("id", "n_known", "logs"))
     kinds = f"id {full.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, seen long, more double, score double"
     scored = full.mapInArrow(_score(step, under, end), kinds)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,21 @@ def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> D
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=fields)
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside hands Python workers at most so many rows at a time.
+
+    Spark keeps such a batch outside its heap, so rows of large arrays need small ones.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class ScratchTable:
     """A DataFrame written once to the shared folder and read back.
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from premia.llm import bpe, brown, components, forest, hilbert, host_rules, licenses, packing, piecewise, url_aliases, weak_labels
+from premia.session import rows_at_once
 
 PATH = "/opt/tokenizers/byte_bpe_50k.json"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, position long, bin long"
@@ -243,6 +244,27 @@ def test_rounds_of_classes_do_not_shuffle_all_pairs(spark, monkeypatch):
     assert (used[1] - used[0]) / 6 < 16 * len(pairs)
 
 
+def test_parts_of_frequent_words_and_rows_of_sums_are_bounded(spark, monkeypatch):
+    """Text of few words has as many parts as its tokens need; partial sums go in rows of a range, and add up."""
+    assert brown.part_count(1 << 30, 0) >= (1 << 30) // brown.PART_TEXT
+    monkeypatch.setattr(brown, "FAN", 2)
+    sums = np.random.default_rng(7).integers(0, 3, (9, 3 * brown.RANGE + 5))
+    sums[:, -1] = 1 << 40
+    rows = [r for part, x in enumerate(sums) for r in brown._ranges(part, x)]
+    assert max(len(a) + len(b) for _, _, a, b in rows) <= 10 * brown.RANGE
+    table = spark.createDataFrame([(p, w, bytearray(a), bytearray(b)) for p, w, a, b in rows], brown.SEEN)
+    assert (brown._total(table, len(sums), sums.shape[1]) == sums.sum(axis=0)).all()
+
+
+def test_rows_at_once_are_set_and_set_back(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, rows = spark.conf.get(name), spark.range(100, numPartitions=1)
+    count = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+    with rows_at_once(spark, 7):
+        assert max(r.n for r in rows.mapInArrow(count, "n long").collect()) == 7
+    assert spark.conf.get(name) == before
+
+
 def test_hilbert_steps_and_shards(docs):
     points = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     index = hilbert.curve_index(points, 3)
