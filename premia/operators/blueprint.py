@@ -207,12 +207,15 @@ def generate_blueprint(
     threshold: float = 0.0025,
     method: str = "exact",
     counts: Mapping[str, int] | None = None,
+    few_values: bool = False,
 ) -> Blueprint:
     """Plan for every column: sorted distinct quantile breaks, or sorted levels.
 
     Nulls are left out first; a column with nothing else gets an empty plan.  A column
     of a type that cannot be binned gets an error plan and the others go on.  ``counts``
-    gives the numbers of values per column where they are already known.
+    gives the numbers of values per column where they are already known.  ``few_values`` says that most numeric
+    columns hold few different values: the pass that counts them then settles their breaks, and only columns
+    of many go on to the rounds of exact quantiles.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     columns = list(columns) if columns is not None else df.columns
@@ -220,14 +223,15 @@ def generate_blueprint(
     broken = [c for c in columns if isinstance(types[c], UNSUPPORTED_TYPES)]
     textual = [c for c in columns if c not in numeric and c not in broken]
 
-    learned = numeric + textual
+    few_values = few_values and method == "exact" and counts is None
+    learned = textual if few_values else numeric + textual
     if counts is None and learned:
         row = df.agg(
             *[F.count_if(present(c, types[c])).alias(f"n{i}") for i, c in enumerate(learned)]
         ).first()
         counts = {c: row[f"n{i}"] for i, c in enumerate(learned)}
     if method == "exact":
-        breaks = nearest_quantiles(df, numeric, QUANTILE_PROBABILITIES, counts=counts)
+        breaks = nearest_quantiles(df, numeric, QUANTILE_PROBABILITIES, counts=counts, few=few_values)
     elif method == "approx":
         breaks = approximate_quantiles(df, numeric, QUANTILE_PROBABILITIES)
     else:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import warnings
 from collections.abc import Mapping, Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,13 +28,13 @@ from premia.functions.names import column
 from premia.functions.split import TRAIN_FLAG
 from premia.operators import kernels
 from premia.operators.blueprint import Blueprint, VariablePlan, as_blueprint, level_counts, level_plans
-from premia.operators.cells import CellTable, aggregate_cells, many_cells
+from premia.operators.cells import PACKED_AT_ONCE, CellTable, aggregate_cells, many_cells
 from premia.operators.levels import CASE_LEVELS, LEVEL_SCHEMA, LevelTable, Lookup, attach
 from premia.operators.prepare import fill_nulls, mean_aggregates, mean_values, with_bins
 from premia.operators.solver import kkt_gap, solve_quadratics
 from premia.operators.validate import check_columns, validate_fit_input
 from premia.operators.wide import RangeDesign, WideFitter
-from premia.session import local_table
+from premia.session import local_table, rows_at_once
 
 # Executors get the kernels with the task, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(kernels)
@@ -142,13 +143,17 @@ class CellPasses:
         self.parts = cells.df.rdd.getNumPartitions()
         self.count = 0
 
+    def _sum(self, task) -> np.ndarray:
+        """The payloads of a task over all cells, added up."""
+        spark = self.cells.df.sparkSession
+        with rows_at_once(spark, PACKED_AT_ONCE) if self.cells.groups else nullcontext():
+            total = _tree_sum(self.cells.df.mapInArrow(task, kernels.PARTIAL_SCHEMA), self.parts)
+        self.count += 1
+        return total
+
     def moments(self) -> dict[str, np.ndarray]:
         layout, d = self.design.layout, self.design.layout.dim
-        partials = self.cells.df.mapInArrow(
-            kernels.moments_task(layout, self.n_folds), kernels.PARTIAL_SCHEMA
-        )
-        total = _tree_sum(partials, self.parts).reshape(self.n_folds, -1)
-        self.count += 1
+        total = self._sum(kernels.moments_task(layout, self.n_folds)).reshape(self.n_folds, -1)
         return {
             "xy": self.design.score(total[:, :d]),
             "w": total[:, d],
@@ -160,7 +165,8 @@ class CellPasses:
         """Score, Gram (or None), train deviance, held-out deviance and weight."""
         layout, d = self.design.layout, self.design.layout.dim
         coefs = self.design.onehot_coefs(intercept, beta)
-        limit = max(1, PASS_BUDGET // (d + 3 + (layout.packed if with_gram else 0)))
+        groups = self.cells.groups
+        limit = max(1, PASS_BUDGET // (d + 3 + (layout.packed if with_gram else 0) + (sum(groups.sizes) if groups else 0)))
         if len(coefs) > limit:
             # More problems than the result of one task may hold: several passes.
             cuts = range(0, len(coefs), limit)
@@ -168,12 +174,11 @@ class CellPasses:
                 self.evaluate(intercept[i : i + limit], beta[i : i + limit], held_out[i : i + limit], with_gram) for i in cuts
             ]
             return tuple(None if x[0] is None else np.concatenate(x) for x in zip(*parts))
-        partials = self.cells.df.mapInArrow(
-            kernels.pass_task(layout, self.family, coefs, list(held_out), with_gram),
-            kernels.PARTIAL_SCHEMA,
-        )
-        total = _tree_sum(partials, self.parts).reshape(len(coefs), -1)
-        self.count += 1
+        if groups:
+            task = kernels.pass_packed_task(groups, self.family, coefs, list(held_out), self.n_folds)
+        else:
+            task = kernels.pass_task(layout, self.family, coefs, list(held_out), with_gram)
+        total = self._sum(task).reshape(len(coefs), -1)
         gram = self.design.gram(total[:, d + 3 :]) if with_gram else None
         return self.design.score(total[:, :d]), gram, *total[:, d : d + 3].T
 
@@ -181,9 +186,9 @@ class CellPasses:
     def light_moments(self) -> dict[str, np.ndarray]:
         """What standardising and the null model need, without any matrix."""
         layout, d = self.design.layout, self.design.layout.dim
-        partials = self.cells.df.mapInArrow(kernels.light_moments_task(layout, self.n_folds), kernels.PARTIAL_SCHEMA)
-        total = _tree_sum(partials, self.parts).reshape(self.n_folds, -1)
-        self.count += 1
+        groups = self.cells.groups
+        task = kernels.light_moments_packed_task(groups, self.n_folds) if groups else kernels.light_moments_task(layout, self.n_folds)
+        total = self._sum(task).reshape(self.n_folds, -1)
         wx = self.design.score(total[:, d : 2 * d])
         # The square of a sum of one-hot entries is the sum itself.
         square = wx[:, 1:].copy()
@@ -201,9 +206,10 @@ class CellPasses:
             while end < len(columns) and (end == at or size + (len(columns[end]) + 1) ** 2 <= PASS_BUDGET):
                 size += (len(columns[end]) + 1) ** 2
                 end += 1
-            task = kernels.active_task(self.design.layout, self.family, coefs[at:end], held_out[at:end], columns[at:end])
-            total = _tree_sum(self.cells.df.mapInArrow(task, kernels.PARTIAL_SCHEMA), self.parts)
-            self.count += 1
+            here = slice(at, end)
+            total = self._sum(
+                kernels.active_packed_task(self.cells.groups, self.family, coefs[here], held_out[here], columns[here], self.n_folds)
+            )
             for c in columns[at:end]:
                 n = len(c) + 1
                 out.append(total[: n * n].reshape(n, n))
@@ -651,6 +657,51 @@ def _passthrough_plans(
     return Blueprint(plans), binned, raws
 
 
+@dataclass
+class TrainingCells:
+    """Checked training rows of a batch as packed cells, for several questions about one fit."""
+
+    roles: tuple
+    table: CellTable
+    design: RangeDesign
+    blueprint: Blueprint
+    means: dict[str, float | None]
+
+    @classmethod
+    def build(
+        cls, df: DataFrame, target: str, model_type: str, predictors: Sequence[str], blueprint: Blueprint | Mapping[str, Sequence], *,
+        train_test_col: str = "traintest", weight_col: str | None = None, divide_target_by_weight: bool = False,
+    ) -> TrainingCells:
+        """What ``fit_glm`` and ``alpha_max`` with the same arguments would each make; every predictor needs a plan."""
+        family = family_name(model_type)
+        check_columns(df, predictors)
+        if any(v not in blueprint for v in predictors):
+            raise ValueError("Shared cells need a plan for every predictor.")
+        blueprint, binned, raws = _passthrough_plans(df, predictors, as_blueprint(blueprint))
+        numeric = [v for v in binned if blueprint[v].kind == "numeric"]
+        row = validate_fit_input(df, target, train_test_col, family, weight_col, mean_aggregates(numeric))
+        means = {v: row[f"m{i}"] for i, v in enumerate(numeric)}
+        y, w = _target(target, weight_col, divide_target_by_weight)
+        train, bins = with_bins(df.where(column(train_test_col) == TRAIN_FLAG), binned, blueprint, means)
+        design = RangeDesign(blueprint, binned, raws)
+        roles = (target, family, tuple(predictors), train_test_col, weight_col, divide_target_by_weight)
+        return cls(roles, CellTable.pack(train, bins, {}, y, w, family, design.layout), design, blueprint, means)
+
+    def passes(self, target, family, predictors, train_test_col, weight_col, divide_target_by_weight) -> CellPasses:
+        if self.roles != (target, family, tuple(predictors), train_test_col, weight_col, divide_target_by_weight):
+            raise ValueError("The shared cells were made for other columns or another family.")
+        return CellPasses(self.table, self.design, family, 1)
+
+    def close(self) -> None:
+        self.table.close()
+
+
+def _target(target: str, weight_col: str | None, divide: bool) -> tuple[Column, Column]:
+    w = column(weight_col).cast("double") if weight_col else F.lit(1.0)
+    y = column(target).cast("double")
+    return (F.try_divide(y, w) if divide and weight_col else y), w
+
+
 def fit_glm(
     df: DataFrame,
     target: str,
@@ -670,6 +721,7 @@ def fit_glm(
     fold_col: str | None = None,
     fill: str | Mapping[str, float | None] = "batch",
     validate: bool = True,
+    cells: TrainingCells | None = None,
 ) -> GlmModel:
     """Fit on the training rows of raw data that ``blueprint`` bins.
 
@@ -680,6 +732,7 @@ def fit_glm(
     A row's fold is ``fold_col`` (whole numbers, taken modulo the folds), else follows from a
     hash of ``fold_key``, else from a draw.  Only the first two are the same on every run.
     ``cv_params["solver"]`` is ``"dense"``, ``"active"`` (see ``wide``) or, by size, ``"auto"``.
+    ``cells`` are those of the same rows, already checked, for a fit of the active solver without folds.
     """
     family = family_name(model_type)
     params = dict(cv_params or {})
@@ -699,48 +752,51 @@ def fit_glm(
     if params:
         raise ValueError(f"Unknown fit parameters: {sorted(params)}")
 
-    if validate:
-        check_columns(df, predictors)
-    blueprint, binned, raws = _passthrough_plans(df, predictors, as_blueprint(blueprint))
-    numeric = [v for v in binned if blueprint[v].kind == "numeric"] + raws
-    # The batch is everything handed in, holdout rows included.
-    given = not isinstance(fill, str)
-    if validate:
-        averages = [] if given else mean_aggregates(numeric)
-        row = validate_fit_input(df, target, train_test_col, family, weight_col, averages)
-    elif not given:
-        row = df.agg(*mean_aggregates(numeric)).first() if numeric else {}
-    means = dict(fill) if given else {v: row[f"m{i}"] for i, v in enumerate(numeric)}
-
-    w = column(weight_col).cast("double") if weight_col else F.lit(1.0)
-    y = column(target).cast("double")
-    if divide_target_by_weight and weight_col:
-        y = F.try_divide(y, w)
-    train = df.where(column(train_test_col) == TRAIN_FLAG)
-    # Never of the target: a fold must not take all rows of one outcome.
-    if fold_col is not None:
-        fold = column(fold_col).cast("bigint")
-    elif fold_key:
-        fold = F.xxhash64(*[column(c) for c in fold_key])
-    else:
-        fold = F.floor(F.rand(FOLD_SEED) * (1 << 30))
-    train, filled = fill_nulls(train, raws, means)
-    train, bins = with_bins(train, binned, blueprint, means)
-    raw_cols = {v: filled.get(v, column(v).cast("double")) for v in raws}
-
     if solver_kind not in ("auto", "dense", "active"):
         raise ValueError("solver must be 'auto', 'dense' or 'active'")
-    wide = solver_kind == "active" or solver_kind == "auto" and _is_wide(blueprint, binned, raws)
-    design = (RangeDesign if wide else Design)(blueprint, binned, raws, drop_first)
-    cells = CellTable.build(
-        aggregate_cells(
-            train, bins, raw_cols, y, w, family,
-            fold=F.pmod(fold, F.lit(folds)) if folds > 1 else None,
-            sizes=[*design.layout.sizes, folds],
-        )
-    )
+    if cells is not None:
+        if solver_kind != "active" or use_cv or drop_first or fill != "batch":
+            raise ValueError("Shared cells serve the active solver without folds, over the batch's own means.")
+        passes = cells.passes(target, family, predictors, train_test_col, weight_col, divide_target_by_weight)
+        wide, design, blueprint, means, raws = True, cells.design, cells.blueprint, cells.means, []
+        binned, table = design.binned, None
+    else:
+        if validate:
+            check_columns(df, predictors)
+        blueprint, binned, raws = _passthrough_plans(df, predictors, as_blueprint(blueprint))
+        numeric = [v for v in binned if blueprint[v].kind == "numeric"] + raws
+        # The batch is everything handed in, holdout rows included.
+        given = not isinstance(fill, str)
+        if validate:
+            averages = [] if given else mean_aggregates(numeric)
+            row = validate_fit_input(df, target, train_test_col, family, weight_col, averages)
+        elif not given:
+            row = df.agg(*mean_aggregates(numeric)).first() if numeric else {}
+        means = dict(fill) if given else {v: row[f"m{i}"] for i, v in enumerate(numeric)}
+
+        y, w = _target(target, weight_col, divide_target_by_weight)
+        train = df.where(column(train_test_col) == TRAIN_FLAG)
+        # Never of the target: a fold must not take all rows of one outcome.
+        if fold_col is not None:
+            fold = column(fold_col).cast("bigint")
+        elif fold_key:
+            fold = F.xxhash64(*[column(c) for c in fold_key])
+        else:
+            fold = F.floor(F.rand(FOLD_SEED) * (1 << 30))
+        train, filled = fill_nulls(train, raws, means)
+        train, bins = with_bins(train, binned, blueprint, means)
+        raw_cols = {v: filled.get(v, column(v).cast("double")) for v in raws}
+
+        wide = solver_kind == "active" or solver_kind == "auto" and _is_wide(blueprint, binned, raws)
+        design = (RangeDesign if wide else Design)(blueprint, binned, raws, drop_first)
+        fold = F.pmod(fold, F.lit(folds)) if folds > 1 else None
+        if wide:
+            table = CellTable.pack(train, bins, raw_cols, y, w, family, design.layout, fold, folds)
+        else:
+            sizes = [*design.layout.sizes, folds]
+            table = CellTable.build(aggregate_cells(train, bins, raw_cols, y, w, family, fold=fold, sizes=sizes))
+        passes = CellPasses(table, design, family, folds)
     try:
-        passes = CellPasses(cells, design, family, folds)
         fitter = (WideFitter if wide else Fitter)(passes, **solver)
         grid: list[tuple] = []
         fold_grid: list[tuple] = []
@@ -754,7 +810,8 @@ def fit_glm(
             chosen = Problem(-1, float(l1_ratio), float(alpha))
             fitter.solve([chosen])
     finally:
-        cells.close()
+        if table is not None:
+            table.close()
     if not chosen.converged:
         warnings.warn(
             f"The fit stopped at {solver['max_iter']} iterations with a relative "
@@ -840,6 +897,7 @@ def alpha_max(
     weight_col: str | None = None,
     divide_target_by_weight: bool = False,
     l1_ratio: float = 1.0,
+    cells: TrainingCells | None = None,
 ) -> DataFrame:
     """``(feature, gradient, alpha)`` at the null model; the largest alpha zeroes all.
 
@@ -848,24 +906,25 @@ def alpha_max(
     """
     model = as_blueprint(blueprint)
     family = family_name(model_type)
-    numeric = [v for v in predictors if model[v].kind == "numeric"]
-    means = mean_values(df, numeric)
-    w = column(weight_col).cast("double") if weight_col else F.lit(1.0)
-    y = column(target).cast("double")
-    if divide_target_by_weight and weight_col:
-        y = F.try_divide(y, w)
-    train = df.where(column(train_test_col) == TRAIN_FLAG)
-    train, bins = with_bins(train, predictors, model, means)
-    # The null model needs no matrix, so the design by ranges does for any width.
-    design = RangeDesign(model, predictors, [])
-    sizes = design.layout.sizes
-    # One pass is all it takes, so rows of many possible cells are read as they are.
-    made = CellTable.unwritten if many_cells(sizes, ()) else CellTable.build
-    cells = made(aggregate_cells(train, bins, {}, y, w, family, sizes=sizes, once=True))
-    try:
-        gradient = WideFitter(CellPasses(cells, design, family, 1)).null_gradient()
-    finally:
-        cells.close()
+    if cells is not None:
+        passes = cells.passes(target, family, predictors, train_test_col, weight_col, divide_target_by_weight)
+        design, gradient = passes.design, WideFitter(passes).null_gradient()
+    else:
+        numeric = [v for v in predictors if model[v].kind == "numeric"]
+        means = mean_values(df, numeric)
+        y, w = _target(target, weight_col, divide_target_by_weight)
+        train = df.where(column(train_test_col) == TRAIN_FLAG)
+        train, bins = with_bins(train, predictors, model, means)
+        # The null model needs no matrix, so the design by ranges does for any width.
+        design = RangeDesign(model, predictors, [])
+        sizes = design.layout.sizes
+        # One pass is all it takes, so rows of many possible cells are read as they are.
+        made = CellTable.unwritten if many_cells(sizes, ()) else CellTable.build
+        table = made(aggregate_cells(train, bins, {}, y, w, family, sizes=sizes, once=True))
+        try:
+            gradient = WideFitter(CellPasses(table, design, family, 1)).null_gradient()
+        finally:
+            table.close()
     rows = [
         (variable, name, float(g), float(abs(g)) / l1_ratio if l1_ratio else None)
         for (variable, name), g in zip(design.names, gradient)

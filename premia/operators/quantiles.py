@@ -16,16 +16,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from premia.functions.names import column
-from premia.session import local_table
+from premia.operators import kernels
+from premia.session import ScratchTable, local_table
+
+# Executors get the kernels with the task, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(kernels)
 
 # An interval with at most this many rows is ranked by one window task.
 RANK_LIMIT = 200_000
 SKETCH_K = 2048
 SKETCH_MARGIN = 0.003
+# A column with at most this many values can be counted value by value.
+FEW_VALUES = 4_096
 # Steps of the grid that splits an interval found earlier; one grid serves all of them.
 INNER_STEPS = 512
 
@@ -258,31 +265,59 @@ def _split(
     return narrower
 
 
+def _value_counts(
+    values: DataFrame, names: Sequence[str], ranks_of: Callable[[str, int], Sequence[int]]
+) -> tuple[dict[str, int], dict[str, dict[int, float]]]:
+    """Numbers of values of all columns, and the wanted ranks of those with at most FEW_VALUES different ones."""
+    cells = values.mapInArrow(kernels.value_counts_task(len(names), FEW_VALUES), kernels.COUNT_SCHEMA)
+    table = ScratchTable(cells.groupBy("v", "x", "many").agg(F.sum("n").alias("n")), "value-counts")
+    try:
+        summary = table.df.groupBy("v").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("many").alias("many")).collect()
+        few = [row["v"] for row in summary if not row["many"] and row["rows"] <= FEW_VALUES]
+        rows = table.df.where(F.col("v").isin(few)).select("v", "x", "n").toArrow()
+    finally:
+        table.drop()
+    counts = dict.fromkeys(names, 0) | {names[row["v"]]: row["n"] for row in summary}
+    of, x, n = (rows[c].to_numpy() for c in ("v", "x", "n"))
+    found: dict[str, dict[int, float]] = {}
+    for v in few:
+        own = np.flatnonzero(of == v)
+        own = own[np.argsort(x[own])]
+        upto = np.cumsum(n[own])
+        found[names[v]] = {r: float(x[own[np.searchsorted(upto, r, "right")]]) for r in ranks_of(names[v], counts[names[v]])}
+    return counts, found
+
+
 def order_statistics(
     df: DataFrame,
     names: Sequence[str],
     ranks_of: Callable[[str, int], Sequence[int]],
     rank_limit: int = RANK_LIMIT,
     counts: Mapping[str, int] | None = None,
+    few: bool = False,
 ) -> tuple[dict[str, int], dict[str, dict[int, float]]]:
     """Counts of non-missing values, and ``{column: {0-based rank: value}}``.
 
-    ``counts`` saves a pass where the numbers of values, NaN aside, are known.
+    ``counts`` saves a pass where the numbers of values, NaN aside, are known.  With ``few`` the pass that
+    counts them counts each value too, which settles all ranks of a column of few different ones.
     """
     names = list(names)
     if not names:
         return {}, {}
     values = _values(df, names)
-    if counts is None:
+    known: dict[str, dict[int, float]] = {}
+    if few:
+        counts, known = _value_counts(values, names, ranks_of)
+    elif counts is None:
         row = values.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(names))]).first()
         counts = {c: row[f"v{i}"] for i, c in enumerate(names)}
     else:
         counts = {c: counts[c] for c in names}
-    found: dict[str, dict[int, float]] = {c: {} for c in names}
+    found: dict[str, dict[int, float]] = {c: known.get(c, {}) for c in names}
     open_ = [
         Interval(c, None, None, 0, n, sorted(set(ranks_of(c, n))))
         for c, n in counts.items()
-        if n
+        if n and c not in known
     ]
     small: list[Interval] = []
     while open_:

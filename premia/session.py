@@ -71,6 +71,26 @@ def rows_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+#: Bytes of code up to which the JVM compiles a method; a longer one it interprets for good.
+COMPILED_METHOD = 8_000
+
+
+@contextmanager
+def short_methods(spark: SparkSession) -> Iterator[None]:
+    """What is run inside has no generated method that is too long for the JVM to compile.
+
+    A projection of dozens of lookups becomes one method of a whole stage; past the bound Spark makes
+    functions of its parts instead.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(COMPILED_METHOD, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class ScratchTable:
     """A DataFrame written once to the shared folder and read back.
 
@@ -78,14 +98,14 @@ class ScratchTable:
     of some files and not a rerun of what produced them.
     """
 
-    def __init__(self, df: DataFrame, label: str, spread: bool = False):
-        """``spread`` lets Spark even out the parts of an input before they are written."""
+    def __init__(self, df: DataFrame, label: str, spread: bool = False, **options):
+        """``spread`` lets Spark even out the parts of an input before they are written; ``options`` are of the writer."""
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, label)
         if spread:
             # A hint and not a look at the parts, which would run the shuffles of an open plan twice.
             df = df.hint("rebalance")
-        df.write.parquet(self.path)
+        df.write.options(**options).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from premia.functions.names import column
 from premia.functions.split import hash32
+from premia.operators import kernels
 from premia.operators.blueprint import generate_blueprint
 from premia.operators.evaluate import actual_expected
-from premia.operators.glm import alpha_max, fit_glm
+from premia.operators.glm import TrainingCells, alpha_max, fit_glm
 from premia.operators.prepare import prepare_data
 from premia.operators.ratemodel import ModelMetadata, RateModel
 from premia.operators.ratetable import LEVEL_COLUMN, ratetable
@@ -18,7 +19,7 @@ from premia.operators.relativities import RELATIVITY_COLUMNS, apply_edits
 from premia.operators.validate import flag_report
 from premia.operators.versions import VersionStore
 from premia.plans.portfolio import read_table
-from premia.session import ScratchTable, scratch_path
+from premia.session import ScratchTable, scratch_path, short_methods
 from workload.binning import quantile_sql
 from workload.models import ROLES, SEGMENT_PLAN, roles
 from workload.ratings import ONE_WAY_SQL, one_way_relativities
@@ -167,29 +168,39 @@ def _optimality(family: str, l1_ratio: float, share: float):
         ),
     )
     def run(spark, sf):
+        # Whole stages of so many columns would be methods the JVM never compiles.
+        with short_methods(spark):
+            return checked(spark, sf)
+
+    def checked(spark, sf):
         # Read several times, so the joins behind it run once.
         target, weight, divide = ROLES[family]
         needed = dict.fromkeys([*WIDE, target, *([weight] if weight else []), "traintest"])
         data = ScratchTable(_wide(spark, sf).select(*needed), "wide").df
-        plan = generate_blueprint(data.where("traintest = 1"), WIDE, threshold=0.0)
-        top = alpha_max(data, target, family, WIDE, plan, **roles(family)).agg(F.max("alpha")).first()[0]
-        alpha = top * share
-        model = fit_glm(
-            data, target, family, WIDE, plan, use_cv=False, alpha=alpha, l1_ratio=l1_ratio, cv_params={"solver": "active"}, **roles(family)
-        )
+        plan = generate_blueprint(data.where("traintest = 1"), WIDE, threshold=0.0, few_values=True)
+        # The largest penalty and the fit ask the same cells.
+        cells = TrainingCells.build(data, target, family, WIDE, plan, **roles(family))
+        try:
+            top = alpha_max(data, target, family, WIDE, plan, cells=cells, **roles(family)).agg(F.max("alpha")).first()[0]
+            alpha = top * share
+            model = fit_glm(
+                data, target, family, WIDE, plan, use_cv=False, alpha=alpha, l1_ratio=l1_ratio, cv_params={"solver": "active"}, cells=cells,
+                **roles(family),
+            )
+        finally:
+            cells.close()
         w = column(weight) if weight else F.lit(1.0)
         y = F.col(target) / w if divide else F.col(target)
         slope = 1 / F.col("fitted") if family == "gamma" else F.lit(1.0)
         scored = model.predict(data.where("traintest = 1"), "fitted").withColumns({"w": w, "resid": w * (y - F.col("fitted")) * slope})
         # Sums per predictor and raw value, in one pass; a feature is the sum of the values it holds.
         own = {v: plan[v].kind == "numeric" for v in WIDE}
-        triples = [
-            x for v in WIDE for x in (F.lit(v), column(v).cast("double") if own[v] else F.lit(None).cast("double"),
-                                      F.lit(None).cast("string") if own[v] else column(v))
-        ]
-        long = scored.select("w", "resid", F.stack(F.lit(len(WIDE)), *triples).alias("variable", "x", "level"))
+        raw = [column(v).cast("double" if own[v] else "string").alias(v) for v in WIDE]
+        sums_by_value = scored.select(*raw, F.col("w").cast("double"), F.col("resid").cast("double")).mapInArrow(
+            kernels.value_sums_task(WIDE, ["w", "resid"]), "variable string, x double, level string, w double, resid double"
+        )
         by_value: dict[str, list] = {v: [] for v in WIDE}
-        for row in long.groupBy("variable", "x", "level").agg(F.sum("w").alias("w"), F.sum("resid").alias("resid")).collect():
+        for row in sums_by_value.groupBy("variable", "x", "level").agg(F.sum("w").alias("w"), F.sum("resid").alias("resid")).collect():
             by_value[row["variable"]].append(row)
         total = sum(row["w"] for row in by_value[WIDE[0]])
         found, sums = {v: [0, 0] for v in WIDE}, {}
