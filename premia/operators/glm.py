@@ -54,6 +54,8 @@ PASS_BUDGET = 4_000_000
 SOLVER_BUDGET = 8_000_000
 # Partial sums are added in a tree with this many inputs per node.
 FAN_IN = 32
+# Means of one aggregate: with many more its generated code gets too long to be compiled.
+MEANS_AT_ONCE = 10
 # Beyond so many features, or doubles in one packed Gram matrix, none is built over all of them.
 DENSE_FEATURES = 1_500
 DENSE_PACKED = 250_000
@@ -568,9 +570,14 @@ class GlmModel:
             plan = self.blueprint[v]
             if v in looked_up:
                 eta = eta + looked_up[v]
+            elif not _varies(add):
+                eta = eta + F.lit(float(add[0]))
             elif plan.kind == "numeric":
                 x = filled.get(v, column(v).cast("double"))
-                eta = eta + F.coalesce(lookup_range(x, plan.breaks, add), F.lit(add[-1]))
+                # A sparse fit changes at few breaks; the others need no comparison.
+                cuts = [k for k in range(len(plan.breaks)) if add[k] != add[k + 1]]
+                steps = lookup_range(x, [plan.breaks[k] for k in cuts], [*(add[k] for k in cuts), add[-1]])
+                eta = eta + F.coalesce(steps, F.lit(add[-1]))
             else:
                 values = {lv: F.lit(float(a)) for lv, a in zip(plan.levels, add)}
                 eta = eta + lookup_level(
@@ -596,7 +603,7 @@ class GlmModel:
             raise ValueError(f"The data lacks the predictor '{missing[0]}'.")
         if isinstance(fill, str) and fill == "train":
             fill = self.fill
-        numeric = [v for v in self.contributions if self.blueprint[v].kind == "numeric"]
+        numeric = [v for v, add in self.contributions.items() if self.blueprint[v].kind == "numeric" and _varies(add)]
         out, filled = fill_nulls(df, numeric + list(self.raw_slopes), fill)
         own = {v: f"__effect_{i}" for i, v in enumerate(self.effect_tables(df.sparkSession))}
         out = attach(out, [Lookup(column(v), self._tables[v], {c: "value"}) for v, c in own.items()])
@@ -606,6 +613,11 @@ class GlmModel:
         )
 
 
+def _varies(add: Sequence[float]) -> bool:
+    """Whether a predictor's bins add different amounts; if not, its value and its nulls do not matter."""
+    return any(x != add[0] for x in add)
+
+
 def fixed_model(
     model_type: str,
     blueprint: Blueprint | Mapping[str, Sequence],
@@ -679,8 +691,10 @@ class TrainingCells:
             raise ValueError("Shared cells need a plan for every predictor.")
         blueprint, binned, raws = _passthrough_plans(df, predictors, as_blueprint(blueprint))
         numeric = [v for v in binned if blueprint[v].kind == "numeric"]
-        row = validate_fit_input(df, target, train_test_col, family, weight_col, mean_aggregates(numeric))
-        means = {v: row[f"m{i}"] for i, v in enumerate(numeric)}
+        validate_fit_input(df, target, train_test_col, family, weight_col)
+        means: dict[str, float | None] = {}
+        for i in range(0, len(numeric), MEANS_AT_ONCE):
+            means |= mean_values(df, numeric[i : i + MEANS_AT_ONCE])
         y, w = _target(target, weight_col, divide_target_by_weight)
         train, bins = with_bins(df.where(column(train_test_col) == TRAIN_FLAG), binned, blueprint, means)
         design = RangeDesign(blueprint, binned, raws)

@@ -11,7 +11,7 @@ from premia.operators import cells as cell_module
 from premia.operators import kernels, quantiles
 from premia.operators.blueprint import Blueprint
 from premia.operators.cells import CellTable, aggregate_cells
-from premia.operators.glm import CellPasses, TrainingCells, alpha_max
+from premia.operators.glm import CellPasses, TrainingCells, alpha_max, fixed_model
 from premia.operators.quantiles import nearest_rank, order_statistics
 from premia.operators.wide import RangeDesign
 from workload import many
@@ -165,3 +165,31 @@ def test_query_packs_its_cells_once(spark, sf_dir, monkeypatch, family):
     assert len(found) == len(many.WIDE) and not any(r["n_violations"] for r in found)
     assert len(made) == 1 and limits == [8_000] and spark.conf.get(name) == before
     assert made[0].groups is not None and len(made[0].groups.words) <= 3
+
+
+def test_prediction_looks_up_what_varies(spark):
+    """Equal neighbours need no comparison and a constant predictor no mean; the result is that of all bins."""
+    plan = Blueprint.from_lists({"a": [1, 2, 3, 4], "b": [1, 2], "s": ["u", "v"], "c": [1, 2]})
+    adds = {"a": [0.5, 0.5, -1.0, -1.0, 0.25], "b": [0.125] * 3, "s": [0.0, 1.0, 1.0], "c": [0.0] * 3}
+    model = fixed_model("Poisson", plan, 0.3, adds)
+    nan = float("nan")
+    data = [(a, b, s, None) for a in (None, nan, 0.0, 1.0, 1.5, 2.0, 3.0, 3.5, 4.0, 9.0) for b, s in ((None, "u"), (5.0, None), (nan, "x"), (0.0, "v"))]
+    df = spark.createDataFrame(data, "a double, b double, s string, c double")
+    scored = model.predict(df, fill={"a": 2.5})
+    for r in scored.collect():
+        a = 2.5 if r["a"] is None else r["a"]
+        at = 4 if math.isnan(a) else sum(x <= a for x in (1, 2, 3, 4))
+        eta = 0.3 + adds["a"][at] + 0.125 + adds["s"][{"u": 0, "v": 1}.get(r["s"], 2)]
+        assert r["prediction"] == pytest.approx(math.exp(eta), rel=1e-14)
+    text = scored._jdf.queryExecution().analyzed().toString()
+    assert "b#" in text and text.count("< 2.0") == 1 and "< 1.0" not in text and "< 3.0" not in text and text.count("< 4.0") == 1
+
+
+def test_wide_query_writes_portfolio_columns_only(spark, sf_dir, monkeypatch):
+    """Columns computed from keys are computed again and not written."""
+    written = []
+    once = many.pf_once
+    monkeypatch.setattr(many, "pf_once", lambda spark, sf, *columns: written.extend(columns) or once(spark, sf, *columns))
+    df = many._wide(spark, sf_dir, *many.WIDE, "ClaimNb")
+    assert df.columns == [*many.WIDE, "ClaimNb"]
+    assert sorted(written) == sorted(["discount", "p_size", "segment", "brand", "ClaimNb", "l_orderkey", "l_linenumber", "l_partkey"])

@@ -145,12 +145,15 @@ WIDE = ["discount", "p_size", "segment", "brand", *(f"x{i}_" for i in range(MORE
 _EXTRA_SQL = ", ".join(f"((l_orderkey * {2 * i + 3} + l_linenumber * {i + 5} + l_partkey) % {40 + i})::DOUBLE AS x{i}_" for i in range(MORE))
 
 
-def _wide(spark, sf):
+def _wide(spark, sf, *columns):
+    """Columns of the portfolio, and those computed from its keys; only the portfolio's are written."""
     extra = {
         f"x{i}_": ((F.col("l_orderkey") * (2 * i + 3) + F.col("l_linenumber") * (i + 5) + F.col("l_partkey")) % (40 + i)).cast("double")
         for i in range(MORE)
     }
-    return pf(spark, sf).withColumns(extra)
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    base = pf_once(spark, sf, *dict.fromkeys([*(c for c in columns if c not in extra), *keys]))
+    return base.withColumns(extra).select(*columns)
 
 
 def _optimality(family: str, l1_ratio: float, share: float):
@@ -176,7 +179,7 @@ def _optimality(family: str, l1_ratio: float, share: float):
         # Read several times, so the joins behind it run once.
         target, weight, divide = ROLES[family]
         needed = dict.fromkeys([*WIDE, target, *([weight] if weight else []), "traintest"])
-        data = ScratchTable(_wide(spark, sf).select(*needed), "wide").df
+        data = _wide(spark, sf, *needed)
         plan = generate_blueprint(data.where("traintest = 1"), WIDE, threshold=0.0, few_values=True)
         # The largest penalty and the fit ask the same cells.
         cells = TrainingCells.build(data, target, family, WIDE, plan, **roles(family))
